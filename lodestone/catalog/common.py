@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as retrieval units: a document is a chunk, its ``source`` is the source."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("chunk_id"),
         F.col("source").alias("source_id"),
         F.col("lang").alias("collection_id"),
@@ -84,14 +86,14 @@ def sql_query_terms(source: str, key: str, text: str = "text") -> str:
 
 
 SQL_DOC_TERMS = f"""
-  doc_tokens as (select doc_id, source, lang, {sql_tokens('text')} as toks from documents),
-  doc_terms as (select doc_id, source, lang, term, count(*) as tf
+  doc_tokens as materialized (select doc_id, source, lang, {sql_tokens('text')} as toks from documents),
+  doc_terms as materialized (select doc_id, source, lang, term, count(*) as tf
                 from (select doc_id, source, lang, unnest(toks) as term from doc_tokens) group by all),
-  doc_len as (select doc_id, len(list_distinct(toks)) as dl, len(toks) as total_len from doc_tokens),
+  doc_len as materialized (select doc_id, len(list_distinct(toks)) as dl, len(toks) as total_len from doc_tokens),
   corpus as (select count(*) as n_docs, avg(dl) as avg_dl, avg(total_len) as avg_total from doc_len),
-  dfs as (select term, count(*) as df from doc_terms group by term)"""
+  dfs as materialized (select term, count(*) as df from doc_terms group by term)"""
 
-SQL_PASSAGE_TERMS = f"query_terms as ({sql_query_terms('benchmark', 'item_id')})"
+SQL_PASSAGE_TERMS = f"query_terms as materialized ({sql_query_terms('benchmark', 'item_id')})"
 
 
 def sql_bm25plus(tf="t.tf", df="f.df", n="c.n_docs", length="l.dl", average="c.avg_dl", k="1.2", b="0.7", d="0.5") -> str:
@@ -104,9 +106,43 @@ def sql_bm25plus(tf="t.tf", df="f.df", n="c.n_docs", length="l.dl", average="c.a
 SQL_PASSAGE_SCORES = f"""
   {SQL_DOC_TERMS},
   {SQL_PASSAGE_TERMS},
-  scores as (
+  scores as materialized (
     select q.query_id, t.doc_id, t.source, t.lang, round(sum({sql_bm25plus()}), 9) as score
     from query_terms q join doc_terms t on t.term = q.term join dfs f on f.term = q.term
     join doc_len l on l.doc_id = t.doc_id cross join corpus c
     group by all),
   ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scores)"""
+
+
+# --- Hybrid queries: every passage paired with the centroid vector of label item_id mod 10.
+# Documents and vectors carry no foreign key; vec_id = doc_id is this catalog's convention.
+LABELS = 10
+
+SQL_CENTROIDS = """
+  cells as (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings),
+  centroids as (select label, list(m order by i) as v from (select label, i, avg(x) as m from cells group by all) group by label)"""
+
+SQL_HYBRID = f"""
+  {SQL_PASSAGE_SCORES},
+  lexical_lane as materialized (select query_id, doc_id, rank, score from ranked where rank <= 60),
+  {SQL_CENTROIDS},
+  dense_sims as materialized (
+    select b.item_id as query_id, e.vec_id as doc_id,
+           round(list_cosine_similarity(c.v, e.embedding::double[]), 9) as similarity
+    from benchmark b join centroids c on c.label = b.item_id % {LABELS} cross join embeddings e),
+  dense_ranked as (select *, row_number() over (partition by query_id order by similarity desc, doc_id) as rank
+                   from dense_sims where similarity >= 0.3),
+  dense_lane as materialized (select * from dense_ranked where rank <= 60),
+  fused as (
+    select coalesce(l.query_id, d.query_id) as query_id, coalesce(l.doc_id, d.doc_id) as doc_id,
+           round(coalesce(0.5e0 / (10 + l.rank), 0) + coalesce(1e0 / (10 + d.rank), 0), 12) as score,
+           l.rank as bm25_rank, d.rank as dense_rank, d.similarity
+    from lexical_lane l full outer join dense_lane d on l.query_id = d.query_id and l.doc_id = d.doc_id),
+  fused_ranked as materialized (
+    select *, row_number() over (partition by query_id order by score desc, doc_id) as position from fused where score > 0)"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
+        F.col("vec_id").alias("chunk_id"), "embedding", "label"
+    )

@@ -54,3 +54,15 @@ def fits(df: DataFrame, limit: int) -> bool:
 def small_side(df: DataFrame, fits_limit: bool) -> DataFrame:
     """Broadcast hint for a side whose size was checked; otherwise a plain shuffle join."""
     return F.broadcast(df) if fits_limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition an input that arrives in fewer partitions than there are cores.
+
+    A small file read as one partition would run expensive per-row work on one core. Inputs
+    of many splits are left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, *keys)
