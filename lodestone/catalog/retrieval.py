@@ -144,7 +144,7 @@ def dense_filtered_lane(spark, sf_dir):
     """with s as (select vec_id, embedding::double[] as v, list_max(list_transform(embedding::double[], lambda x: abs(x))) as m from embeddings),
     u as (select vec_id, v, list_transform(v, lambda x: x / m) as w from s),
     n as (select vec_id, w, sqrt(list_sum(list_transform(w, lambda x: x * x))) as norm from u)
-    select vec_id, round(w[1] / norm, 6) as first_value, round(w[len(w)] / norm, 6) as last_value,
+    select vec_id, round(((w[1] / norm)::float)::double, 6) as first_value, round(((w[len(w)] / norm)::float)::double, 6) as last_value,
            round(list_sum(list_transform(w, lambda x: (x / norm) * (x / norm))), 6) as squared_norm from n""",
 )
 def vector_normalize(spark, sf_dir):
@@ -262,8 +262,8 @@ def candidate_pool_depth(spark, sf_dir):
     "variant_merge",
     f"""with {SQL_DOC_TERMS},
     expressions as (select item_id * 4 + 0 as query_id, text from benchmark
-                    union all select item_id * 4 + 1, upper(text) from benchmark
-                    union all select item_id * 4 + 2, split_part(text, '.', 1) from benchmark),
+                    union all select item_id * 4 + 1, split_part(text, '.', 1) from benchmark
+                    union all select item_id * 4 + 2, split_part(text, '.', 2) from benchmark),
     distinct_expressions as (select query_id // 4 as item, text, min(query_id) as query_id from expressions group by 1, 2),
     query_terms as materialized ({sql_query_terms('distinct_expressions', 'query_id')}),
     scores as (select q.query_id, t.doc_id, round(sum({sql_bm25plus()}), 9) as score
@@ -277,7 +277,8 @@ def candidate_pool_depth(spark, sf_dir):
 def variant_merge(spark, sf_dir):
     """Each passage with two alternative wordings, scored apart and merged."""
     base = passages(spark, sf_dir)
-    wordings = F.array_distinct(F.array("text", F.upper("text"), F.substring_index("text", ".", 1)))
+    sentence = lambda i: F.split_part("text", F.lit("."), F.lit(i))
+    wordings = F.array_distinct(F.array("text", sentence(1), sentence(2)))
     expressions = base.select("query_id", F.posexplode(wordings).alias("expr", "text"))
     options = RetrievalOptions(mode="bm25", title_weight=0.0)
     keys = ("query_id", "expr")
