@@ -32,7 +32,8 @@ SQL_LOCATED = """
 def located(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("source_id"), "text")
     wanted = passages(spark, sf_dir).withColumnRenamed("query_id", "passage_id")
-    return coverage.locate_passages(docs, wanted)
+    # Few rows, read several times by each evaluation below.
+    return cut_lineage(coverage.locate_passages(docs, wanted))
 
 
 def fact_anchors(spark, sf_dir):

@@ -425,3 +425,45 @@ def conversation_multi_query(spark, sf_dir):
         "conv_id", F.col("ordinal").alias("turn"), F.col("position").cast("long").alias("position"),
         F.col("chunk_id").alias("doc_id"),
     )
+
+
+# --- packing ----------------------------------------------------------------------------
+def _packed(spark, sf_dir, mode):
+    from ..functions.text import content_hash
+    from ..operators.packing import pack_responses
+
+    options = RetrievalOptions(packing_mode=mode, topk=20, max_chunks_per_source=2, max_context_chars=20000)
+    candidates = request_candidates(spark, sf_dir).select(
+        "request_id", "ordinal", F.col("query_id").cast("string").alias("query_id"), "rank", "chunk_id", "source_id",
+        "score", F.col("rank").alias("bm25_rank"), F.lit(None).cast("int").alias("dense_rank"),
+        F.lit(None).cast("double").alias("similarity"),
+    )
+    docs = units(spark, sf_dir)
+    evidence = docs.select(
+        "chunk_id", "text", F.array("collection_id").alias("heading_path"), F.lit(1).alias("start_line"),
+        F.size(F.split("text", "\n")).alias("end_line"), F.lit(None).cast("int").alias("section_start_line"),
+        F.lit(None).cast("int").alias("section_end_line"), "source_id", "collection_id",
+        F.concat(F.lit("/corpus/"), "relative_path").alias("path"), "relative_path",
+        content_hash("text").alias("source_version"),
+    )
+    asked = passages(spark, sf_dir).select(
+        F.expr(f"query_id div {SUBQUESTIONS}").alias("request_id"), (F.col("query_id") % SUBQUESTIONS).alias("ordinal"),
+        F.col("query_id").cast("string").alias("query_id"), F.lit("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"), F.lit(60).alias("bm25"), F.lit(0).alias("dense"),
+    )
+    packed = pack_responses(candidates, evidence, asked, options)
+    return packed.select(
+        "request_id", "status", "response_chars", "returned", "truncated", F.col("excluded.budget").alias("budget_skips")
+    )
+
+
+@register("preview_pack")
+def preview_pack(spark, sf_dir):
+    """Budgeted previews for every request of eight passages."""
+    return _packed(spark, sf_dir, "preview")
+
+
+@register("whole_pack")
+def whole_pack(spark, sf_dir):
+    """Whole documents only, within the same budget."""
+    return _packed(spark, sf_dir, "whole")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..session import BROADCAST_ROW_LIMIT, fits, small_side
+from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
 from .metrics import order_statistics
 
 # Step of the counter and the default seed and size of the resampling.
@@ -108,7 +108,8 @@ def paired_bootstrap(pairs: DataFrame, iterations: int = DEFAULT_ITERATIONS, see
             return F.try_divide(F.sum(f"{side}_covered"), F.sum("expected"))
         return F.avg(F.when(answerable, (F.col(f"{side}_covered") == F.col("expected")).cast("double")))
 
-    deltas = resample_deltas(pairs, iterations, seed)
+    # A few thousand rows read several times below: one row per resample.
+    deltas = cut_lineage(resample_deltas(pairs, iterations, seed))
     out = None
     for metric, column in (("fact_coverage", "fact_delta"), ("complete_evidence", "complete_delta")):
         observed = pairs.agg(
