@@ -27,6 +27,8 @@ WORD_SEPARATOR = (
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9_.$-]*"
 HAN_RUN = r"\p{IsHan}+"
 LINE_BREAK = r"\r\n|\n|\r"
+# White space as Unicode-aware trimming sees it (regex \\s alone is ASCII here).
+SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
 def _as_col(c: Column | str) -> Column:
@@ -138,8 +140,16 @@ def preview_end(start_line: Column, text: Column | str) -> tuple[Column, Column]
     return start_line + breaks, utf16_length(F.substring_index(c, "\n", -1)) + 1
 
 
+def is_blank(text: Column | str) -> Column:
+    return ~_as_col(text).rlike(f"[^{SPACE}]")
+
+
+def strip_space(text: Column | str) -> Column:
+    return F.regexp_replace(_as_col(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def collapse_whitespace(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_as_col(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(_as_col(text), f"[{SPACE}]+", " "))
 
 
 def is_uuid_v4(value: Column | str) -> Column:

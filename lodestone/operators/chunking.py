@@ -11,20 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ..functions.text import LINE_BREAK, utf16_length
+from ..functions.text import LINE_BREAK, SPACE, is_blank, strip_space, utf16_length
 
 FENCE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
-HEADING = r"^ {0,3}(#{1,6})[ \t]+(.+?)\s*$"
+HEADING = rf"^ {{0,3}}(#{{1,6}})[ \t]+(.+?)[{SPACE}]*$"
 MAX_HEADINGS = 20
 MAX_RANGES = 100_000
 
 RANGE_COLUMNS = ("start_line", "end_line", "heading_path", "section_start_line", "section_end_line")
 
 
-def is_blank(c: Column) -> Column:
-    return ~c.rlike(r"\S")
-
-
 def source_lines(sources: DataFrame, text: str = "text", first_line: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(source_id, line_no, text): lines numbered from 1, or from ``first_line``."""
     start = F.lit(1) if first_line is None else first_line
@@ -149,7 +145,7 @@ def heading_line_ranges(sources: DataFrame, max_chars: int = 1000, first_line: C
     is_heading = ~F.col("in_fence") & F.col("text").rlike(HEADING)
     level = F.when(is_heading, F.length(F.regexp_extract("text", HEADING, 1)))
     title = F.when(
-        is_heading, F.trim(F.regexp_replace(F.regexp_extract("text", HEADING, 2), r"[ \t]+#+\s*$", ""))
+        is_heading, strip_space(F.regexp_replace(F.regexp_extract("text", HEADING, 2), rf"[ \t]+#+[{SPACE}]*$", ""))
     )
     w = W.partitionBy("source_id").orderBy("line_no")
     sections = heading_stack(lines, level, title).withColumn(

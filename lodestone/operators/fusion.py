@@ -37,7 +37,7 @@ def fuse(
 
 
 def merge_variants(
-    fused: DataFrame, expressions: DataFrame, key: str = "query_id", keep: tuple[str, ...] = ()
+    fused: DataFrame, expressions: DataFrame, keys: tuple[str, ...] = ("query_id",), keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """One candidate list per query from its expressions.
 
@@ -45,14 +45,14 @@ def merge_variants(
     misses a chunk counts as zero; ranks keep their minimum, similarity its maximum.
     ``expressions`` has one row per (query, expression).
     """
-    n = expressions.groupBy(key).agg(F.count(F.lit(1)).alias("n_expressions"))
+    n = expressions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_expressions"))
     return (
-        fused.groupBy(key, "chunk_id", *keep)
+        fused.groupBy(*keys, "chunk_id", *keep)
         .agg(
             F.sum("score").alias("total"), F.min("bm25_rank").alias("bm25_rank"),
             F.min("dense_rank").alias("dense_rank"), F.max("similarity").alias("similarity"),
         )
-        .join(n, key)
+        .join(n, list(keys))
         .withColumn("score", F.round(F.col("total") / F.col("n_expressions"), FUSED_DIGITS))
         .drop("total", "n_expressions")
     )

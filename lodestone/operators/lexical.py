@@ -103,7 +103,7 @@ def bm25_fts(tf: Column, idf: Column, length: Column, average: Column) -> Column
 
 
 def lexical_scores(
-    terms: DataFrame,
+    terms: DataFrame | None,
     queries: DataFrame,
     options: RetrievalOptions = RetrievalOptions(),
     keys: tuple[str, ...] = ("query_id",),
@@ -113,15 +113,20 @@ def lexical_scores(
     idf_variant: str = "clamped",
     title: bool = True,
     stats: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, chunk_id, keep, score) for every chunk sharing a term with a query (OR semantics).
 
     ``allowed`` filters scored chunks on their ``keep`` columns; statistics stay global.
+    ``counted`` are stored postings (chunk, field, term, tf) used instead of ``terms``.
     """
     use_title = title and options.title_weight > 0
     wanted, small = _lookup(queries, keys, text)
     vocabulary = wanted.select("term").distinct()
-    hits = matched_postings(terms, vocabulary, small, keep, title)
+    if counted is None:
+        hits = matched_postings(terms, vocabulary, small, keep, title)
+    else:
+        hits = counted.join(small_side(vocabulary, small), "term", "left_semi")
     stats = F.broadcast(corpus_stats(terms) if stats is None else stats)  # one row by construction
     if options.lexical_engine == "fts":
         per_chunk = hits.groupBy("chunk_id", *keep, "total_len", "term").agg(
@@ -169,7 +174,7 @@ def top_candidates(
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def lexical_lane(terms: DataFrame, queries: DataFrame, options: RetrievalOptions = RetrievalOptions(), **kw) -> DataFrame:
+def lexical_lane(terms: DataFrame | None, queries: DataFrame, options: RetrievalOptions = RetrievalOptions(), **kw) -> DataFrame:
     keys = kw.get("keys", ("query_id",))
     return top_candidates(lexical_scores(terms, queries, options, **kw), options.bm25_candidates, keys)
 
