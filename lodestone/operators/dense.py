@@ -46,6 +46,10 @@ def _block_best(block: pd.DataFrame, queries: np.ndarray, n: int, floor: float |
     return _best(found, n)
 
 
+def _numbers(n: int):
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def dense_scores(
     vectors: DataFrame,
     queries: DataFrame,
@@ -93,11 +97,11 @@ def dense_scores(
     left = queries.select(
         *[F.col(k).alias(f"key_{k}") for k in keys], F.col("embedding").alias("query_vector"),
         F.pmod(F.xxhash64(*keys), F.lit(query_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).cast("long").alias("cb"),
+        F.explode(_numbers(chunk_blocks)).alias("cb"),
     )
     right = wanted.withColumns(
         {"cb": F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks))}
-    ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+    ).withColumn("qb", F.explode(_numbers(query_blocks)))
 
     def meet(query_frame: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if query_frame.empty or block.empty:

@@ -40,26 +40,50 @@ class SearchEngine:
         self.index, self.provider, self.options, self.collections = index, provider, options, collections
         self.spark = index.spark
 
-    def _query_vectors(self, rows: list[tuple]) -> DataFrame:
+    def _embed_queries(self, rows: list[tuple]) -> tuple[DataFrame | None, dict[tuple, tuple[str, str]]]:
+        """Vectors of the expressions that could be embedded, and what failed per query.
+
+        One call for the batch; only if it fails are texts tried one by one, so that a bad
+        text does not take the other queries down.
+        """
         from ..functions.vectors import require_unit_vector
 
+        vector: dict[str, list[float]] = {}
+        failed: dict[str, str] = {}
         texts = list(dict.fromkeys(r[4] for r in rows))
-        found, _ = self.provider.embed(texts, "query")
-        vector = dict(zip(texts, found))
-        frame = self.spark.createDataFrame(
-            [(r[0], r[2], r[3], [float(x) for x in vector[r[4]]]) for r in rows],
-            "request_id long, query_id string, expr int, v array<double>",
-        )
-        return frame.select(*KEYS, require_unit_vector("v", self.provider.dimensions).alias("embedding"))
+        try:
+            if self.provider is None:
+                raise ValueError("Embedding provider unavailable")
+            vector = dict(zip(texts, self.provider.embed(texts, "query")[0]))
+        except ValueError as broken:
+            for text in texts:
+                try:
+                    if self.provider is None:
+                        raise broken
+                    vector[text] = self.provider.embed([text], "query")[0][0]
+                except ValueError as failure:
+                    failed[text] = str(failure)
+        problems: dict[tuple, tuple[str, str]] = {}
+        for request, _, query, _, _ in rows:
+            own = [r[4] for r in rows if (r[0], r[2]) == (request, query)]
+            messages = list(dict.fromkeys(failed[t] for t in own if t in failed))
+            if messages:
+                lost = "error" if all(t in failed for t in own) else "partial_failure"
+                problems[(request, query)] = (lost, "; ".join(messages))
+        usable = [(r[0], r[2], r[3], [float(x) for x in vector[r[4]]]) for r in rows if r[4] in vector]
+        if not usable:
+            return None, problems
+        frame = self.spark.createDataFrame(usable, "request_id long, query_id string, expr int, v array<double>")
+        return frame.select(*KEYS, require_unit_vector("v", self.provider.dimensions).alias("embedding")), problems
 
     def _candidates(self, state: dict, requests: list[tuple[int, SearchRequest]]):
-        """Ranked candidates per query, with the lane counts and any dense failure."""
+        """Ranked candidates per query, with the lane counts and the dense failures."""
         filters, options = requests[0][1].filters, requests[0][1].options
         rows = _expressions(requests)
         expressions = self.spark.createDataFrame(rows, _EXPRESSION_SCHEMA)
         allowed = scope(filters)
         keep = ("source_id", "collection_id", "relative_path")
-        lanes, error = None, None
+        lanes, problems = None, {}
         if options.mode != "dense":
             # Bounded by 4,096 terms per request: the driver may know the buckets to read.
             wanted = lexical.query_terms(expressions, keys=KEYS).select(term_bucket(F.col("term")).alias("b")).distinct()
@@ -71,16 +95,12 @@ class SearchEngine:
             )
             lanes = fusion.tag_lane(ranked, "bm25")
         if options.mode != "bm25":
-            try:
-                if self.provider is None:
-                    raise ValueError("Embedding provider unavailable")
-                queries = self._query_vectors(rows)
+            queries, problems = self._embed_queries(rows)
+            if queries is not None:
                 corpus = self.index.vectors(state, self.index.profile.vector_key(self.provider))
                 corpus = corpus if allowed is None else corpus.filter(allowed)
                 near = fusion.tag_lane(dense.dense_lane(corpus, queries, options, keys=KEYS, keep=keep), "dense")
                 lanes = near if lanes is None else lanes.unionByName(near.select(*lanes.columns))
-            except ValueError as failure:  # lexical results still count
-                error = str(failure)
         if lanes is None:
             empty = "request_id long, query_id string, chunk_id string, source_id string, score double, bm25_rank int, dense_rank int, similarity double, rank int"
             merged = self.spark.createDataFrame([], empty)
@@ -92,7 +112,7 @@ class SearchEngine:
         counts = None if lanes is None else lanes.groupBy(*PER_QUERY).agg(
             F.sum((F.col("lane") == "bm25").cast("int")).alias("bm25"), F.sum((F.col("lane") == "dense").cast("int")).alias("dense")
         )
-        return merged.join(F.broadcast(ordinals), list(PER_QUERY)), ordinals, counts, error
+        return merged.join(F.broadcast(ordinals), list(PER_QUERY)), ordinals, counts, problems
 
     def search(self, requests: Sequence[dict[str, Any]], uuid_ids: bool = True) -> DataFrame:
         """One packed response per request; requests with the same scope and options share a job."""
@@ -105,16 +125,19 @@ class SearchEngine:
             key = self.index.profile.vector_key(self.provider) if self.provider else None
             mode = options.mode if options.mode == "bm25" or self.provider else "bm25"
             state = self.index.require(mode, key)
-            candidates, ordinals, counts, error = self._candidates(state, members)
-            status = "ok" if error is None else "error" if options.mode == "dense" else "partial_failure"
-            asked = ordinals.withColumns({"error": F.lit(error).cast("string")})
+            candidates, ordinals, counts, problems = self._candidates(state, members)
+            failures = self.spark.createDataFrame(
+                [(r, q, lost if options.mode == "dense" else "partial_failure", text) for (r, q), (lost, text) in problems.items()],
+                "request_id long, query_id string, failed string, error string",
+            )
+            asked = ordinals.join(F.broadcast(failures), list(PER_QUERY), "left")
             if counts is None:
                 asked = asked.withColumns({"bm25": F.lit(0), "dense": F.lit(0)})
             else:
                 asked = asked.join(counts, list(PER_QUERY), "left").fillna(0, ["bm25", "dense"])
             asked = asked.withColumn(
                 "status",
-                F.when(F.lit(status) != "ok", F.lit(status)).when(F.col("bm25") + F.col("dense") > 0, "ok").otherwise("empty"),
+                F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("bm25") + F.col("dense") > 0, "ok").otherwise("empty"),
             )
             evidence = self.index.chunks(state)
             packed = pack_responses(candidates, evidence, asked, options, diagnostics)
