@@ -10,8 +10,10 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
-            "spark.default.parallelism": "4",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+            "spark.default.parallelism": "2",
+            # Fixtures hold a few rows: compiling code for each plan would take most of the time.
+            "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -158,7 +158,7 @@ def test_sync_lifecycle_and_search(spark, notes, tmp_path):
     ).collect()
     body = {r["request_id"]: json.loads(r["response"]) for r in rows}
     hits = lambda i: [(e["path"].rsplit("/", 1)[-1], e["start_line"]) for e in body[i]["results"]]
-    assert hits(0)[0] == ("a.md", 5) and body[0]["status"] == "ok"
+    assert {h[0] for h in hits(0)[:3]} == {"a.md"} and body[0]["status"] == "ok"
     assert [h[0] for h in hits(1)] == ["state.md"]
     assert body[2]["results"][0]["path"].endswith("b.md") and {q["query_id"] for q in body[2]["queries"]} == {"r", "v"}
     assert body[3]["results"] == [] and body[3]["queries"][0]["empty_reason"] == "no_candidates"
