@@ -214,7 +214,7 @@ _CHUNK_RUN = f"""with recursive {SQL_CHUNKS.replace('with recursive w as', 'with
 
 def chunk_run(spark, sf_dir):
     """Top-10 line chunks per passage with text, plus the anchors and lines to judge them."""
-    chunks = line_chunks(spark, sf_dir)
+    chunks = cut_lineage(line_chunks(spark, sf_dir))
     terms = lx.term_table(chunks)
     lane = lx.lexical_lane(terms, passages(spark, sf_dir), BODY_ONLY.override({"bm25_candidates": 10}), title=False)
     pieces = cut_lineage(

@@ -16,14 +16,14 @@ _JOIN_DIGITS = ",;"
 _JOINERS = _JOIN_BOTH + _JOIN_LETTERS + _JOIN_DIGITS
 
 # Word boundaries in the manner of UAX #29: a joiner survives only between two letters or
-# two digits. Written as single-character separators for split(), so that java.util.regex
-# never recurses however long a token is.
+# two digits. Written as short separators for split(), so that java.util.regex never recurses
+# however long a token is; the joiner itself comes first so that other characters fail fast.
 WORD_SEPARATOR = (
     rf"[^{_LETTER}\p{{N}}_{_JOINERS}]+"
-    rf"|(?!(?<=[{_LETTER}])[{_JOIN_BOTH}{_JOIN_LETTERS}](?=[{_LETTER}])"
-    rf"|(?<=\p{{N}})[{_JOIN_BOTH}{_JOIN_DIGITS}](?=\p{{N}}))[{_JOINERS}]"
-    rf"|(?<![{_LETTER}\p{{N}}_])_+(?![{_LETTER}\p{{N}}_])"
+    rf"|[{_JOINERS}](?!(?<=[{_LETTER}][{_JOIN_BOTH}{_JOIN_LETTERS}])[{_LETTER}]"
+    rf"|(?<=\p{{N}}[{_JOIN_BOTH}{_JOIN_DIGITS}])\p{{N}})"
 )
+CAMEL = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9_.$-]*"
 HAN_RUN = r"\p{IsHan}+"
 LINE_BREAK = r"\r\n|\n|\r"
@@ -41,14 +41,23 @@ def nfkc(text: Column | str) -> Column:
     composed = F.java_method(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True)
     )
-    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
+    return F.when(_not_ascii(c), composed).otherwise(c)
+
+
+def _not_ascii(c: Column) -> Column:
+    """Cheaper than a regex: more bytes than characters."""
+    return F.octet_length(c) > F.char_length(c)
+
+
+def _has_han(c: Column) -> Column:
+    return _not_ascii(c) & c.rlike(HAN_RUN)
 
 
 def words(normalized: Column) -> Column:
-    plain = F.when(
-        normalized.rlike(HAN_RUN), F.regexp_replace(normalized, HAN_RUN, " ")
-    ).otherwise(normalized)
-    return F.array_remove(F.split(F.lower(plain), WORD_SEPARATOR), "")
+    plain = F.when(_has_han(normalized), F.regexp_replace(normalized, HAN_RUN, " ")).otherwise(normalized)
+    found = F.array_remove(F.split(F.lower(plain), WORD_SEPARATOR), "")
+    lettered = F.filter(found, lambda w: ~w.rlike("^_+$"))
+    return F.when(F.contains(plain, F.lit("_")), lettered).otherwise(found)
 
 
 def _camel_split(c: Column) -> Column:
@@ -60,7 +69,8 @@ def identifiers(normalized: Column) -> Column:
     """Whole identifiers followed by their camel-case and punctuation parts."""
     joined = F.array_join(F.regexp_extract_all(normalized, F.lit(IDENTIFIER), F.lit(0)), " ")
     whole = F.array_remove(F.split(F.lower(joined), " "), "")
-    parts = F.regexp_extract_all(F.lower(_camel_split(joined)), F.lit("[a-z0-9]+"), F.lit(0))
+    apart = F.when(joined.rlike(CAMEL), _camel_split(joined)).otherwise(joined)
+    parts = F.regexp_extract_all(F.lower(apart), F.lit("[a-z0-9]+"), F.lit(0))
     return F.concat(whole, parts)
 
 
@@ -89,7 +99,7 @@ def han_terms(normalized: Column) -> Column:
         ),
     )
     kept = F.filter(F.flatten(grams), lambda t: ~t.isin(list(STOPWORDS)))
-    return F.when(normalized.rlike(HAN_RUN), kept).otherwise(F.array().cast("array<string>"))
+    return F.when(_has_han(normalized), kept).otherwise(F.array().cast("array<string>"))
 
 
 def tokenize(
@@ -122,7 +132,7 @@ def utf16_length(text: Column | str) -> Column:
     """Length in UTF-16 units: code points plus one more for each astral one."""
     c = _as_col(text)
     astral = F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    return F.length(c) + F.when(c.rlike(r"[^\x00-\x7F]"), astral).otherwise(F.lit(0))
+    return F.length(c) + F.when(_not_ascii(c), astral).otherwise(F.lit(0))
 
 
 def escape_cost(text: Column | str) -> Column:

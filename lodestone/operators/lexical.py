@@ -115,7 +115,7 @@ def lexical_scores(
     stats: DataFrame | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, chunk_id, keep, score) for every chunk sharing a term with a query (OR semantics).
+    """(keys, chunk_id, score) for every chunk sharing a term with a query (OR semantics).
 
     ``allowed`` filters scored chunks on their ``keep`` columns; statistics stay global.
     ``counted`` are stored postings (chunk, field, term, tf) used instead of ``terms``.
@@ -123,33 +123,30 @@ def lexical_scores(
     use_title = title and options.title_weight > 0
     wanted, small = _lookup(queries, keys, text)
     vocabulary = wanted.select("term").distinct()
+    carried = keep if allowed is not None else ()
     if counted is None:
-        hits = matched_postings(terms, vocabulary, small, keep, title)
+        hits = matched_postings(terms, vocabulary, small, carried, title)
     else:
-        hits = counted.join(small_side(vocabulary, small), "term", "left_semi")
+        lengths = ["chunk_id", *carried, "title_len", "body_len", "total_len"]
+        hits = counted.select(*lengths, "field", "term", "tf").join(small_side(vocabulary, small), "term", "left_semi")
     stats = F.broadcast(corpus_stats(terms) if stats is None else stats)  # one row by construction
+    # A posting's contribution does not depend on the query: it is computed once per posting,
+    # and the join with the queries only adds up.
     if options.lexical_engine == "fts":
-        per_chunk = hits.groupBy("chunk_id", *keep, "total_len", "term").agg(
-            F.sum(
-                F.when(F.col("field") == "title", F.lit(float(options.title_weight))).otherwise(F.lit(1.0))
-                * F.col("tf")
-            ).alias("tf")
+        title_tf = F.when(F.col("field") == "title", F.lit(float(options.title_weight))).otherwise(F.lit(1.0))
+        hits = hits.groupBy("chunk_id", *carried, "total_len", "term").agg(F.sum(title_tf * F.col("tf")).alias("tf"))
+        frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weights = frequency.join(stats).select(
+            "term", "avg_total", bm25_idf(F.col("df"), F.col("n_docs"), idf_variant).alias("idf")
         )
-        frequency = per_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weights = wanted.join(frequency, "term").join(stats).select(
-            *keys, "term", "avg_total", bm25_idf(F.col("df"), F.col("n_docs"), idf_variant).alias("idf")
-        )
-        scored = per_chunk if allowed is None else per_chunk.filter(allowed)
+        on = ["term"]
         score = bm25_fts(F.col("tf"), F.col("idf"), F.col("total_len"), F.col("avg_total"))
-        joined = scored.join(small_side(weights, small), "term")
     else:
         if not use_title:
             hits = hits.filter(F.col("field") == "body")
         frequency = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        weights = wanted.join(frequency, "term").join(stats).select(
-            *keys, "field", "term", "df", "n_docs", "avg_title", "avg_body"
-        )
-        scored = hits if allowed is None else hits.filter(allowed)
+        weights = frequency.join(stats).select("field", "term", "df", "n_docs", "avg_title", "avg_body")
+        on = ["field", "term"]
         is_title = F.col("field") == "title"
         score = F.when(is_title, F.lit(float(options.title_weight))).otherwise(F.lit(1.0)) * bm25plus(
             F.col("tf"), F.col("df"), F.col("n_docs"),
@@ -157,8 +154,10 @@ def lexical_scores(
             F.when(is_title, F.col("avg_title")).otherwise(F.col("avg_body")),
             options.bm25_k, options.bm25_b, options.bm25_d,
         )
-        joined = scored.join(small_side(weights, small), ["field", "term"])
-    return joined.groupBy(*keys, "chunk_id", *keep).agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
+    scored = hits if allowed is None else hits.filter(allowed)
+    worth = scored.join(small_side(weights, small), on).select("chunk_id", "term", score.alias("worth"))
+    joined = worth.join(small_side(wanted.select(*keys, "term"), small), "term")
+    return joined.groupBy(*keys, "chunk_id").agg(F.round(F.sum("worth"), SCORE_DIGITS).alias("score"))
 
 
 def top_candidates(
@@ -174,9 +173,22 @@ def top_candidates(
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def lexical_lane(terms: DataFrame | None, queries: DataFrame, options: RetrievalOptions = RetrievalOptions(), **kw) -> DataFrame:
+def lexical_lane(
+    terms: DataFrame | None,
+    queries: DataFrame,
+    options: RetrievalOptions = RetrievalOptions(),
+    keep: tuple[str, ...] = (),
+    chunks: DataFrame | None = None,
+    **kw,
+) -> DataFrame:
+    """Ranked lexical candidates; ``keep`` columns of ``chunks`` join only the returned ones."""
     keys = kw.get("keys", ("query_id",))
-    return top_candidates(lexical_scores(terms, queries, options, **kw), options.bm25_candidates, keys)
+    lane = top_candidates(lexical_scores(terms, queries, options, keep=keep, **kw), options.bm25_candidates, keys)
+    if not keep:
+        return lane
+    known = (terms if chunks is None else chunks).select("chunk_id", *keep)
+    few = fits(queries, BROADCAST_ROW_LIMIT // options.bm25_candidates)
+    return known.join(small_side(lane, few), "chunk_id").select(*lane.columns, *keep)
 
 
 def term_frequencies(terms: DataFrame) -> DataFrame:
