@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
 
 DEPTHS = (1, 3, 5, 10)
 
@@ -49,7 +49,10 @@ def order_statistics(
             F.sum("n").alias("total"),
         )
     )
-    bucketed = counts.join(cuts, keys).withColumn(
+    # Joining on the group alone would bring a large group together, so the cuts are broadcast
+    # while small; with very many groups AQE splits a skewed one.
+    few = fits(cuts, BROADCAST_ROW_LIMIT // buckets)
+    bucketed = counts.join(small_side(cuts, few), keys).withColumn(
         "bucket", F.size(F.filter("cuts", lambda c: c < F.col("v")))
     ).drop("cuts")
     totals = bucketed.groupBy(*keys, "bucket", "total").agg(F.sum("n").alias("size"))
@@ -63,12 +66,16 @@ def order_statistics(
         low, high = F.floor((n - 1) * F.col("p")) + 1, F.ceil((n - 1) * F.col("p")) + 1
     spans = spans.withColumn("p", wanted).withColumns({"low": low.cast("long"), "high": high.cast("long")})
     touched = spans.filter((F.col("before") < F.col("high")) & (F.col("before") + F.col("size") >= F.col("low")))
-    inside = bucketed.join(touched.select(*keys, "bucket", "before").distinct(), [*keys, "bucket"])
+    inside = bucketed.join(
+        small_side(touched.select(*keys, "bucket", "before").distinct(), few), [*keys, "bucket"]
+    )
     running = W.partitionBy(*keys, "bucket").orderBy("v")
     placed = inside.withColumn("upto", F.col("before") + F.sum("n").over(running)).select(
         *keys, "bucket", "v", "n", "upto"
     )
-    picked = placed.join(touched.select(*keys, "bucket", "p", "low", "high", "total"), [*keys, "bucket"])
+    picked = placed.join(
+        small_side(touched.select(*keys, "bucket", "p", "low", "high", "total"), few), [*keys, "bucket"]
+    )
 
     def at(rank: str) -> Column:
         return F.max(F.when((F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("n") < F.col(rank)), F.col("v")))
