@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import RetrievalOptions
 from ..functions.text import tokenize
-from ..session import BROADCAST_ROW_LIMIT, fits, small_side
+from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
 
 QUERY_TERM_CAP = 128
+# Stands for "this chunk exists" among its postings; no token contains a control character.
+CHUNK_MARK = "\u0000"
 # Sums of doubles depend on the order of addition; scores are compared at this precision.
 SCORE_DIGITS = 9
 
@@ -58,10 +60,11 @@ def _lookup(queries: DataFrame, keys: tuple[str, ...], text: str):
     return query_terms(queries, text, keys), small
 
 
-def postings(terms: DataFrame, keep: tuple[str, ...] = (), title: bool = True) -> DataFrame:
-    """Occurrences as rows: (chunk, field, term, tf) with the chunk's lengths."""
+def postings(terms: DataFrame, keep: tuple[str, ...] = (), title: bool = True, mark: bool = False) -> DataFrame:
+    """Occurrences as rows: (chunk, field, term) with the chunk's lengths; ``mark`` adds one per chunk."""
     keys = ["chunk_id", *keep, "title_len", "body_len", "total_len"]
-    body = terms.select(*keys, F.lit("body").alias("field"), F.explode("body_terms").alias("term"))
+    found = F.concat("body_terms", F.array(F.lit(CHUNK_MARK))) if mark else F.col("body_terms")
+    body = terms.select(*keys, F.lit("body").alias("field"), F.explode(found).alias("term"))
     if not title:
         return body
     heads = terms.select(*keys, F.lit("title").alias("field"), F.explode("title_terms").alias("term"))
@@ -71,14 +74,16 @@ def postings(terms: DataFrame, keep: tuple[str, ...] = (), title: bool = True) -
 def matched_postings(
     terms: DataFrame, vocabulary: DataFrame, small: bool, keep: tuple[str, ...] = (), title: bool = True
 ) -> DataFrame:
-    """Postings of the query vocabulary only.
+    """Postings of the query vocabulary, and one marked row per chunk for the corpus statistics.
 
     The vocabulary is joined before counting, so only occurrences of query terms reach the
-    shuffle, already summed per chunk on the map side.
+    shuffle, already summed per chunk on the map side. Texts are tokenised exactly once: the
+    result is checkpointed, and frequencies, statistics and scores all read it.
     """
-    found = postings(terms, keep, title).join(small_side(vocabulary, small), "term", "left_semi")
+    wanted = vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([(CHUNK_MARK,)], "term string"))
+    found = postings(terms, keep, title, mark=True).join(small_side(wanted, small), "term", "left_semi")
     keys = ["chunk_id", *keep, "title_len", "body_len", "total_len", "field", "term"]
-    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+    return cut_lineage(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf")))
 
 
 def bm25plus(tf: Column, df: Column, n: Column, length: Column, average: Column, k, b, d) -> Column:
@@ -118,18 +123,21 @@ def lexical_scores(
     """(keys, chunk_id, score) for every chunk sharing a term with a query (OR semantics).
 
     ``allowed`` filters scored chunks on their ``keep`` columns; statistics stay global.
-    ``counted`` are stored postings (chunk, field, term, tf) used instead of ``terms``.
+    ``counted`` are stored postings (chunk, field, term, tf) used instead of ``terms``, together
+    with ``stats``.
     """
     use_title = title and options.title_weight > 0
     wanted, small = _lookup(queries, keys, text)
     vocabulary = wanted.select("term").distinct()
     carried = keep if allowed is not None else ()
     if counted is None:
-        hits = matched_postings(terms, vocabulary, small, carried, title)
+        everything = matched_postings(terms, vocabulary, small, carried, title)
+        stats = corpus_stats(everything.filter(F.col("term") == CHUNK_MARK)) if stats is None else stats
+        hits = everything.filter(F.col("term") != CHUNK_MARK)
     else:
         lengths = ["chunk_id", *carried, "title_len", "body_len", "total_len"]
         hits = counted.select(*lengths, "field", "term", "tf").join(small_side(vocabulary, small), "term", "left_semi")
-    stats = F.broadcast(corpus_stats(terms) if stats is None else stats)  # one row by construction
+    stats = F.broadcast(stats)  # one row by construction
     # A posting's contribution does not depend on the query: it is computed once per posting,
     # and the join with the queries only adds up.
     if options.lexical_engine == "fts":

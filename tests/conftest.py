@@ -2,11 +2,8 @@ import pytest
 
 from lodestone.session import build_session
 
-DATA = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session(
         "tests", "local[4]",
         **{
@@ -17,6 +14,5 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
