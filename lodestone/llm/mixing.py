@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .shared import shared_table, small_or_plain, words_of
 
-BLOCK = 64
+BLOCK = 32
 SHARD_DOCS = 5_000
 
 
@@ -157,7 +157,10 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: floa
     words = F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + p["inside"])
     copies = copies.withColumn("_own", own).withColumn("_taken", words).where("_taken > 0")
     spaced = F.regexp_extract_all(F.col("text"), F.lit("[^ \\x09-\\x0D]+[ \\x09-\\x0D]*"), F.lit(0))
-    parts = F.transform("_own", lambda p: F.array_join(F.slice(F.col("_spaced"), (p["before"] + 1).cast("int"), p["inside"].cast("int")), ""))
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.array_join(parts, ""))
-    cut = copies.withColumn("_spaced", F.when(F.col("_taken") < F.col("_size"), spaced)).withColumn("text", text)
+    # The words are bound to a lambda variable, so they are found once a row and not once a piece.
+    cut_words = lambda ws: F.array_join(
+        F.transform("_own", lambda p: F.array_join(F.slice(ws, (p["before"] + 1).cast("int"), p["inside"].cast("int")), "")), ""
+    )
+    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.get(F.transform(F.array(spaced), cut_words), F.lit(0)))
+    cut = copies.withColumn("text", text)
     return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -68,8 +68,7 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
-    out = out.select(
-        *docs.columns,
+    features = F.struct(
         n.cast("long").alias("n_words"),
         F.length(without_space(F.col(body))).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(F.col(body), "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -77,6 +76,8 @@ def rule_features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(lines).cast("long").alias(lines),
         _repeat_words(words, grams, ordered).cast("long").alias("n_repeat_words"),
     )
+    # Rows made by a generator: a filter on a feature stays above it and does not compute the arrays again.
+    out = out.select(*docs.columns, F.inline(F.array(features)))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     other = (
         (100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * F.col("n_words"))
