@@ -82,61 +82,62 @@ def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _bucket_rows(packed: list, meta: np.ndarray, compare: Callable) -> pa.RecordBatch | None:
-    """Verdicts of one group of packed strings; meta columns: anchor, whole, copies, parts."""
-    repeated, sizes, digests = compare(packed, meta[:, 2], bool(meta[0, 3] > 1))
+def _verdict_rows(packed: list, meta: np.ndarray, compare: Callable, digest: Callable) -> pa.RecordBatch | None:
+    """Verdicts of whole buckets; meta columns: anchor, salt, whole, copies, parts.
+
+    Ranges of windows that repeat within their group; of groups that are part of a bucket also the
+    digest of every different window, once each.
+    """
+    bucket = np.cumsum(np.concatenate(([0], (meta[1:, :2] != meta[:-1, :2]).any(axis=1))))
+    repeated, lead, sizes = compare(packed, meta[:, 3], bucket)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    anchor, whole, digest, copies, first, last = [], [], [], [], [], []
-    if meta[0, 3] > 1:
-        owner = np.repeat(np.arange(len(packed)), sizes)
-        index = np.arange(bounds[-1]) - bounds[owner]
-        anchor, whole, copies, first, digest = meta[owner, 0], meta[owner, 1], meta[owner, 2], index, digests
-        last = index + 1
-    else:
-        starts, ends = [], []
-        for i in range(len(packed)):
-            a, b = stretches(repeated[bounds[i] : bounds[i + 1]])
-            if len(a):
-                anchor.append(np.full(len(a), meta[i, 0]))
-                whole.append(np.full(len(a), meta[i, 1]))
-                copies.append(np.full(len(a), meta[i, 2]))
-                starts.append(a)
-                ends.append(b)
-        if not starts:
-            return None
-        anchor, whole, copies, first, last = (np.concatenate(x) for x in (anchor, whole, copies, starts, ends))
-        digest = [None] * len(first)
+    owner, first, last = [], [], []
+    for i in range(len(packed)):
+        begin, end = stretches(repeated[bounds[i] : bounds[i + 1]])
+        owner.append(np.full(len(begin), i))
+        first.append(begin)
+        last.append(end)
+    owner, first, last = (np.concatenate(x).astype(np.int64) for x in (owner, first, last))
+    digests, copies = [None] * len(owner), np.full(len(owner), 2)
+    parted = np.flatnonzero(lead & np.repeat(meta[:, 4] > 1, sizes))
+    if len(parted):
+        string = np.searchsorted(bounds, parted, side="right") - 1
+        index = parted - bounds[string]
+        digests += [digest(packed[i], k) for i, k in zip(string.tolist(), index.tolist())]
+        copies = np.concatenate((copies, np.where(repeated[parted], 2, 1)))
+        owner, first, last = np.concatenate((owner, string)), np.concatenate((first, index)), np.concatenate((last, index + 1))
+    if not len(owner):
+        return None
     return pa.RecordBatch.from_arrays(
-        [pa.array(anchor, pa.int64()), pa.array(whole, pa.int64()), pa.array(digest, pa.binary()),
-         pa.array(np.asarray(copies, np.int32)), pa.array(np.asarray(first, np.int32)), pa.array(np.asarray(last, np.int32))],
+        [pa.array(meta[owner, 0]), pa.array(meta[owner, 2]), pa.array(digests, pa.binary()), pa.array(copies.astype(np.int32)),
+         pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
         names=["anchor", "whole", "digest", "copies", "first", "last"],
     )
 
 
-def _compare_buckets(strings: DataFrame, compare: Callable) -> DataFrame:
-    """Streams the groups (anchor, salt) of a sorted partition through ``compare``."""
+def _compare_buckets(strings: DataFrame, compare: Callable, digest: Callable) -> DataFrame:
+    """Streams a sorted partition through ``compare``, whole groups (anchor, salt) of about BUCKET_RUNS strings at a time."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         rows: list = []
-        current = None
         for batch in batches:
-            keys = np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "salt", "whole", "copies", "parts")]).astype(np.int64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "salt", "whole", "copies", "parts")]).astype(np.int64)
             packed = batch.column("packed").to_pylist()
-            cut = np.flatnonzero((np.diff(keys[:, 0]) != 0) | (np.diff(keys[:, 1]) != 0)) + 1
+            cut = np.flatnonzero((keys[1:, :2] != keys[:-1, :2]).any(axis=1)) + 1
             for i, j in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))):
-                if current is not None and (keys[i, 0], keys[i, 1]) != current:
-                    out = _bucket_rows(held, np.concatenate(rows), compare)
+                begins = not rows or (keys[i, :2] != rows[-1][-1, :2]).any()
+                if begins and len(held) >= BUCKET_RUNS:
+                    out = _verdict_rows(held, np.concatenate(rows), compare, digest)
                     if out is not None:
                         yield out
                     held, rows = [], []
-                current = (keys[i, 0], keys[i, 1])
                 held.extend(packed[i:j])
-                rows.append(keys[i:j][:, [0, 2, 3, 4]])
+                rows.append(keys[i:j])
         if held:
-            out = _bucket_rows(held, np.concatenate(rows), compare)
+            out = _verdict_rows(held, np.concatenate(rows), compare, digest)
             if out is not None:
                 yield out
 
@@ -144,7 +145,7 @@ def _compare_buckets(strings: DataFrame, compare: Callable) -> DataFrame:
 
 
 def repeated_windows(
-    keyed: DataFrame, elements: Elements, pack: Callable, compare: Callable, window: int, k: int, slice_bytes: int
+    keyed: DataFrame, elements: Elements, pack: Callable, compare: Callable, digest: Callable, window: int, k: int, slice_bytes: int
 ) -> DataFrame:
     """key, ranges: array<struct<first, last>> of window starts (in elements) that occur elsewhere too.
 
@@ -175,7 +176,7 @@ def repeated_windows(
     )
     texts = wanted.join(keyed.select("key", "text"), "key")
     strings = _strings(texts.select("key", "text", "wanted"), pack, window)
-    compared = shared_table(_compare_buckets(strings, compare), "compared")
+    compared = shared_table(_compare_buckets(strings, compare, digest), "compared")
     settled = compared.where("digest is null").select("anchor", "whole", "first", "last")
     parted = compared.where("digest is not null")
     again = shared_table(parted.groupBy("digest").agg(F.sum("copies").alias("c")).where("c > 1").select("digest"), "digests")

@@ -37,24 +37,22 @@ def _pack(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes
     return [data[s : s + n].tobytes() for s, n in zip(start, length)]
 
 
-def sort_suffixes(packed: list[bytes], copies: np.ndarray, digests: bool, depth: int):
-    """Flags of suffixes whose first ``depth`` bytes occur at least twice, suffixes per string, digests on request."""
-    sizes = np.array([len(p) - depth + 1 for p in packed])
+def sort_suffixes(packed: list[bytes], copies: np.ndarray, bucket: np.ndarray, depth: int):
+    """Flags of suffixes whose first ``depth`` bytes occur at least twice in their bucket, flags of the first
+    suffix of each different one, suffixes per string. ``bucket``: ascending number of each string."""
     lengths = np.array([len(p) for p in packed])
+    sizes = lengths - depth + 1
     buffer = np.frombuffer(b"".join(packed) + bytes(8), dtype=np.uint8)
     bases = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(packed)), sizes)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + bases[owner]
-    if digests:
-        raw = buffer.tobytes()
-        return None, sizes, [blake2b(raw[s : s + depth], digest_size=16).digest() for s in start]
     digit = np.zeros(len(buffer) - 7, dtype=np.uint64)
     for i in range(8):
         digit |= buffer[i : len(buffer) - 7 + i].astype(np.uint64) << np.uint64(8 * (7 - i))
     repeated = copies[owner] > 1
     # ``rank``: suffixes in sorted order so far; ``group``: number of their group, ascending.
     rank = np.arange(len(start))
-    group = np.zeros(len(start), dtype=np.int64)
+    group = bucket[owner]
     for d in range(0, depth, 8):
         at = min(d, depth - 8)  # the last digit may overlap the one before
         key = digit[start[rank] + at]
@@ -74,8 +72,14 @@ def sort_suffixes(packed: list[bytes], copies: np.ndarray, digests: bool, depth:
             if not len(rank):
                 break
             group = np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1
+    lead = np.ones(len(start), dtype=bool)
+    lead[rank] = np.concatenate(([True], group[1:] != group[:-1])) if len(rank) else True
     repeated[rank] = True
-    return repeated, sizes, None
+    return repeated, lead, sizes
+
+
+def _digest(packed: bytes, index: int, depth: int) -> bytes:
+    return blake2b(packed[index : index + depth], digest_size=16).digest()
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
@@ -86,7 +90,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     key = free_name(docs, "_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     found = repeated_windows(
-        keyed.select(F.col(key).alias("key"), "text"), byte_elements, _pack, partial(_compare, depth=depth), depth, anchor, SLICE
+        keyed.select(F.col(key).alias("key"), "text"), byte_elements, _pack, partial(sort_suffixes, depth=depth),
+        partial(_digest, depth=depth), depth, anchor, SLICE,
     )
     ranges = free_name(docs, "_ranges")
     joined = keyed.join(found.select(F.col("key").alias(key), F.col("ranges").alias(ranges)), key, "left").drop(key)
@@ -122,6 +127,3 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
 
     return joined.mapInArrow(cut, schema)
 
-
-def _compare(packed: list[bytes], copies: np.ndarray, digests: bool, depth: int):
-    return sort_suffixes(packed, copies, digests, depth)

@@ -39,35 +39,33 @@ def _pack(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes
     return [b" ".join(data[s[a] : e[a + n - 1]].tobytes().split()) for a, n in zip(start, length)]
 
 
-def count_windows(packed: list[bytes], copies: np.ndarray, digests: bool, window: int):
-    """Flags of windows that occur at least twice among the strings (each ``copies`` times), windows per
-    string, digests on request."""
+def count_windows(packed: list[bytes], copies: np.ndarray, bucket: np.ndarray, window: int):
+    """Flags of windows that occur at least twice in their bucket (each string counts ``copies`` times), flags of
+    the first window of each different one, windows per string."""
     strings = [p.split(b" ") for p in packed]
     sizes = np.array([len(s) - window + 1 for s in strings])
-    if digests:
-        return None, sizes, [
-            blake2b(b" ".join(s[i : i + window]), digest_size=16).digest() for s in strings for i in range(len(s) - window + 1)
-        ]
     ids: dict[bytes, int] = {}
     rows = [
         np.lib.stride_tricks.sliding_window_view(np.array([ids.setdefault(w, len(ids)) for w in s], dtype=np.int32), window)
         for s in strings
     ]
-    windows = np.ascontiguousarray(np.concatenate(rows))
-    flat = windows.view(np.dtype((np.void, windows.itemsize * window))).ravel()
+    owner = np.repeat(np.arange(len(strings)), sizes)
+    windows = np.column_stack((bucket[owner].astype(np.int32), np.concatenate(rows)))
+    flat = np.ascontiguousarray(windows).view(np.dtype((np.void, windows.itemsize * (window + 1)))).ravel()
     order = np.argsort(flat, kind="stable")
     ordered = windows[order]
     new = np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))
     group = np.cumsum(new) - 1
-    weight = copies[np.repeat(np.arange(len(strings)), sizes)]
-    total = np.bincount(group, weights=weight[order])
+    total = np.bincount(group, weights=copies[owner][order])
     repeated = np.zeros(len(flat), dtype=bool)
     repeated[order] = total[group] > 1
-    return repeated, sizes, None
+    lead = np.zeros(len(flat), dtype=bool)
+    lead[order] = new
+    return repeated, lead, sizes
 
 
-def _compare(packed: list[bytes], copies: np.ndarray, digests: bool, window: int):
-    return count_windows(packed, copies, digests, window)
+def _digest(packed: bytes, index: int, window: int) -> bytes:
+    return blake2b(b" ".join(packed.split(b" ")[index : index + window]), digest_size=16).digest()
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER_WORDS) -> DataFrame:
@@ -78,7 +76,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int
     key, ranges = free_name(docs, "_key"), free_name(docs, "_ranges")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     found = repeated_windows(
-        keyed.select(F.col(key).alias("key"), "text"), word_elements, _pack, partial(_compare, window=window), window, minimiser, SLICE
+        keyed.select(F.col(key).alias("key"), "text"), word_elements, _pack, partial(count_windows, window=window),
+        partial(_digest, window=window), window, minimiser, SLICE,
     )
     joined = keyed.join(found.select(F.col("key").alias(key), F.col("ranges").alias(ranges)), key, "left").drop(key)
     schema = T.StructType(
