@@ -36,7 +36,7 @@ SLICE_PAIRS = 1_500_000
 FLUSH = 3_000_000
 SLICE = 1 << 20
 END = np.uint64(0x9D39247E33776D41)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -73,7 +73,7 @@ def level_count(levels: np.ndarray) -> np.ndarray:
 
 
 def _probe(pairs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    a = mix(pairs + np.uint64(level) * _STEP)
+    a = mix(pairs + np.uint64(level * _STEP % (1 << 64)))
     return a, mix(a) | np.uint64(1)
 
 

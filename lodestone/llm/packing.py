@@ -28,7 +28,7 @@ DIMENSIONS, BITS = 4, 11
 ROW_BITS = 63 - DIMENSIONS * BITS
 BUCKET_BYTES = 8 << 20
 SMALLEST = 64
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 SLICE = 2 << 20
 BETWEEN = "\x01"
 
@@ -91,33 +91,37 @@ class WordCache:
         self.bounds = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _add(self, hashes: list[int], pieces: list[np.ndarray]) -> None:
-        n, m = len(self.place), sum(len(p) for p in pieces)
+    def _add(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.place), len(flat)
         while self.used + m > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(pieces) + 1 > len(self.bounds):
+        while n + len(sizes) + 1 > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        if m:
-            self.flat[self.used : self.used + m] = np.concatenate(pieces)
-        self.bounds[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum([len(p) for p in pieces])
+        self.flat[self.used : self.used + m] = flat
+        self.bounds[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
         self.used += m
-        self.place.update(zip(hashes, range(n, n + len(pieces))))
-
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; plain words share one call with a separator between them."""
-        plain = [w for w in words if b"\x01" not in w and b"<|" not in w]
-        encode = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        out: dict[bytes, np.ndarray] = {}
-        if len(self.between) == 1:
-            for i in range(0, len(plain), 2000):
-                part = plain[i : i + 2000]
-                ids = encode(f" {BETWEEN} ".join(w.decode("utf-8", "replace") for w in part))
-                cut = np.flatnonzero(ids == self.between[0])
-                if len(cut) == len(part) - 1:
-                    out.update(zip(part, np.split(ids, cut)))
-                    for w in part[1:]:
-                        out[w] = out[w][1:]
-        return [out[w] if w in out else encode(w.decode("utf-8", "replace")) for w in words]
+        self.place.update(zip(hashes, range(n, n + len(sizes))))
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        """Encodes new words; plain ones share one call with a separator between them."""
+        plain = len(self.between) == 1
+        odd = [i for i, w in enumerate(words) if not plain or b"\x01" in w or b"<|" in w]
+        for i in odd:
+            ids = self._ids(words[i])
+            self._add([hashes[i]], ids, np.array([len(ids)]))
+        if odd:
+            skip = set(odd)
+            hashes = [h for i, h in enumerate(hashes) if i not in skip]
+            words = [w for i, w in enumerate(words) if i not in skip]
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = self._ids(b" \x01 ".join(part))
+            cut = np.flatnonzero(ids == self.between[0])
+            sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+            self._add(hashes[i : i + 2000], ids[ids != self.between[0]], sizes)
 
     def encode(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, index of each word's first id and the total)."""
@@ -127,8 +131,8 @@ class WordCache:
             self.clear()
         new = [i for i, h in enumerate(listed) if h not in self.place]
         if new:
-            words = [data[starts[where[i]] : ends[where[i]]].tobytes() for i in new]
-            self._add([listed[i] for i in new], self._encode(words))
+            raw, begin, end = data.tobytes(), starts[where].tolist(), ends[where].tolist()
+            self._learn([listed[i] for i in new], [raw[begin[i] : end[i]] for i in new])
         at = np.fromiter(map(self.place.__getitem__, listed), dtype=np.int64, count=len(listed))[back]
         begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         total = np.concatenate(([0], np.cumsum(size)))
