@@ -82,7 +82,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

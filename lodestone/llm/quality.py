@@ -132,12 +132,13 @@ def judge_documents(docs: DataFrame, hosts: DataFrame, host: str = "source") ->
     return joined.drop(key).withColumn("kept", kept)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
     """All documents with features, ``host_rate`` and ``kept``; hosts are judged over the whole table.
 
-    Features of a narrow copy (no text) are written once and give the host verdicts; the text itself
-    is never shuffled.
+    Documents with their features (without the text unless ``keep_text``) are written once, so each text is read
+    once; the host verdicts come from that table and are joined back to it.
     """
-    narrow = rule_features(docs.select(text, host), text).select(host, "failed")
-    hosts = shared_table(host_verdicts(narrow, host), "host-verdicts")
-    return judge_documents(rule_features(docs, text), hosts, host)
+    featured = rule_features(docs, text)
+    featured = shared_table(featured if keep_text else featured.drop(text), "features")
+    hosts = shared_table(host_verdicts(featured, host), "host-verdicts")
+    return judge_documents(featured, hosts, host)
