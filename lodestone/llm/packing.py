@@ -28,6 +28,7 @@ DIMENSIONS, BITS = 4, 11
 ROW_BITS = 63 - DIMENSIONS * BITS
 BUCKET_BYTES = 8 << 20
 SMALLEST = 64
+BOUND_ROWS = 300  # sampled rows per bucket that set the bounds of buckets
 CACHE_WORDS = 1_500_000
 SLICE = 2 << 20
 BETWEEN = "\x01"
@@ -103,7 +104,8 @@ class WordCache:
         self.place.update(zip(hashes, range(n, n + len(sizes))))
 
     def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
+        # The fast form leaves out character offsets, which are not needed here.
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _learn(self, hashes: list[int], words: list[bytes]) -> None:
         """Encodes new words; plain ones share one call with a separator between them."""
@@ -210,7 +212,8 @@ def pack(
     sequence_id, offset, padded_length (of its sequence). ``docs``: doc_id, text; ``tokenizer``: path of a file that
     every worker can read.
 
-    Texts are read twice (keys for the bucket bounds, then ids) and moved once, as ids.
+    Keys of about BOUND_ROWS documents per bucket set the bucket bounds; then every text is read once and
+    moved once, as ids.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt"))
@@ -224,16 +227,18 @@ def pack(
             data, offsets = text_buffer(batch.column("text"))
             salt = batch.column("salt").to_numpy()
             for i, j in row_slices(offsets, SLICE):
-                key = keys_of(data, offsets[i : j + 1], salt[i:j])[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.diff(offsets[i : j + 1]))], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(data, offsets[i : j + 1], salt[i:j])[-1])], names=["key"])
 
-    found = rows.mapInArrow(keys, "key long, n long")
-    steps_of = lambda b: [i / b for i in range(1, b)]
-    volume = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = int(max(1, volume // bucket_bytes))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    buckets = int(max(1, (size["b"] or 0) // bucket_bytes))
     bounds = []
     if buckets > 1:
-        bounds = sorted(set(found.agg(F.percentile_approx("key", steps_of(buckets), max(10_000, 20 * buckets)).alias("q")).first()["q"] or []))
+        # Only where buckets end comes from a sample, as in a range partitioner; every row is packed.
+        one_in = max(1, size["n"] // (BOUND_ROWS * buckets))
+        some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
+        steps = [i / buckets for i in range(1, buckets)]
+        found = some.mapInArrow(keys, "key long").agg(F.percentile_approx("key", steps, max(10_000, 20 * buckets)).alias("q"))
+        bounds = sorted(set(found.first()["q"] or []))
     shared_bounds = spark.sparkContext.broadcast(bounds)
     kind = dict(docs.dtypes)["doc_id"]
 
