@@ -106,6 +106,25 @@ def evaluation_rows(spark, sf_dir):
     )
 
 
+@register(
+    "short_passages",
+    """with p as (select item_id * 2 as passage_id, split_part(text, ' ', 1) as passage from benchmark
+      union all select item_id * 2 + 1, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) from benchmark)
+    select p.passage_id, count(*) as documents, min(d.doc_id) as first_doc from p join documents d on contains(d.text, p.passage) group by 1""",
+)
+def short_passages(spark, sf_dir):
+    """Documents that hold the first word, or the first two words, of each benchmark passage."""
+    words = F.split("text", " ")
+    first, second = F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    rows = table(spark, sf_dir, "benchmark").select(
+        F.posexplode(F.array(first, F.concat(first, F.lit(" "), second))).alias("k", "text"), "item_id"
+    )
+    wanted = rows.select((F.col("item_id") * 2 + F.col("k")).alias("passage_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    found = coverage.locate_passages(docs, wanted)
+    return found.groupBy("passage_id").agg(F.count(F.lit(1)).alias("documents"), F.min("source_id").alias("first_doc"))
+
+
 @register(
     "fact_coverage",
     _DOC_COVER + " select query_id, no_answer, cast(expected as bigint) as expected, covered, returned, round(rr, 6) as rr from rows",

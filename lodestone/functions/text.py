@@ -115,12 +115,18 @@ def tokenize(
     matters only where the first N distinct query terms are kept.
     """
     c = _as_col(text)
-    norm = c if normalized else nfkc(c)
-    lists = [words(norm), identifiers_in_order(norm) if ordered else identifiers(norm), han_terms(norm)]
-    for entry in dictionary:
-        hit = F.lower(norm).contains(entry.lower())
-        lists.append(F.when(hit, F.array(F.lit(entry.lower()))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*lists)
+
+    def terms(norm: Column) -> Column:
+        lists = [words(norm), identifiers_in_order(norm) if ordered else identifiers(norm), han_terms(norm)]
+        for entry in dictionary:
+            hit = F.lower(norm).contains(entry.lower())
+            lists.append(F.when(hit, F.array(F.lit(entry.lower()))).otherwise(F.array().cast("array<string>")))
+        return F.concat(*lists)
+
+    if normalized:
+        return terms(c)
+    # Bound to a lambda variable, the normalised text is made once a row and not once a use.
+    return F.get(F.transform(F.array(nfkc(c)), terms), F.lit(0))
 
 
 def encode_term(term: Column | str) -> Column:

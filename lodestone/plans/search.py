@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
@@ -54,15 +55,24 @@ class SearchEngine:
         try:
             if self.provider is None:
                 raise ValueError("Embedding provider unavailable")
-            vector = dict(zip(texts, self.provider.embed(texts, "query")[0]))
-        except ValueError as broken:
+            size = getattr(self.provider, "batch_size", len(texts) or 1)
+            for at in range(0, len(texts), size):
+                part = texts[at : at + size]
+                vector.update(zip(part, self.provider.embed(part, "query")[0]))
+        except (ValueError, OSError) as broken:
+            vector = {}
             for text in texts:
                 try:
                     if self.provider is None:
                         raise broken
                     vector[text] = self.provider.embed([text], "query")[0][0]
-                except ValueError as failure:
+                except (ValueError, OSError) as failure:
                     failed[text] = str(failure)
+        for text, values in list(vector.items()):
+            norm = math.hypot(*values)
+            if not math.isfinite(norm) or norm == 0:
+                failed[text] = "Embedding vector is zero or not finite"
+                del vector[text]
         problems: dict[tuple, tuple[str, str]] = {}
         for request, _, query, _, _ in rows:
             own = [r[4] for r in rows if (r[0], r[2]) == (request, query)]

@@ -27,7 +27,7 @@ def build_session(app: str = "lodestone", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only where all work runs on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -35,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -47,8 +49,8 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def fits(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
+    """True when ``df`` has at most ``limit`` rows; counted per task, so no rows meet in one."""
+    return df.count() <= limit
 
 
 def small_side(df: DataFrame, fits_limit: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
 import json
 import math
 import os
@@ -98,6 +99,10 @@ class HttpEmbeddings:
                 body = json.load(reply)
         except urllib.error.HTTPError as error:
             raise ValueError(f"Embedding API HTTP {error.code}; check endpoint, model and key") from None
+        except (OSError, http.client.HTTPException) as error:  # refused, unresolved, timed out or cut off
+            raise ValueError(f"Embedding API not reachable: {error}") from None
+        except ValueError:
+            raise ValueError("Embedding API reply is not JSON") from None
         usage = body.get("usage") if isinstance(body, dict) else None
         tokens = usage.get("total_tokens") if isinstance(usage, dict) else None
         known = isinstance(tokens, int) and tokens >= 0
