@@ -63,8 +63,8 @@ def _strength(table: DataFrame, n: str, bad: str, mean: str) -> DataFrame:
         F.sum(F.col(n) * F.pow(F.col(bad) / F.col(n) - m, 2)).alias("v"), F.sum(m * (1 - m)).alias("b"),
         F.sum(F.col(n) * m * (1 - m)).alias("w"), F.sum(n).alias("n"),
     )
-    between = F.greatest((F.col("v") - F.col("b")) / F.col("n"), F.lit(1e-9))
-    s = F.least(F.greatest(F.col("w") / F.col("n") / between - 1, F.lit(1.0)), F.lit(10000.0))
+    between = F.greatest(F.try_divide(F.col("v") - F.col("b"), F.col("n")), F.lit(1e-9))
+    s = F.least(F.greatest(F.try_divide(F.col("w"), F.col("n")) / between - 1, F.lit(1.0)), F.lit(10000.0))
     return sums.select(F.round(F.coalesce(s, F.lit(10000.0)), 6).alias("s"))
 
 
@@ -87,7 +87,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
     domains = shared_table(domains, "domains")
     suffixes = shared_table(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad")), "suffixes")
-    overall = suffixes.agg(F.round(F.coalesce(F.sum("sbad") / F.sum("sn"), F.lit(0.0)), 9).alias("m"))
+    overall = suffixes.agg(F.round(F.coalesce(F.try_divide(F.sum("sbad"), F.sum("sn")), F.lit(0.0)), 9).alias("m"))
     suffixes = suffixes.join(F.broadcast(overall))
     suffixes = suffixes.join(F.broadcast(_strength(suffixes, "sn", "sbad", "m"))).select(
         "suffix", ((F.col("sbad") + F.col("s") * F.col("m")) / (F.col("sn") + F.col("s"))).alias("sm")
