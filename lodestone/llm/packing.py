@@ -14,7 +14,9 @@ own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ BOUND_ROWS = 300  # sampled rows per bucket that set the bounds of buckets
 CACHE_WORDS = 1_500_000
 SLICE = 2 << 20
 BETWEEN = "\x01"
+# Words of these letters (A-Z, precomposed letters of Latin-1) with these marks behind split in a known way.
+LETTERS = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
+MARKS = "!#$%&()*+,-./:;=?@"
+LETTERED = re.compile(f"([{LETTERS}]+)([{re.escape(MARKS)}]*)").fullmatch
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -84,8 +90,39 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.images = self._letter_images()
         self.clear()
 
+    def _letter_images(self) -> dict[int, str] | None:
+        """What normalising and splitting make of each character of LETTERS and MARKS, where a word of letters with
+        marks behind is the images of the letters in one piece and those of the marks in another; None if random words
+        show that this tokenizer treats them otherwise."""
+        split, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        images = {}
+        for c in LETTERS + MARKS:
+            plain = normal.normalize_str(c) if normal else c
+            pieces = split.pre_tokenize_str(plain) if split else [(plain, None)]
+            if len(pieces) != 1:
+                return None
+            images[ord(c)] = pieces[0][0]
+        draw = np.random.default_rng(0)
+        for n, m in zip(draw.integers(1, 24, 300), draw.integers(0, 4, 300)):
+            stem, tail = ("".join(part[i] for i in draw.integers(0, len(part), k)) for part, k in ((LETTERS, n), (MARKS, m)))
+            image = self._piece(stem.translate(images)) + (self._piece(tail.translate(images)) if tail else [])
+            if image != self.tokenizer.encode(stem + tail, add_special_tokens=False).ids:
+                return None
+        return images
+
+    def _piece(self, image: str) -> list[int]:
+        return [token.id for token in self.tokenizer.model.tokenize(image)]
+
+    def _lettered(self, words: list[tuple[str, str]]) -> list[list[int]]:
+        """Ids of words given as letters and the marks behind them."""
+        parts = dict.fromkeys(part for word in words for part in word)
+        images = " ".join(parts).translate(self.images).split(" ")
+        ids = {part: self._piece(image) if image else [] for part, image in zip(parts, images)}
+        return [ids[stem] + ids[tail] for stem, tail in words]
+
     def clear(self) -> None:
         self.place: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
@@ -108,7 +145,17 @@ class WordCache:
         return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        """Encodes new words; plain ones share one call with a separator between them."""
+        """Encodes new words: those of letters and marks by the model alone, other plain ones in shared calls with a
+        separator between them, the rest one by one."""
+        if self.images is not None:
+            matches = [LETTERED(w.decode("utf-8", "replace")) for w in words]
+            own = [i for i, found in enumerate(matches) if found]
+            if own:
+                ids = self._lettered([matches[i].groups() for i in own])
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
+                self._add([hashes[i] for i in own], flat, np.fromiter(map(len, ids), dtype=np.int64))
+                hashes = [h for h, found in zip(hashes, matches) if not found]
+                words = [w for w, found in zip(words, matches) if not found]
         plain = len(self.between) == 1
         odd = [i for i, w in enumerate(words) if not plain or b"\x01" in w or b"<|" in w]
         for i in odd:
