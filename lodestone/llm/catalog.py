@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, lm, mixing, ngram_join, omh, packing, quality, suffix_dedup, superkmer, urls
+from . import chat, lm, mixing, ngram_join, omh, oracle, packing, quality, suffix_dedup, superkmer, urls
 from .shared import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE["op3_chat_format"] = oracle.CHAT_FORMAT
+ORACLE["op4_suffix_dedup"] = oracle.suffix_dedup(suffix_dedup.DEPTH)
+ORACLE["op5_url_filter"] = oracle.url_filter(URL_RULES, urls.CUTOFF, urls.Z)
+ORACLE["op6_substring_dedup"] = oracle.substring_dedup(superkmer.WINDOW)
+ORACLE["op7_quality_rules"] = oracle.quality_rules(
+    quality.MIN_WORDS, quality.MAX_REPEAT_PERCENT, quality.MAX_SYMBOLS_PER_100_WORDS, quality.MAX_DUP_LINE_PERCENT,
+    quality.MEAN_WORD_CHARS, quality.HOST_CUTOFF, quality.HOST_Z,
+)
+ORACLE["op10_ngram_jaccard"] = oracle.jaccard_join(ngram_join.NGRAM, ngram_join.PERCENT)
