@@ -34,6 +34,7 @@ _RANGES = {
     "max_context_chars": (int, 256, 100000),
     "min_dense_similarity": (float, -1.0, 1.0),
 }
+MIN_CONTEXT_CHARS = _RANGES["max_context_chars"][1]
 # Names of the two lexical engines' underlying libraries, accepted as synonyms.
 _ENGINE_SYNONYMS = {"minisearch": "bm25plus", "sqlite": "fts"}
 _OPTION_SYNONYMS = {"minisearch_k": "bm25_k", "minisearch_b": "bm25_b", "minisearch_d": "bm25_d"}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 
 class RetrievalError(Exception):
@@ -13,23 +15,19 @@ class RetrievalError(Exception):
         self.next_step = next_step
 
 
-# Message pattern, code and advice, tried in this order.
+# Codes and the message patterns they stand for, tried in this order. The advice is our own.
 _RULES = [
-    (r"max_file_bytes", "SOURCE_LIMIT", "Increase max_file_bytes or exclude the oversized file"),
-    (r"max_context_chars", "CONTEXT_BUDGET", "Increase max_context_chars or submit fewer subquestions"),
-    (r"not configured", "CONFIG_REQUIRED", "Configure the collections and the embedding profile"),
-    (r"key missing", "MODEL_KEY_MISSING", "Set the API key environment variable"),
-    (r"busy|locked", "BUSY", "Retry after the current operation finishes"),
-    (r"cancel", "CANCELLED", "Retry only if the result is still needed"),
-    (r"timed? ?out|timeout", "TIMEOUT", "Retry or adjust the configured timeout"),
-    (r"embedding|fetch|http|model", "MODEL_UNAVAILABLE", "Check model configuration and API availability"),
-    (
-        r"run sync|not synchronized|no such table|unable to open database",
-        "INDEX_REQUIRED",
-        "Run sync",
-    ),
+    (r"max_file_bytes", "SOURCE_LIMIT", "Leave the large file out, or raise max_file_bytes"),
+    (r"max_context_chars", "CONTEXT_BUDGET", "Ask less at once, or raise max_context_chars"),
+    (r"not configured", "CONFIG_REQUIRED", "Name the collections and an embedding provider first"),
+    (r"key missing", "MODEL_KEY_MISSING", "Export the provider's API key"),
+    (r"busy|locked", "BUSY", "Another writer is active; try later"),
+    (r"cancel", "CANCELLED", "Start again if you still want it"),
+    (r"timed? ?out|timeout", "TIMEOUT", "Try again with a longer timeout"),
+    (r"embedding|fetch|http|model", "MODEL_UNAVAILABLE", "See whether the provider answers and its settings are right"),
+    (r"run sync|not synchronized|no such table|unable to open database", "INDEX_REQUIRED", "Build the index: run sync"),
 ]
-_FALLBACK = ("INVALID_REQUEST", "Check input and configuration")
+_FALLBACK = ("INVALID_REQUEST", "Compare the request and the options with the documentation")
 
 
 def classify(error: object) -> tuple[str, str]:
@@ -52,20 +50,13 @@ def compact_json(value: object) -> str:
 
 
 def bounded_error(error: object, limit: int = 256) -> str:
-    """Error JSON of at most ``limit`` UTF-16 units, keeping the longest message prefix."""
+    """Error JSON of at most ``limit`` UTF-16 units, keeping the longest message prefix.
+
+    Characters are escaped one by one in JSON, so each has a price of its own and the frame around them too.
+    """
     code, advice = classify(error)
+    document = {"status": "error", "code": code, "next": advice[:90], "error": ""}
     message = str(error)[:4096]
-
-    def render(n: int) -> str:
-        return compact_json(
-            {"status": "error", "code": code, "next": advice[:90], "error": message[:n]}
-        )
-
-    keep, beyond = 0, len(message) + 1
-    while beyond - keep > 1:
-        trial = (keep + beyond) // 2
-        if utf16_units(render(trial)) <= limit:
-            keep = trial
-        else:
-            beyond = trial
-    return render(keep)
+    prices = accumulate((utf16_units(compact_json(c)) - 2 for c in message), initial=utf16_units(compact_json(document)))
+    document["error"] = message[: max(bisect_right(list(prices), limit) - 1, 0)]
+    return compact_json(document)

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import parse_request
+from ..config import MIN_CONTEXT_CHARS, parse_request
 from ..errors import RetrievalError, compact_json, utf16_units
 from ..operators import coverage, maintenance, metrics
 from ..operators.bootstrap import DEFAULT_ITERATIONS, DEFAULT_SEED, paired_bootstrap
@@ -92,19 +92,20 @@ def label_problems(dataset: EvaluationDataset, sources: DataFrame, lines: DataFr
 def budgeted_request(question: dict[str, Any], budget: int, response_limit: int) -> dict[str, Any]:
     """Request whose own JSON plus the largest response stays within ``budget``.
 
-    The allowance is part of the request text, so it is lowered until both fit.
+    The allowance is part of the request text, whose size depends only on how many digits it has: for each number
+    of digits the largest allowance is known, and the largest of them counts.
     """
-    allowance = min(budget, response_limit)
-    for _ in range(4):
-        request = {**question, "overrides": {"max_context_chars": allowance}}
-        room = budget - utf16_units(compact_json(request))
-        if room >= allowance:
-            if allowance < 256:
-                raise RetrievalError("CONTEXT_BUDGET", "Query leaves insufficient response budget")
-            parse_request(request)
-            return request
-        allowance = room
-    raise RetrievalError("CONTEXT_BUDGET", "Cannot fit query within context budget")
+    def with_allowance(n: int) -> dict[str, Any]:
+        return {**question, "overrides": {"max_context_chars": n}}
+
+    room = min(budget, response_limit)
+    frame = utf16_units(compact_json(with_allowance(0))) - 1
+    digits = range(1, len(str(max(room, 0))) + 1)
+    allowance = max((min(room, budget - frame - d, 10**d - 1) for d in digits), default=0)
+    if allowance < MIN_CONTEXT_CHARS:
+        raise RetrievalError("CONTEXT_BUDGET", f"The question leaves {allowance} of {budget} characters for its response", "Shorten the question")
+    parse_request(request := with_allowance(allowance))
+    return request
 
 
 def question_payload(question: dict[str, Any]) -> dict[str, Any]:

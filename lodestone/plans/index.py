@@ -138,16 +138,18 @@ class EvidenceIndex:
         """Published state that serves ``mode``; missing or stale layers are errors."""
         state = self.state()
         if state is None:
-            raise RetrievalError("INDEX_REQUIRED", "Selected index has not been synchronized", "Run sync")
-        if mode != "bm25" and vector_key is None:
-            raise RetrievalError("MODEL_CONFIG", "Embedding model settings are incomplete", "Configure a provider")
-        wanted = [("terms", self.profile.term_key)] if mode != "dense" else []
-        wanted += [("vectors", vector_key)] if mode != "bm25" else []
-        for kind, key in wanted:
-            if any(key not in s[kind] for s in state["segments"]):
-                raise RetrievalError("INDEX_REQUIRED", "Selected index combination is missing", "Run sync")
+            raise RetrievalError("INDEX_REQUIRED", f"No index is published under {self.home}", "Build the index: run sync")
+        layers = {"terms": self.profile.term_key} if mode != "dense" else {}
+        if mode != "bm25":
+            if not vector_key:
+                raise RetrievalError("MODEL_CONFIG", f"Mode {mode} needs an embedding provider", "Pass a provider or use mode bm25")
+            layers["vectors"] = vector_key
+        lacking = {kind: sum(key not in segment[kind] for segment in state["segments"]) for kind, key in layers.items()}
+        if any(lacking.values()):
+            counts = ", ".join(f"{kind} in {n} segments" for kind, n in lacking.items() if n)
+            raise RetrievalError("INDEX_REQUIRED", f"The index lacks {counts}", "Build the missing layer: run sync")
         if state["scope"] != self.profile.scope:
-            raise RetrievalError("INDEX_STALE", "Selected index is stale or its scan scope changed", "Run sync")
+            raise RetrievalError("INDEX_STALE", "The index was built for other folders or patterns", "Run sync with the present scope")
         return state
 
     # --- live tables -----------------------------------------------------------------------
@@ -280,7 +282,7 @@ class EvidenceIndex:
             if again != maintenance.fingerprint(sources, "source_id", *columns).first()["fingerprint"] or (
                 remove_missing and again != corpus
             ):
-                raise RetrievalError("BUSY", "Collection changed while syncing; retry", "Retry sync")
+                raise RetrievalError("BUSY", "The source files changed while syncing", "Sync again when nothing writes to the folder")
         removed = counts.get("removed", 0) if remove_missing else 0
         published = {
             "revision": revision, "corpus": corpus, "scope": self.profile.scope, "sources": f"{self.home}/sources/{revision}",

@@ -152,7 +152,7 @@ def parse_sources(files: DataFrame, identity_key: str = IDENTITY_KEY) -> DataFra
         F.transform("rows", lambda line, i: (i > 0) & line.rlike(_FENCE_END)), F.lit(True)
     )
     closed = opened.withColumn("front_end", F.when(F.col("has_front"), ends).otherwise(F.lit(0)))
-    unclosed = F.raise_error(F.concat(F.lit("Unclosed YAML frontmatter: "), F.col("path")))
+    unclosed = F.raise_error(F.concat(F.lit("Frontmatter has no closing line (Unclosed block): "), F.col("path")))
     block = F.when(
         F.col("has_front"),
         F.when(F.col("front_end") == 0, unclosed).otherwise(
@@ -185,7 +185,7 @@ def with_identity(raw: str, new_id: str, key: str = IDENTITY_KEY) -> str:
         return f"{bom}---{eol}{entry}{eol}---{eol}{text}"
     close = next((i for i in range(2, len(lines), 2) if re.match(_FENCE_END, lines[i])), None)
     if close is None:
-        raise ValueError("Unclosed YAML frontmatter")
+        raise ValueError("Frontmatter has no closing line (Unclosed block)")
     head = "".join(lines[2:close])
     first = re.search(r"^[ \t]*(?![ \t#\r\n])", head, re.MULTILINE)
     start = first.end() if first else 0
@@ -202,18 +202,18 @@ def with_identity(raw: str, new_id: str, key: str = IDENTITY_KEY) -> str:
 def write_identity(path: str, key: str = IDENTITY_KEY, max_file_bytes: int = MAX_FILE_BYTES) -> str:
     """Give a local file an identity. Runs on the driver only and replaces the file atomically."""
     if os.path.islink(path) or not os.path.isfile(path):
-        raise ValueError("Only regular Markdown files can be imported")
+        raise ValueError("An identity can be written to a plain file only")
     with open(path, "rb") as handle:
         before = handle.read()
     raw = before.decode("utf-8")
     new_id = str(uuid.uuid4())
     updated = with_identity(raw, new_id, key).encode("utf-8")
     if len(updated) > max_file_bytes:
-        raise ValueError(f"Identity insertion would exceed max_file_bytes: {max_file_bytes}")
+        raise ValueError(f"{path} with its identity is larger than max_file_bytes ({max_file_bytes})")
     lines = re.split(LINE_BREAK, updated.decode("utf-8").lstrip("\ufeff"))
     close = next(i for i in range(1, len(lines)) if re.match(_FENCE_END, lines[i]))
     if _identity_of("\n".join(lines[1:close]), key) != new_id:
-        raise ValueError("Identity insertion validation failed")
+        raise ValueError(f"The frontmatter of {path} does not give the new identity back")
     handle, temporary = tempfile.mkstemp(prefix=".identity-", dir=os.path.dirname(path) or ".")
     try:
         with os.fdopen(handle, "wb") as out:
@@ -221,7 +221,7 @@ def write_identity(path: str, key: str = IDENTITY_KEY, max_file_bytes: int = MAX
         os.chmod(temporary, os.stat(path).st_mode & 0o7777)
         with open(path, "rb") as again:
             if again.read() != before:
-                raise ValueError("Source changed during identity insertion; retry")
+                raise ValueError(f"{path} was edited meanwhile; nothing was written")
         os.replace(temporary, path)
     finally:
         if os.path.exists(temporary):
