@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -102,6 +103,12 @@ def han_terms(normalized: Column) -> Column:
     return F.when(_has_han(normalized), kept).otherwise(F.array().cast("array<string>"))
 
 
+def dictionary_terms(dictionary: Sequence[str]) -> list[str]:
+    """Entries of a user dictionary as terms: NFKC, lower case, no empty ones and no stopwords."""
+    plain = (unicodedata.normalize("NFKC", entry).lower() for entry in dictionary)
+    return [entry for entry in plain if entry and entry not in STOPWORDS]
+
+
 def tokenize(
     text: Column | str,
     dictionary: Sequence[str] = (),
@@ -115,12 +122,13 @@ def tokenize(
     matters only where the first N distinct query terms are kept.
     """
     c = _as_col(text)
+    entries = dictionary_terms(dictionary)
 
     def terms(norm: Column) -> Column:
         lists = [words(norm), identifiers_in_order(norm) if ordered else identifiers(norm), han_terms(norm)]
-        for entry in dictionary:
-            hit = F.lower(norm).contains(entry.lower())
-            lists.append(F.when(hit, F.array(F.lit(entry.lower()))).otherwise(F.array().cast("array<string>")))
+        for entry in entries:
+            hit = F.lower(norm).contains(entry)
+            lists.append(F.when(hit, F.array(F.lit(entry))).otherwise(F.array().cast("array<string>")))
         return F.concat(*lists)
 
     if normalized:

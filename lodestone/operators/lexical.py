@@ -6,6 +6,8 @@ whole corpus; filters screen only which chunks may be scored, before any candida
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import RetrievalOptions
@@ -20,14 +22,15 @@ SCORE_DIGITS = 9
 
 
 def term_table(
-    chunks: DataFrame, body: str = "text", title: Column | str | None = None, keep: tuple[str, ...] = ()
+    chunks: DataFrame, body: str = "text", title: Column | str | None = None, keep: tuple[str, ...] = (),
+    dictionary: Sequence[str] = (),
 ) -> DataFrame:
     """One row per chunk with its term lists and lengths (distinct per field, total overall)."""
     lists = chunks.select(
         "chunk_id",
         *keep,
-        (tokenize(title) if title is not None else F.array().cast("array<string>")).alias("title_terms"),
-        tokenize(body).alias("body_terms"),
+        (tokenize(title, dictionary) if title is not None else F.array().cast("array<string>")).alias("title_terms"),
+        tokenize(body, dictionary).alias("body_terms"),
     )
     return lists.withColumns(
         {
@@ -48,16 +51,18 @@ def corpus_stats(terms: DataFrame) -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Distinct terms of each query expression, the first 128 in order."""
-    capped = F.slice(F.array_distinct(tokenize(text, ordered=True)), 1, QUERY_TERM_CAP)
+def query_terms(
+    queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",), dictionary: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct terms of each query expression, the first 128 in order; dictionary entries come last."""
+    capped = F.slice(F.array_distinct(tokenize(text, dictionary, ordered=True)), 1, QUERY_TERM_CAP)
     return queries.select(*keys, F.posexplode(capped).alias("pos", "term"))
 
 
-def _lookup(queries: DataFrame, keys: tuple[str, ...], text: str):
+def _lookup(queries: DataFrame, keys: tuple[str, ...], text: str, dictionary: Sequence[str]):
     """Query terms plus whether they are small enough to broadcast (128 terms per row at most)."""
     small = fits(queries, BROADCAST_ROW_LIMIT // QUERY_TERM_CAP)
-    return query_terms(queries, text, keys), small
+    return query_terms(queries, text, keys, dictionary), small
 
 
 def postings(terms: DataFrame, keep: tuple[str, ...] = (), title: bool = True, mark: bool = False) -> DataFrame:
@@ -119,15 +124,16 @@ def lexical_scores(
     title: bool = True,
     stats: DataFrame | None = None,
     counted: DataFrame | None = None,
+    dictionary: Sequence[str] = (),
 ) -> DataFrame:
     """(keys, chunk_id, score) for every chunk sharing a term with a query (OR semantics).
 
     ``allowed`` filters scored chunks on their ``keep`` columns; statistics stay global.
     ``counted`` are stored postings (chunk, field, term, tf) used instead of ``terms``, together
-    with ``stats``.
+    with ``stats``. ``dictionary`` must be the one that the terms were made with.
     """
     use_title = title and options.title_weight > 0
-    wanted, small = _lookup(queries, keys, text)
+    wanted, small = _lookup(queries, keys, text, dictionary)
     vocabulary = wanted.select("term").distinct()
     carried = keep if allowed is not None else ()
     if counted is None:

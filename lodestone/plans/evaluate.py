@@ -12,6 +12,7 @@ from ..errors import RetrievalError, compact_json, utf16_units
 from ..operators import coverage, maintenance, metrics
 from ..operators.bootstrap import DEFAULT_ITERATIONS, DEFAULT_SEED, paired_bootstrap
 from ..functions.preview import escaped_cost
+from ..functions.text import escape_cost, is_blank
 from ..session import cut_lineage
 
 DATASET_SCHEMA = """version int, name string, split string, scenario struct<id:string,kind:string>,
@@ -64,7 +65,7 @@ def label_problems(dataset: EvaluationDataset, sources: DataFrame, lines: DataFr
     )
     bad = (
         F.col("source_id").isNull() | (F.col("end_line") < F.col("start_line")) | (F.col("start_line") < F.col("first_line"))
-        | (F.col("end_line") > F.col("last_line")) | ~F.col("quote").rlike(r"\S") | ~F.col("actual").eqNullSafe(F.col("quote"))
+        | (F.col("end_line") > F.col("last_line")) | is_blank("quote") | ~F.col("actual").eqNullSafe(F.col("quote"))
     )
     found = found.unionByName(flag(anchors.join(quoted, key, "left").filter(bad), "invalid anchor", F.col("fact_id")))
     facts = dataset.anchors.select("fact_id").distinct()
@@ -215,11 +216,15 @@ def supplement_sections(pieces: DataFrame, lines: DataFrame, budget: DataFrame)
     """
     from pyspark.sql import Window as W
 
-    sections = pieces.groupBy("query_id", "source_id", "path", "section_start_line", "section_end_line").agg(F.min("rank").alias("rank"))
+    # A chunk without section bounds is its own section.
+    bounded = pieces.withColumns(
+        {f"section_{end}_line": F.coalesce(f"section_{end}_line", f"{end}_line") for end in ("start", "end")}
+    )
+    sections = bounded.groupBy("query_id", "source_id", "path", "section_start_line", "section_end_line").agg(F.min("rank").alias("rank"))
     request = F.length(
         F.concat(F.lit('{"path":"","start_line":,"end_line":}'), F.col("section_start_line").cast("string"), F.col("section_end_line").cast("string"))
-    ) + F.octet_length("path")
-    frame = F.length(F.concat(F.lit('{"source":"","start_line":,"end_line":,"text":""}'), F.col("section_start_line").cast("string"))) + F.octet_length("path")
+    ) + escape_cost("path")
+    frame = F.length(F.concat(F.lit('{"source":"","start_line":,"end_line":,"text":""}'), F.col("section_start_line").cast("string"))) + escape_cost("path")
     wanted = sections.join(budget, "query_id").withColumns(
         {"key": F.struct("query_id", "rank"), "fixed": request + frame, "budget": F.col("room")}
     )

@@ -25,10 +25,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import RetrievalError, compact_json
-from ..functions.text import chunk_id, content_hash, retrieval_text, title_text
+from ..functions.text import chunk_id, content_hash, is_blank, retrieval_text, title_text
 from ..operators import chunking, lexical, maintenance
 from ..operators.structure import structure_ranges
 from ..sources.embedding import EmbeddingProvider, embed_texts, usage_ledger
@@ -47,16 +48,49 @@ def register_chunker(name: str, version: str, fn: ChunkerFn) -> None:
     CHUNKERS[name] = (version, fn)
 
 
-def _with_first_line(fn):
-    return lambda sources: fn(sources, first_line=F.col("first_line"))
+def code_of(fn: Callable) -> str:
+    """What a chunker's result depends on: bound parameters, its source, and the modules that its names come from."""
+    if isinstance(fn, functools.partial):
+        bound = [code_of(v) if callable(v) else repr(v) for v in (*fn.args, *fn.keywords.values())]
+        return "\n".join([code_of(fn.func), *fn.keywords, *bound])
+    plain = fn if hasattr(fn, "__code__") else type(fn).__call__
+    try:
+        own = inspect.getsource(fn if plain is fn else type(fn))
+    except (OSError, TypeError):  # typed into a shell: its byte code stands for it
+        code = getattr(plain, "__code__", None)
+        own = f"{code.co_code.hex()} {code.co_consts!r} {code.co_names}" if code else f"{type(fn).__module__}.{type(fn).__qualname__}"
+    if not hasattr(plain, "__code__"):
+        return own
+    package = __name__.split(".")[0]
+    used = {inspect.getmodule(plain.__globals__.get(name)) for name in plain.__code__.co_names} | {inspect.getmodule(plain)}
+    library = sorted((m for m in used if m and m.__name__.split(".")[0] == package and m.__name__ != __name__), key=lambda m: m.__name__)
+    return "\n".join([own, *map(inspect.getsource, library)])
 
 
-register_chunker("structure", "1", _with_first_line(structure_ranges))
-register_chunker("heading-1000", "1", _with_first_line(functools.partial(chunking.heading_line_ranges, max_chars=1000)))
-register_chunker("heading-500", "1", _with_first_line(functools.partial(chunking.heading_line_ranges, max_chars=500)))
-register_chunker(
-    "paragraph", "1", lambda sources: chunking.paragraph_ranges(chunking.source_lines(sources, first_line=F.col("first_line")))
-)
+def _with_first_line(fn, sources: DataFrame) -> DataFrame:
+    return fn(sources, first_line=F.col("first_line"))
+
+
+def _paragraphs(sources: DataFrame) -> DataFrame:
+    return chunking.paragraph_ranges(chunking.source_lines(sources, first_line=F.col("first_line")))
+
+
+def _whole(sources: DataFrame) -> DataFrame:
+    """A source is one chunk; sources without text have none."""
+    none = F.lit(None).cast("int")
+    return sources.filter(~is_blank("text")).select(
+        "source_id", F.col("first_line").alias("start_line"), F.col("last_line").alias("end_line"),
+        F.array().cast("array<string>").alias("heading_path"), none.alias("section_start_line"), none.alias("section_end_line"),
+    )
+
+
+register_chunker("structure", "1", functools.partial(_with_first_line, structure_ranges))
+for _size in (1000, 500):
+    register_chunker(
+        f"heading-{_size}", "1", functools.partial(_with_first_line, functools.partial(chunking.heading_line_ranges, max_chars=_size))
+    )
+register_chunker("paragraph", "1", _paragraphs)
+register_chunker("whole", "1", _whole)
 
 
 def _heading_without_bare(sources: DataFrame) -> DataFrame:
@@ -83,11 +117,7 @@ class IndexProfile:
         if self.chunker not in CHUNKERS:
             raise RetrievalError("INVALID_REQUEST", f"Unknown chunker: {self.chunker}")
         version, fn = CHUNKERS[self.chunker]
-        try:
-            code = inspect.getsource(fn)
-        except (OSError, TypeError):
-            code = repr(fn)
-        object.__setattr__(self, "chunk_key", _key(self.chunker, version, code))
+        object.__setattr__(self, "chunk_key", _key(self.chunker, version, code_of(fn)))
         object.__setattr__(self, "term_key", _key(self.chunk_key, TOKENIZER_VERSION, *self.dictionary))
 
     def vector_key(self, provider: EmbeddingProvider) -> str:
@@ -110,17 +140,38 @@ class Folder:
     def read(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()["value"]
 
-    def publish(self, path: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
+    def _move_in(self, path: str, text: str, *flags) -> None:
+        """Write beside the target, then rename."""
         temporary = f"{path}.{uuid.uuid4().hex}"
         out = self.fs.create(self._path(temporary))
         try:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self.context.rename(self._path(temporary), self._path(path), options)
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, len(flags))
+        for i, flag in enumerate(flags):
+            options[i] = flag
+        try:
+            self.context.rename(self._path(temporary), self._path(path), options)
+        except Exception:
+            self.fs.delete(self._path(temporary), False)
+            raise
+
+    def replace(self, path: str, text: str) -> None:
+        self._move_in(path, text, self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE)
+
+    def create(self, path: str, text: str) -> bool:
+        """False if the file exists already; of two writers only one succeeds."""
+        try:
+            self._move_in(path, text)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def drop(self, path: str) -> None:
+        self.fs.delete(self._path(path), True)
 
 
 class EvidenceIndex:
@@ -130,9 +181,16 @@ class EvidenceIndex:
         self.folder = Folder(spark, root)
 
     # --- state ---------------------------------------------------------------------------
+    def _commit_after(self, state: dict | None) -> str:
+        return f"{self.home}/commits/{state['revision'] if state else 'first'}.json"
+
     def state(self) -> dict | None:
+        """The last commit. CURRENT.json saves the walk from the first one; a commit after it counts all the same."""
         path = f"{self.home}/CURRENT.json"
-        return json.loads(self.folder.read(path)) if self.folder.exists(path) else None
+        state = json.loads(self.folder.read(path)) if self.folder.exists(path) else None
+        while self.folder.exists(following := self._commit_after(state)):
+            state = json.loads(self.folder.read(following))
+        return state
 
     def require(self, mode: str = "hybrid", vector_key: str | None = None) -> dict:
         """Published state that serves ``mode``; missing or stale layers are errors."""
@@ -200,7 +258,7 @@ class EvidenceIndex:
     def _write_terms(self, chunks: DataFrame, path: str) -> None:
         title = title_text(F.col("path"), F.col("heading_path"))
         keep = ("source_id", "collection_id", "relative_path")
-        table = lexical.term_table(chunks, title=title, keep=keep)
+        table = lexical.term_table(chunks, title=title, keep=keep, dictionary=self.profile.dictionary)
         lengths = ["chunk_id", *keep, "title_len", "body_len", "total_len"]
         table.select(*lengths).write.mode("errorifexists").parquet(path + "/lengths")
         counted = (
@@ -211,15 +269,23 @@ class EvidenceIndex:
         arranged = counted.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
         arranged.write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
 
-    def _write_vectors(self, chunks: DataFrame, provider: EmbeddingProvider, path: str) -> dict:
+    def _write_vectors(self, chunks: DataFrame, provider: EmbeddingProvider, path: str, stored: list[str]) -> dict:
+        """Vectors of ``chunks``; texts whose vectors lie in one of the ``stored`` tables are not embedded again."""
         text = retrieval_text(F.col("path"), F.col("heading_path"), F.col("text"))
         keyed = chunks.withColumn("retrieval_text", text).withColumn("text_hash", content_hash("retrieval_text"))
-        embed_texts(keyed, provider, "retrieval_text").write.mode("errorifexists").parquet(path + "-texts")
-        stored = self.spark.read.parquet(path + "-texts")
-        keyed.select("chunk_id", "source_id", "collection_id", "relative_path", "text_hash").join(
-            stored.select("text_hash", "embedding"), "text_hash"
-        ).drop("text_hash").write.mode("errorifexists").parquet(path)
-        return usage_ledger(stored).first().asDict()
+        fresh = keyed
+        if stored:
+            known = self.spark.read.parquet(*stored).select("text_hash", "embedding").dropDuplicates(["text_hash"])
+            fresh = keyed.join(known.select("text_hash"), "text_hash", "left_anti")
+        embed_texts(fresh, provider, "retrieval_text").write.mode("errorifexists").parquet(path + "-texts")
+        embedded = self.spark.read.parquet(path + "-texts")
+        vectors = embedded.select("text_hash", "embedding")
+        if stored:
+            vectors = vectors.unionByName(known)
+        keyed.select("chunk_id", "source_id", "collection_id", "relative_path", "text_hash").join(vectors, "text_hash").drop(
+            "text_hash"
+        ).write.mode("errorifexists").parquet(path)
+        return usage_ledger(embedded).fillna(0).first().asDict()
 
     def sync(
         self,
@@ -233,12 +299,22 @@ class EvidenceIndex:
         Unchanged sources keep their rows; only missing term and vector layers are filled.
         ``rescan`` re-reads the sources before publication: a difference aborts the sync.
         """
+        revision = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        scanned = f"{self.home}/scans/{revision}"
+        try:
+            # Files are read and parsed once; every later step sees the same sources.
+            sources.write.mode("errorifexists").parquet(scanned)
+            return self._sync(self.spark.read.schema(sources.schema).parquet(scanned), revision, provider, rescan, remove_missing)
+        finally:
+            self.folder.drop(scanned)
+
+    def _sync(self, sources: DataFrame, revision: str, provider, rescan, remove_missing: bool) -> dict:
         columns = ("collection_id", "path", "relative_path", "source_version")
         repeated = maintenance.duplicates(sources, "source_id").first()
         if repeated:
             raise RetrievalError("INVALID_REQUEST", f"Duplicate identity: {repeated['source_id']}")
-        state = self.state() or {"segments": [], "replaced": False}
-        revision = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        started = self.state()
+        state = started or {"segments": [], "replaced": False}
         if "sources" in state:
             previous = self.sources(state)
         else:
@@ -265,7 +341,9 @@ class EvidenceIndex:
                 segment["terms"][self.profile.term_key] = path
             if vector_key and vector_key not in segment["vectors"]:
                 path = f"{base}/vectors-{vector_key[:20]}-{revision}"
-                usage = self._write_vectors(chunks, provider, path)
+                stored = [s["vectors"][vector_key] + "-texts" for s in segments if vector_key in s["vectors"]]
+                spent = self._write_vectors(chunks, provider, path, stored)
+                usage = spent if usage is None else add_usage(usage, spent)
                 segment["vectors"][vector_key] = path
         current = sources.select("source_id", *columns).join(
             diff.select("source_id", F.when(F.col("change") == "unchanged", F.col("old_segment")).otherwise(F.lit(revision)).alias("segment")),
@@ -289,7 +367,10 @@ class EvidenceIndex:
             "segments": segments, "replaced": state["replaced"] or counts.get("updated", 0) + removed > 0,
             "last_sync": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
         }
-        self.folder.publish(f"{self.home}/CURRENT.json", json.dumps(published))
+        text = json.dumps(published)
+        if not self.folder.create(self._commit_after(started), text):
+            raise RetrievalError("BUSY", "Another sync was published meanwhile", "Sync again")
+        self.folder.replace(f"{self.home}/CURRENT.json", text)
         return {
             "status": "ok", "added": counts.get("added", 0), "updated": counts.get("updated", 0), "removed": removed,
             "unchanged": counts.get("unchanged", 0), "usage": usage, "revision": revision,
@@ -321,5 +402,10 @@ class EvidenceIndex:
         return out
 
 
+def add_usage(a: dict, b: dict) -> dict:
+    """Sum of two ledgers; a total that one of them does not know stays unknown."""
+    return {k: None if a[k] is None or b[k] is None else a[k] + b[k] for k in a}
+
+
 def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")

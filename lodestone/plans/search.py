@@ -96,13 +96,14 @@ class SearchEngine:
         lanes, problems = None, {}
         if options.mode != "dense":
             # Bounded by 4,096 terms per request: the driver may know the buckets to read.
-            wanted = lexical.query_terms(expressions, keys=KEYS).select(term_bucket(F.col("term")).alias("b")).distinct()
-            buckets = sorted(r["b"] for r in wanted.collect())
+            dictionary = self.index.profile.dictionary
+            wanted = lexical.query_terms(expressions, keys=KEYS, dictionary=dictionary)
+            buckets = sorted(r["b"] for r in wanted.select(term_bucket(F.col("term")).alias("b")).distinct().collect())
             lengths = self.index.lengths(state)
             stats = lexical.corpus_stats(lengths)
             ranked = lexical.lexical_lane(
                 None, expressions, options, keys=KEYS, keep=keep, allowed=allowed, stats=stats,
-                counted=self.index.postings(state, buckets), chunks=lengths,
+                counted=self.index.postings(state, buckets), chunks=lengths, dictionary=dictionary,
             )
             lanes = fusion.tag_lane(ranked, "bm25")
         if options.mode != "bm25":

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..config import UUID_V4
-from ..functions.text import LINE_BREAK, strip_space
+from ..functions.text import LINE_BREAK, SPACE, strip_space
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 IDENTITY_KEY = "source_id"
-_FENCE_END = r"^(---|\.\.\.)\s*$"
+_FENCE_END = rf"^(---|\.\.\.)[{SPACE}]*$"
 
 
 def glob_regex(pattern: str) -> str:
@@ -92,7 +92,9 @@ def scan_markdown(
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//)?", ""), r"^/+", "/")
     plain_base = re.sub(r"^[a-z0-9]+:(//)?", "", base)
     relative = F.substring(path, F.lit(len(plain_base) + 2), F.length(path))
-    scoped = files.select(path.alias("path"), relative.alias("relative_path"), "length", "content").filter(
+    scoped = files.select(
+        path.alias("path"), relative.alias("relative_path"), F.col("modificationTime").alias("modified"), "length", "content"
+    ).filter(
         in_scope(F.col("relative_path"), include, exclude)
     )
     too_big = F.raise_error(F.concat(F.lit("Source exceeds max_file_bytes: "), F.col("path")))
@@ -105,7 +107,7 @@ def scan_markdown(
     )
     return scoped.select(
         F.lit(collection_id).alias("collection_id"), "path", "relative_path", checked.alias("raw"),
-        F.sha2("content", 256).alias("source_version"),
+        F.sha2("content", 256).alias("source_version"), "modified",
     )
 
 
@@ -167,7 +169,7 @@ def parse_sources(files: DataFrame, identity_key: str = IDENTITY_KEY) -> DataFra
     body = F.slice("rows", (F.col("front_end") + 1).cast("int"), F.greatest(F.size("rows"), F.lit(1)))
     return closed.withColumn("own_id", identity(block)).select(
         F.coalesce("own_id", derived).alias("source_id"), F.col("own_id").isNotNull().alias("has_identity"),
-        "collection_id", "path", "relative_path", "source_version",
+        "collection_id", "path", "relative_path", "source_version", "modified",
         (F.col("front_end") + 1).cast("int").alias("first_line"), F.size("rows").alias("last_line"),
         F.concat_ws("\n", body).alias("text"),
     )

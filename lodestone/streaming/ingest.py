@@ -27,7 +27,8 @@ def stream_markdown(
     files = scan_markdown(index.spark, root, collection_id, stream=True)
 
     def sync_batch(batch: DataFrame, _: int) -> None:
-        latest = last_row_wins(parse_sources(batch), "source_id", F.col("source_version"))
+        # Of two files with one identity the one written last counts.
+        latest = last_row_wins(parse_sources(batch), "source_id", F.struct("modified", "path"))
         index.sync(latest, provider, remove_missing=False)
 
     return (

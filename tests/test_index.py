@@ -197,6 +197,65 @@ def test_failed_sync_publishes_nothing(spark, notes, tmp_path):
         index.sync(scan(spark, notes))
 
 
+def test_second_writer_loses_nothing(spark, notes, tmp_path):
+    root = str(tmp_path / "index")
+    index, other = (EvidenceIndex(spark, root, IndexProfile("whole")) for _ in range(2))
+
+    def meanwhile():
+        other.sync(scan(spark, notes))
+        return scan(spark, notes)
+
+    with pytest.raises(RetrievalError) as busy:
+        index.sync(scan(spark, notes), rescan=meanwhile)
+    assert busy.value.code == "BUSY" and index.status()["sources"] == 3
+    os.unlink(os.path.join(root, os.path.basename(index.home), "CURRENT.json"))  # the commits alone tell the state
+    assert index.state()["revision"] == other.state()["revision"]
+
+
+def test_known_texts_are_not_embedded_again(spark, notes, tmp_path):
+    index = EvidenceIndex(spark, str(tmp_path / "index"), IndexProfile("whole"))
+    assert index.sync(scan(spark, notes), StubEmbeddings())["usage"]["texts"] == 3
+    with open(os.path.join(notes, "a.md"), "a") as out:
+        out.write("\n")  # another version of the file, whose chunk ends in a blank line more
+    write(notes, "b", NOTES["b"] + " again")
+    write(notes, "b", NOTES["b"])
+    usage = index.sync(scan(spark, notes), StubEmbeddings())["usage"]
+    assert usage["texts"] == 1
+    write(notes, "a", NOTES["a"])
+    back = index.sync(scan(spark, notes), StubEmbeddings())
+    assert back["updated"] == 1 and back["usage"]["texts"] == 0
+    assert index.vectors(index.state(), index.profile.vector_key(StubEmbeddings())).count() == 3
+
+
+def test_user_dictionary_reaches_index_and_query(spark, notes, tmp_path):
+    write(notes, "state", "# State\nplain text about ＰＬＡＮ b rollout")
+    found = {}
+    for words in ((), ("Plan B", "在")):
+        index = EvidenceIndex(spark, str(tmp_path / "index"), IndexProfile("whole", dictionary=words))
+        index.sync(scan(spark, notes))
+        found[words] = index.postings(index.state()).filter("term in ('plan b', '在')").select("term").distinct().collect()
+        rows = SearchEngine(index, None, RetrievalOptions(mode="bm25")).search([{"query": "plan b"}]).collect()
+        # b.md is found by its title.
+        assert {r["path"].rsplit("/", 1)[-1] for r in json.loads(rows[0]["response"])["results"]} == {"b.md", "state.md"}
+    assert [[r["term"] for r in rows] for rows in found.values()] == [[], ["plan b"]]
+
+
+def test_chunker_keys_follow_code_and_parameters():
+    keys = {name: IndexProfile(name).chunk_key for name in ("structure", "heading-1000", "heading-500", "paragraph", "whole")}
+    assert len(set(keys.values())) == len(keys) and keys["structure"] == IndexProfile("structure").chunk_key
+
+
+def test_section_without_bounds_is_the_chunk_itself(spark):
+    pieces = spark.createDataFrame(
+        [("q", "s", "p", 1, 2, 3, None, None)],
+        "query_id string, source_id string, path string, rank int, start_line int, end_line int, section_start_line int, section_end_line int",
+    )
+    lines = spark.createDataFrame([("s", i, "line") for i in range(1, 6)], "source_id string, line_no int, text string")
+    budget = spark.createDataFrame([("q", 1000)], "query_id string, room int")
+    read = ev.supplement_sections(pieces, lines, budget).collect()
+    assert [(r["rank"], r["end_line"]) for r in read] == [(1, 3)]
+
+
 def test_custom_chunker_cannot_alter_text(spark, notes, tmp_path):
     def beyond(sources):
         return sources.select(
