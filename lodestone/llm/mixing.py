@@ -126,8 +126,9 @@ def mix_sources(
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     spans = spans.withColumn("before", low - F.col("start")).withColumn("inside", high - low)
+    # Blocks grow with the words but come from a table of a few rows, so their size is guessed far too low: never broadcast.
     met = spans.join(
-        drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_d")) & (F.col("block") == F.col("_b"))
+        drawn.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_d")) & (F.col("block") == F.col("_b"))
     )
     keys = ["doc_id", "source", "size", "order", "shard", "start"]
     taken = met.groupBy(*keys).agg(
