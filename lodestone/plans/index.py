@@ -7,11 +7,13 @@ Layout under the index root, one folder per chunker identity::
     <chunk key>/segments/<segment>/terms-<key>/lengths    lengths per chunk
     <chunk key>/segments/<segment>/vectors-<key>          unit vectors
     <chunk key>/sources/<revision>                        live sources and the segment of each
-    <chunk key>/CURRENT.json                              the published state
+    <chunk key>/commits/<revision before>.json            the state that follows a revision ("first": none before)
+    <chunk key>/CURRENT.json                              a late state, where readers begin
 
-A sync writes only changed sources into a new segment, then publishes by renaming one small
-file, so readers see the old or the new state and a failed job publishes nothing. Rows of
-replaced sources are left behind in old segments and screened out by the sources table.
+A sync writes only changed sources into a new segment, then publishes by creating the commit that
+follows the state it read. Readers see the old or the new state, a failed job publishes nothing, and
+of two writers only one can follow a state. Rows of replaced sources are left behind in old segments
+and screened out by the sources table.
 """
 
 from __future__ import annotations
