@@ -14,6 +14,11 @@ from lodestone.llm.catalog import tokenizer_path
 from lodestone.llm.shared import shared_table
 
 
+# Near copies: word n-grams and least Jaccard similarity in percent (op10 has its own, of its contract).
+NEAR_NGRAM = 5
+NEAR_PERCENT = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host is rejected, go."""
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
@@ -21,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with similar shingles the one with the smallest doc_id stays."""
-    return ngram_join.keep_one_per_component(docs).select(*docs.columns)
+    return ngram_join.keep_one_per_component(docs, n=NEAR_NGRAM, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
