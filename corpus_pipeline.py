@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with similar shingles the one with the smallest doc_id stays."""
+    """Of each component of rows with similar shingles one stays, that with the smallest doc_id; repeated rows and null ids included."""
     return ngram_join.keep_one_per_component(docs, n=NEAR_NGRAM, percent=NEAR_PERCENT).select(*docs.columns)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import as_long, mix, row_slices, span_hashes, text_buffer, word_arrays
 from .components import connected_components
-from .shared import shared_table
+from .shared import free_name, shared_table
 
 NGRAM = 4
 PERCENT = 85
@@ -236,7 +236,19 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Dat
 
 
 def keep_one_per_component(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents of a component other than its smallest doc_id."""
-    found = similar_components(docs, n, percent)
-    gone = shared_table(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component of ``docs``, that of the smallest doc_id (nulls last), and all rows without a link.
+
+    Rows are linked and removed by a row number: repeated rows and rows with a null doc_id count like any other. Among
+    rows with the same doc_id a hash of the row decides.
+    """
+    key = free_name(docs, "_row")
+    numbered = shared_table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = shared_table(similar_components(numbered.select(F.col(key).alias("doc_id"), "text"), n, percent), "components")
+    plain = [c for c, kind in docs.dtypes if "<" not in kind and kind != "variant"]
+    ranks = numbered.select(
+        F.col(key).alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*plain).alias("hash"), F.col(key).alias("row")).alias("rank")
+    )
+    ranked = shared_table(found.select(F.col("doc_id").alias("row"), "component_id").join(ranks, "row"), "ranked")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    gone = shared_table(ranked.join(first, "row", "left_anti").select(F.col("row").alias(key)), "near-copies")
+    return numbered.join(gone, key, "left_anti").drop(key)

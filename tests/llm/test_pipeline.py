@@ -1,7 +1,11 @@
 """The corpus pipeline: its stages on small tables with odd rows."""
 
+import collections
+
 import corpus_pipeline
 
+from lodestone.llm import ngram_join
+
 from .test_llm import LOW, SCHEMA, WORD, prose
 
 
@@ -38,3 +42,13 @@ def test_near_copies_of_five_words_and_80_percent(spark):
     out = corpus_pipeline.near_copies(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 5]
+
+
+def test_one_row_of_repeated_rows_and_null_ids_stays(spark, tmp_path):
+    a, b, c = prose(71, 90), prose(72, 90), prose(73, 90)
+    rows = [(1, a, "a"), (1, a, "a"), (2, b, "a"), (None, b, "b"), (None, c, "a"), (None, c, "b"), (4, prose(74, 90), "a"), (4, b, "a")]
+    docs = table(spark, rows)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one_per_component(docs).collect())
+    assert got == {(1, a): 1, (2, b): 1, (None, c): 1, (4, rows[6][1]): 1}
+    docs.where("doc_id is null or doc_id <> 4").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2, None}
