@@ -14,8 +14,9 @@ Equal sets are collapsed first. No group emits all its pairs: each token's docum
 typical one of them, linked documents form components, and only documents of different components that share
 a token are compared further. So links inside a component may stay untested, but no component misses one.
 
-Null text or one without words: the empty set, linked with nothing. Rows that share a doc_id are one node;
-null doc_ids are not linked and have a null component. Shingles are 64-bit hashes.
+Null text or one without words: the empty set, linked with nothing. Rows are linked by a row number, so rows that share
+a doc_id and rows without one are nodes of their own; a component has the smallest doc_id of its rows, null if all
+are null. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, every: int) -> DataFrame
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("row").to_numpy()
             for i, j in row_slices(offsets, SLICE):
                 sets = shingle_sets(data, offsets[i : j + 1], n)
                 sizes = np.array([len(s) for s in sets])
@@ -69,14 +70,14 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, every: int) -> DataFrame
                 tokens = np.concatenate([s[:t] for s, t in zip(sets, takes)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(as_long(tokens)), pa.array(np.repeat(ids[i:j], takes)), pa.array(np.repeat(sizes, takes).astype(np.int32))],
-                    names=["token", "doc_id", "n"],
+                    names=["token", "row", "n"],
                 )
 
-    return docs.mapInArrow(emit, "token long, doc_id long, n int")
+    return docs.mapInArrow(emit, "token long, row long, n int")
 
 
 def _full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, two hashes of the set, and its sorted tokens as bytes."""
+    """row, n, two hashes of the set, and its sorted tokens as bytes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,23 +87,23 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
                 s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 s2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], pa.array([len(s) for s in sets], pa.int32()), pa.array(as_long(s1)), pa.array(as_long(s2)),
+                    [batch.column("row")[i:j], pa.array([len(s) for s in sets], pa.int32()), pa.array(as_long(s1)), pa.array(as_long(s2)),
                      pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n", "s1", "s2", "tokens"],
+                    names=["row", "n", "s1", "s2", "tokens"],
                 )
 
-    return docs.mapInArrow(emit, "doc_id long, n int, s1 long, s2 long, tokens binary")
+    return docs.mapInArrow(emit, "row long, n int, s1 long, s2 long, tokens binary")
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("tokens"))
-        ids, sizes = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
+        ids, sizes = batch.column("row").to_numpy(), batch.column("n").to_numpy()
         for i, j in row_slices(offsets, SLICE):
             tokens = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens), pa.array(np.repeat(ids[i:j], sizes[i:j])), pa.array(np.repeat(sizes[i:j], sizes[i:j]))],
-                names=["token", "doc_id", "n"],
+                names=["token", "row", "n"],
             )
 
 
@@ -130,8 +131,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b"
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a").join(
+        sets.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b"
     )
     return both.select("a", "b", "ta", "tb").mapInArrow(emit, "a long, b long")
 
@@ -144,94 +145,106 @@ def _may_link(na: Column, ua: Column, nb: Column, ub: Column, percent: int) -> C
 
 
 def similar_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, every: int = SHARE_EVERY) -> DataFrame:
-    """doc_id, component_id for the documents that have a link; all others are alone."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """row, component (its smallest row) for the rows that have a link or a copy; all others are alone or their own component.
+
+    ``docs``: row (a number that no other row has; stored, as it is read more than once), text.
+    """
+    docs = docs.select("row", "text")
     rows = _prefix_rows(docs, n, percent, every)
     shared = shared_table(
         rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "shared-tokens"
     )
     least = F.greatest(F.floor(F.ceil(F.col("n") * percent / 100) / every), F.lit(1))
     kept = (
-        rows.join(shared, "token", "left_semi").groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(F.col("c") >= least).select("doc_id")
+        rows.join(shared, "token", "left_semi").groupBy("row")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(F.col("c") >= least).select("row")
     )
     kept = shared_table(kept, "first-order")
-    full = shared_table(_full_sets(docs.join(kept, "doc_id", "left_semi"), n), "sets")
-    classes = shared_table(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "tokens")
-    sets = shared_table(sets.dropDuplicates(["doc_id"]), "distinct-sets")
+    full = shared_table(_full_sets(docs.join(kept, "row", "left_semi"), n), "sets")
+    classes = shared_table(full.groupBy("s1", "s2", "n").agg(F.min("row").alias("rep")), "classes")
+    sets = full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "tokens")
+    sets = shared_table(sets, "distinct-sets")
 
-    tokens = sets.mapInArrow(_token_rows, "token long, doc_id long, n int")
+    tokens = sets.mapInArrow(_token_rows, "token long, row long, n int")
     counts = shared_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    listed = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    listed = tokens.join(counts, "token").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
     alone = F.col("n") - F.size("ts")
     take = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone"), F.lit(0)).cast("int")
-    prefix = listed.withColumn("alone", alone).select("doc_id", "n", "alone", F.slice("ts", F.lit(1), take).alias("ts"))
+    prefix = listed.withColumn("alone", alone).select("row", "n", "alone", F.slice("ts", F.lit(1), take).alias("ts"))
     prefix = shared_table(prefix.where(F.size("ts") > 0), "prefixes")
-    buckets = prefix.select("doc_id", "n", "alone", F.posexplode("ts").alias("p", "t")).select(
-        "doc_id", "n", "alone", (F.col("p") + F.col("alone")).alias("at"), F.col("t.token").alias("token")
+    buckets = prefix.select("row", "n", "alone", F.posexplode("ts").alias("p", "t")).select(
+        "row", "n", "alone", (F.col("p") + F.col("alone")).alias("at"), F.col("t.token").alias("token")
     )
 
     centre = shared_table(
         buckets.groupBy("token").agg(
             F.count(F.lit(1)).alias("c"),
-            F.min(F.struct((F.col("alone") / F.col("n")).alias("r"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"))).alias("x"),
+            F.min(F.struct((F.col("alone") / F.col("n")).alias("r"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"))).alias("x"),
         ).where("c > 1").select("token", "x.a", "x.na", "x.ua"),
         "centres",
     )
     star = buckets.join(centre, "token").where(
-        (F.col("doc_id") != F.col("a")) & _may_link(F.col("n"), F.col("alone"), F.col("na"), F.col("ua"), percent)
+        (F.col("row") != F.col("a")) & _may_link(F.col("n"), F.col("alone"), F.col("na"), F.col("ua"), percent)
     )
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = shared_table(star.select(*ordered("a", "doc_id")).distinct(), "first-pairs")
+    first = shared_table(star.select(*ordered("a", "row")).distinct(), "first-pairs")
     links = shared_table(_verify(first, sets, percent), "first-links")
     labels = shared_table(connected_components(links), "first-components")
 
-    named = buckets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
+    named = buckets.join(labels.select(F.col("node").alias("row"), "component"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row")
     )
     named = shared_table(named, "named")
     open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rest = shared_table(named.join(shared_table(open_, "open-tokens"), "token", "left_semi"), "open")
     index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    x = rest.where(F.col("at") < index).select("token", *[F.col(c).alias(c + "1") for c in ("doc_id", "n", "alone", "at", "component")])
-    y = rest.select("token", *[F.col(c).alias(c + "2") for c in ("doc_id", "n", "alone", "at", "component")])
+    x = rest.where(F.col("at") < index).select("token", *[F.col(c).alias(c + "1") for c in ("row", "n", "alone", "at", "component")])
+    y = rest.select("token", *[F.col(c).alias(c + "2") for c in ("row", "n", "alone", "at", "component")])
     need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
     second = x.join(y, "token").where(
         (F.col("component1") != F.col("component2"))
-        & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("doc_id1") < F.col("doc_id2"))))
+        & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("row1") < F.col("row2"))))
         & (F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= need)
         & _may_link(F.col("n1"), F.col("alone1"), F.col("n2"), F.col("alone2"), percent)
     )
-    second = second.select(*ordered("doc_id1", "doc_id2")).distinct().join(first, ["a", "b"], "left_anti")
+    second = second.select(*ordered("row1", "row2")).distinct().join(first, ["a", "b"], "left_anti")
     more = _verify(shared_table(second, "second-pairs"), sets, percent)
     labels = connected_components(shared_table(links.unionByName(more), "links"), "final")
 
-    member = full.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("doc_id", "rep")
-    out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("component_id")
+    member = full.select("row", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("row", "rep")
+    return member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "row", F.coalesce("component", "rep").alias("component")
     )
-    return out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a row number ``key``, stored so that the numbers hold."""
+    return shared_table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
 
 
 def shingle_counts(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """doc_id, n_shingles of every row."""
+    """row, doc_id, n_shingles of every row of ``docs`` (row, doc_id, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for i, j in row_slices(offsets, SLICE):
                 sizes = [len(s) for s in shingle_sets(data, offsets[i : j + 1], n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row")[i:j], batch.column("doc_id")[i:j], pa.array(sizes, pa.int64())], names=["row", "doc_id", "n_shingles"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, n_shingles long")
+    return docs.select("row", "doc_id", "text").mapInArrow(emit, "row long, doc_id long, n_shingles long")
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) of every row of ``docs`` (doc_id, text)."""
-    found = shared_table(similar_components(docs, n, percent), "components")
-    return shingle_counts(docs, n).join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id")
+    rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
+    found = shared_table(similar_components(rows, n, percent), "components")
+    least = found.join(rows.select("row", "doc_id"), "row").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = shared_table(found.join(least, "component").select("row", "component_id"), "named-components")
+    return shingle_counts(rows, n).join(named, "row", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
@@ -242,13 +255,13 @@ def keep_one_per_component(docs: DataFrame, n: int = NGRAM, percent: int = PERCE
     rows with the same doc_id a hash of the row decides.
     """
     key = free_name(docs, "_row")
-    numbered = shared_table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = shared_table(similar_components(numbered.select(F.col(key).alias("doc_id"), "text"), n, percent), "components")
+    numbered = _numbered(docs, key)
+    found = shared_table(similar_components(numbered.select(F.col(key).alias("row"), "text"), n, percent), "components")
     plain = [c for c, kind in docs.dtypes if "<" not in kind and kind != "variant"]
     ranks = numbered.select(
         F.col(key).alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*plain).alias("hash"), F.col(key).alias("row")).alias("rank")
     )
-    ranked = shared_table(found.select(F.col("doc_id").alias("row"), "component_id").join(ranks, "row"), "ranked")
-    first = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    ranked = shared_table(found.join(ranks, "row"), "ranked")
+    first = ranked.groupBy("component").agg(F.min("rank").alias("rank")).select("rank.row")
     gone = shared_table(ranked.join(first, "row", "left_anti").select(F.col("row").alias(key)), "near-copies")
     return numbered.join(gone, key, "left_anti").drop(key)
