@@ -3,8 +3,10 @@
 Every byte position starts a suffix, of which only the first ``depth`` bytes count. The first pass deals
 runs of neighbouring suffixes by the minimiser of their ``depth`` bytes (repeats.py); inside a bucket suffixes are sorted
 by most-significant-digit passes of eight bytes, down to ``depth`` and no further. A pass touches only groups whose
-digits differ, and suffixes left alone drop out. Groups that remain equal at full depth are exactly the
-repeated ``depth``-byte strings; every byte that such a string covers is removed.
+digits differ, and suffixes left alone drop out. Groups that remain equal at full depth are repeated ``depth``-byte
+strings; every byte that such a string covers is removed. Only buckets with several different runs are sorted: a bucket
+whose runs all have the same 128 bits of hash is settled by counting them, and windows of a bucket that is dealt over several
+groups meet again by a 128-bit digest. So results are exact short of a collision of hashes.
 
 Null text: empty. Texts shorter than ``depth`` bytes keep everything. Repeated rows are documents of
 their own and so repeat each other. Input columns named like an output column are replaced.
