@@ -4,7 +4,8 @@ Documents are dealt to shards of about ``shard_docs`` documents by a seeded hash
 seeded order; each shard is cut into blocks of ``block`` words. Every source gets a target in words. Its
 quota of blocks is its share of all target blocks by the highest quotients target / (2 seats + 1), and the
 quota is dealt to its shards in the same way by their words. A shard takes all its blocks as often as the
-quota allows, and the rest as blocks in seeded order. So a reread of the same rows takes the same words.
+quota allows, and the rest as one stretch of neighbouring blocks from a seeded one on, round the end of the shard. So a
+reread of the same rows takes the same words, and only documents at the ends of a stretch are cut.
 
 Targets: ``ratio`` times all words, shared by weight; a source's target stops at ``limit`` times its size and
 the excess is shared again by weight among the others. Sizes are words ``[^\\x20\\x09-\\x0D]+``; null or blank
@@ -112,13 +113,13 @@ def mix_sources(
     shard_quotas = shard_quotas.withColumn("left", F.col("quota") - F.col("times") * F.col("n_blocks"))
     shard_quotas = shared_table(shard_quotas, "shard-quotas")
 
-    # Blocks chosen once more: the first in seeded order within their shard.
-    numbered = shard_quotas.where("n_blocks > 0").select("source", "shard", "times", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    lot = F.xxhash64(F.lit(seed + 2), "source", "shard", "block")
-    drawn = numbered.withColumn("lot", F.row_number().over(W.partitionBy("source", "shard").orderBy(lot, "block")))
+    # Blocks chosen once more: neighbours from a seeded one on, round the end of their shard, so only documents at the ends are cut.
+    numbered = shard_quotas.where("n_blocks > 0").select("source", "shard", "times", "left", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    begin = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks"))
+    drawn = numbered.withColumn("lot", F.pmod(F.col("block") - begin, F.col("n_blocks")))
     drawn = drawn.select(
         F.col("source").alias("_s"), F.col("shard").alias("_d"), F.col("block").alias("_b"),
-        (F.col("times") + (F.col("lot") <= F.col("left")).cast("long")).alias("times"),
+        (F.col("times") + (F.col("lot") < F.col("left")).cast("long")).alias("times"),
     )
 
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)

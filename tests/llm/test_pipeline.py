@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 
-from lodestone.llm import ngram_join
+from lodestone.llm import mixing, ngram_join
 
 from .test_llm import LOW, SCHEMA, WORD, prose
 
@@ -52,3 +52,12 @@ def test_one_row_of_repeated_rows_and_null_ids_stays(spark, tmp_path):
     assert got == {(1, a): 1, (2, b): 1, (None, c): 1, (4, rows[6][1]): 1}
     docs.where("doc_id is null or doc_id <> 4").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2, None}
+
+
+def test_mix_cuts_only_documents_at_the_ends_of_a_stretch(spark):
+    docs = table(spark, [(i, prose(i, 150), "ab"[i % 2]) for i in range(100, 140)])
+    rows = mixing.mix_sources(docs.select("doc_id", "text", "source"), ratio=0.5)[0].collect()
+    for source in "ab":
+        own = [r for r in rows if r["source"] == source]
+        assert any(r["taken"] == r["size"] for r in own)
+        assert sum(0 < r["taken"] < r["size"] for r in own) <= 2
