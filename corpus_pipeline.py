@@ -19,9 +19,16 @@ NEAR_NGRAM = 5
 NEAR_PERCENT = 80
 
 
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns that no operator reads under names that no operator uses, and those names."""
+    names = {c: c if c in ("doc_id", "text", "source") else f"_passed{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()]), names
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host is rejected, go."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    held, names = _set_aside(docs)
+    return quality.quality_rules(held).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +38,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated windows are cut; documents of which nothing stays go."""
-    out = superkmer.remove_repeated_words(docs)
+    held, names = _set_aside(docs)
+    out = superkmer.remove_repeated_words(held)
     kept = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     kept = kept.withColumn("text", text)
-    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in names.items()])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import shared_table, small_or_plain, words_of
+from .shared import free_name, shared_table, small_or_plain, words_of
 
 BLOCK = 32
 SHARD_DOCS = 5_000
@@ -146,23 +146,26 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: floa
     A row that is taken whole keeps its text; of others the taken words stay, with the white space after each.
     """
     mixed, _ = mix_sources(docs, weights, ratio, limit, seed)
+    id_, order_, nth_, size_, pieces_, o_, n_, copy_, own_, taken_ = (
+        free_name(docs, c) for c in ("_id", "_order", "_nth", "_size", "_pieces", "_o", "_n", "_copy", "_own", "_taken")
+    )
     nth = W.partitionBy("doc_id", "order").orderBy("start")
     picks = mixed.where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("order").alias("_order"), F.row_number().over(nth).alias("_nth"), F.col("size").alias("_size"),
-        F.col("pieces").alias("_pieces"),
+        F.col("doc_id").alias(id_), F.col("order").alias(order_), F.row_number().over(nth).alias(nth_), F.col("size").alias(size_),
+        F.col("pieces").alias(pieces_),
     )
-    keyed = docs.withColumn("_o", F.xxhash64(F.lit(seed), "doc_id", F.col("text")))
-    keyed = keyed.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_o").orderBy(F.lit(1))))
-    met = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_o") == F.col("_order")) & (F.col("_n") == F.col("_nth")))
-    copies = met.select("*", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("_copy"))
-    own = F.filter("_pieces", lambda p: p["times"] >= F.col("_copy"))
+    keyed = docs.withColumn(o_, F.xxhash64(F.lit(seed), "doc_id", F.col("text")))
+    keyed = keyed.withColumn(n_, F.row_number().over(W.partitionBy("doc_id", o_).orderBy(F.lit(1))))
+    met = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(o_) == F.col(order_)) & (F.col(n_) == F.col(nth_)))
+    copies = met.select("*", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias(copy_))
+    own = F.filter(pieces_, lambda p: p["times"] >= F.col(copy_))
     words = F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + p["inside"])
-    copies = copies.withColumn("_own", own).withColumn("_taken", words).where("_taken > 0")
+    copies = copies.withColumn(own_, own).withColumn(taken_, words).where(F.col(taken_) > 0)
     spaced = F.regexp_extract_all(F.col("text"), F.lit("[^ \\x09-\\x0D]+[ \\x09-\\x0D]*"), F.lit(0))
     # The words are bound to a lambda variable, so they are found once a row and not once a piece.
     cut_words = lambda ws: F.array_join(
-        F.transform("_own", lambda p: F.array_join(F.slice(ws, (p["before"] + 1).cast("int"), p["inside"].cast("int")), "")), ""
+        F.transform(own_, lambda p: F.array_join(F.slice(ws, (p["before"] + 1).cast("int"), p["inside"].cast("int")), "")), ""
     )
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.get(F.transform(F.array(spaced), cut_words), F.lit(0)))
+    text = F.when(F.col(taken_) == F.col(size_), F.col("text")).otherwise(F.get(F.transform(F.array(spaced), cut_words), F.lit(0)))
     cut = copies.withColumn("text", text)
     return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

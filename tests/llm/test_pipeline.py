@@ -61,3 +61,14 @@ def test_mix_cuts_only_documents_at_the_ends_of_a_stretch(spark):
         own = [r for r in rows if r["source"] == source]
         assert any(r["taken"] == r["size"] for r in own)
         assert sum(0 < r["taken"] < r["size"] for r in own) <= 2
+
+
+def test_columns_named_like_those_of_operators_pass(spark):
+    names = ["n_words", "kept", "failed", "n_removed", "_id", "_order", "_pieces", "_o", "_taken", "_copy"]
+    docs = table(spark, [(i, prose(i, 90), "a") for i in (91, 92)])
+    docs = docs.selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.repeated_passages, corpus_pipeline.source_mix):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == {91, 92} and all(r[n] == n for r in rows for n in names)
