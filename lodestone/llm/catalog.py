@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, lm, mixing, ngram_join, omh, oracle, packing, quality, suffix_dedup, superkmer, urls
+from . import chat, lm, mixing, ngram_join, omh, oracle, packing, phrases, quality, spelling, suffix_dedup, superkmer, urls, warc
 from .shared import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), stored=True)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(spelling.observed_words(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 ORACLE["op3_chat_format"] = oracle.CHAT_FORMAT
 ORACLE["op4_suffix_dedup"] = oracle.suffix_dedup(suffix_dedup.DEPTH)
 ORACLE["op5_url_filter"] = oracle.url_filter(URL_RULES, urls.CUTOFF, urls.Z)
@@ -115,3 +131,6 @@ ORACLE["op7_quality_rules"] = oracle.quality_rules(
     quality.MEAN_WORD_CHARS, quality.HOST_CUTOFF, quality.HOST_Z,
 )
 ORACLE["op10_ngram_jaccard"] = oracle.jaccard_join(ngram_join.NGRAM, ngram_join.PERCENT)
+ORACLE["op11_phrase_mining"] = oracle.phrase_mining(phrases.MIN_COUNT, phrases.COVER_PERCENT, phrases.TOP)
+ORACLE["op12_warc"] = oracle.warc_pages(warc.MIN_REVISIT)
+ORACLE["op13_spelling_variants"] = oracle.spelling_variants(spelling.NOISE, spelling.MIN_CHARS, spelling.MIN_COUNT, spelling.FORM_RATIO)

@@ -218,3 +218,90 @@ select doc_id, length(r.digits) // 2 as n_bytes, coalesce(removed, 0) as n_remov
   sha256(unhex(k.digits)) as kept_sha256
 from rows_ r join kept k using (rid) left join spans using (rid)
 """
+
+
+def phrase_mining(least: int, cover: int, top: int) -> str:
+    return rf"""
+with pieces_ as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+),
+lists_ as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces_),
+grams_ as (
+  select lang, 1 as words, unnest(w) as phrase from lists_
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from lists_
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from lists_
+),
+f as materialized (select lang, words, phrase, count(*) as f from grams_ group by all),
+totals as (select lang, sum(f) as n from f where words = 1 group by lang),
+candidates as (select lang, words, phrase, f as a, string_split(phrase, ' ') as w from f where words > 1 and f >= {least}),
+cuts as (
+  select lang, words, phrase, a, w, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+  from (select *, unnest(range(1, words)) as k from candidates)
+),
+scored as (
+  select c.*, x.f as l, y.f as r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = head join f y on y.lang = c.lang and y.phrase = tail
+),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (
+  select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as longer from (select *, unnest([1, 2]) as i from candidates where words = 3) group by all
+),
+kept as (select o.* from lowest o left join inner_ i on i.lang = o.lang and i.phrase = o.phrase and o.words = 2 where longer is null or 100 * longer < {cover} * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked join totals using (lang) where rank <= {top}
+"""
+
+
+def spelling_variants(noise: int, min_chars: int, min_count: int, ratio: int) -> str:
+    return rf"""
+with recursive crc(i, c, k) as (
+  select i, i, 0 from range(256) as t(i)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8
+),
+crc_table as (select list(c order by i) as tab from crc where k = 8),
+runs_ as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as run
+  from documents
+),
+distinct_ as (select id, run, count(*) as n, hex(encode(id || ':' || run)) as h from runs_ group by all),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda a, b: xor(tab[1 + (xor(a, b) & 255)], a >> 8))) as crc
+  from distinct_, crc_table
+),
+observed as (
+  select case when crc % {noise} = 0 then substr(run, 1, (crc % length(run))::bigint) || substr(run, (crc % length(run))::bigint + 2) else run end as word, n from hashed
+),
+words_ as materialized (select word, sum(n)::bigint as n from observed where length(word) >= {min_chars} group by word having sum(n) >= {min_count}),
+holes as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word))) as i from words_)
+),
+near as (
+  select a.word, b.word as other, b.n as m from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from holes a join words_ b on a.rest = b.word
+  union select b.word, a.word, a.n from holes a join words_ b on a.rest = b.word
+),
+counts as (select word, count(*) as n_near from near group by word),
+best as (select word, other, m from near qualify row_number() over (partition by word order by m desc, other) = 1),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= {ratio} * n then other end as form, case when m >= {ratio} * n then m end as form_n
+  from words_ w left join counts using (word) left join best using (word)
+),
+chain(word, stop) as (select word, word from forms union all select c.word, f.form from chain c join forms f on f.word = c.stop where f.form is not null)
+select f.word, f.n, f.n_near, f.form, f.form_n, c.stop as root
+from forms f join chain c on c.word = f.word join forms e on e.word = c.stop where e.form is null
+"""
+
+
+def warc_pages(least: int) -> str:
+    return f"""
+select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
+  case when again then 'revisit' else 'response' end as record_type, case when again then first_id end as refers_to
+from (
+  select *, octet_length(encode(coalesce(html, ''))) >= {least} and row_number() over same > 1 as again, first_value(page_id) over same as first_id
+  from pages window same as (partition by coalesce(html, '') order by page_id nulls last)
+)
+"""
