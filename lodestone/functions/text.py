@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, functions as F
 
+if TYPE_CHECKING:
+    from .segmentation import HanDictionary
+
 # Chinese function words that are never indexed.
 STOPWORDS = ("的", "了", "和", "与", "是", "在", "如何", "什么", "为什么", "怎么", "一个", "哪些", "及")
 
@@ -114,27 +118,34 @@ def tokenize(
     dictionary: Sequence[str] = (),
     ordered: bool = False,
     normalized: bool = False,
+    han: HanDictionary | None = None,
 ) -> Column:
     """Index terms of a text, duplicates kept.
 
-    Word segments, then identifiers with their parts, then Han bigrams, then dictionary
-    entries found anywhere. ``ordered`` interleaves identifiers with their parts, which
-    matters only where the first N distinct query terms are kept.
+    Word segments (with ``han`` also those of Han runs, by dictionary), then identifiers with their parts,
+    then Han bigrams, then dictionary entries found anywhere. ``ordered`` interleaves identifiers with their
+    parts, which matters only where the first N distinct query terms are kept.
     """
     c = _as_col(text)
     entries = dictionary_terms(dictionary)
 
-    def terms(norm: Column) -> Column:
-        lists = [words(norm), identifiers_in_order(norm) if ordered else identifiers(norm), han_terms(norm)]
+    def rest(norm: Column) -> list[Column]:
+        lists = [identifiers_in_order(norm) if ordered else identifiers(norm), han_terms(norm)]
         for entry in entries:
             hit = F.lower(norm).contains(entry)
             lists.append(F.when(hit, F.array(F.lit(entry))).otherwise(F.array().cast("array<string>")))
-        return F.concat(*lists)
+        return lists
+
+    if han is not None:
+        from .segmentation import han_segments
 
+        norm = c if normalized else nfkc(c)
+        found = F.get(F.transform(F.array(norm), lambda n: F.struct(words(n).alias("words"), F.concat(*rest(n)).alias("rest"))), F.lit(0))
+        return F.concat(found["words"], han_segments(norm, han), found["rest"])
     if normalized:
-        return terms(c)
+        return F.concat(words(c), *rest(c))
     # Bound to a lambda variable, the normalised text is made once a row and not once a use.
-    return F.get(F.transform(F.array(nfkc(c)), terms), F.lit(0))
+    return F.get(F.transform(F.array(nfkc(c)), lambda n: F.concat(words(n), *rest(n))), F.lit(0))
 
 
 def encode_term(term: Column | str) -> Column:

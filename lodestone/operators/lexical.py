@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import RetrievalOptions
+from ..functions.segmentation import HanDictionary
 from ..functions.text import tokenize
 from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
 
@@ -23,14 +24,14 @@ SCORE_DIGITS = 9
 
 def term_table(
     chunks: DataFrame, body: str = "text", title: Column | str | None = None, keep: tuple[str, ...] = (),
-    dictionary: Sequence[str] = (),
+    dictionary: Sequence[str] = (), han: HanDictionary | None = None,
 ) -> DataFrame:
     """One row per chunk with its term lists and lengths (distinct per field, total overall)."""
     lists = chunks.select(
         "chunk_id",
         *keep,
-        (tokenize(title, dictionary) if title is not None else F.array().cast("array<string>")).alias("title_terms"),
-        tokenize(body, dictionary).alias("body_terms"),
+        (tokenize(title, dictionary, han=han) if title is not None else F.array().cast("array<string>")).alias("title_terms"),
+        tokenize(body, dictionary, han=han).alias("body_terms"),
     )
     return lists.withColumns(
         {
@@ -52,17 +53,18 @@ def corpus_stats(terms: DataFrame) -> DataFrame:
 
 
 def query_terms(
-    queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",), dictionary: Sequence[str] = ()
+    queries: DataFrame, text: str = "text", keys: tuple[str, ...] = ("query_id",), dictionary: Sequence[str] = (),
+    han: HanDictionary | None = None,
 ) -> DataFrame:
     """Distinct terms of each query expression, the first 128 in order; dictionary entries come last."""
-    capped = F.slice(F.array_distinct(tokenize(text, dictionary, ordered=True)), 1, QUERY_TERM_CAP)
+    capped = F.slice(F.array_distinct(tokenize(text, dictionary, ordered=True, han=han)), 1, QUERY_TERM_CAP)
     return queries.select(*keys, F.posexplode(capped).alias("pos", "term"))
 
 
-def _lookup(queries: DataFrame, keys: tuple[str, ...], text: str, dictionary: Sequence[str]):
+def _lookup(queries: DataFrame, keys: tuple[str, ...], text: str, dictionary: Sequence[str], han: HanDictionary | None):
     """Query terms plus whether they are small enough to broadcast (128 terms per row at most)."""
     small = fits(queries, BROADCAST_ROW_LIMIT // QUERY_TERM_CAP)
-    return query_terms(queries, text, keys, dictionary), small
+    return query_terms(queries, text, keys, dictionary, han), small
 
 
 def postings(terms: DataFrame, keep: tuple[str, ...] = (), title: bool = True, mark: bool = False) -> DataFrame:
@@ -125,15 +127,16 @@ def lexical_scores(
     stats: DataFrame | None = None,
     counted: DataFrame | None = None,
     dictionary: Sequence[str] = (),
+    han: HanDictionary | None = None,
 ) -> DataFrame:
     """(keys, chunk_id, score) for every chunk sharing a term with a query (OR semantics).
 
     ``allowed`` filters scored chunks on their ``keep`` columns; statistics stay global.
     ``counted`` are stored postings (chunk, field, term, tf) used instead of ``terms``, together
-    with ``stats``. ``dictionary`` must be the one that the terms were made with.
+    with ``stats``. ``dictionary`` and ``han`` must be those that the terms were made with.
     """
     use_title = title and options.title_weight > 0
-    wanted, small = _lookup(queries, keys, text, dictionary)
+    wanted, small = _lookup(queries, keys, text, dictionary, han)
     vocabulary = wanted.select("term").distinct()
     carried = keep if allowed is not None else ()
     if counted is None:
@@ -170,6 +173,9 @@ def lexical_scores(
         )
     scored = hits if allowed is None else hits.filter(allowed)
     worth = scored.join(small_side(weights, small), on).select("chunk_id", "term", score.alias("worth"))
+    if small:
+        # The postings of a chunk meet once; its (query, chunk) sums and each task's best then need no further exchange.
+        worth = worth.repartition("chunk_id")
     joined = worth.join(small_side(wanted.select(*keys, "term"), small), "term")
     return joined.groupBy(*keys, "chunk_id").agg(F.round(F.sum("worth"), SCORE_DIGITS).alias("score"))
 
