@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, coverage, maintenance as mt
+from ..session import BROADCAST_ROW_LIMIT, fits, small_side
 from .common import SQL_PASSAGE_SCORES, passages, register, spread, table, units
 from .evaluation import SQL_CHUNKS, document_sources, line_chunks, located
 from .lexical import BODY_ONLY, passage_lane
@@ -288,8 +289,9 @@ def index_status(spark, sf_dir):
 def candidate_projection(spark, sf_dir):
     """Ids are ranked first; text and source columns are joined only for the returned rows."""
     lane = passage_lane(spark, sf_dir, BODY_ONLY.override({"bm25_candidates": 10}), keep=())
+    few = fits(passages(spark, sf_dir), BROADCAST_ROW_LIMIT // 10)  # ten rows a passage
     docs = units(spark, sf_dir)
-    return lane.join(docs, "chunk_id").select(
+    return docs.join(small_side(lane, few), "chunk_id").select(
         "query_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"),
         F.col("source_id").alias("source"), F.col("collection_id").alias("lang"), "relative_path",
         tx.content_hash("text").alias("source_version"), "text",

@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import RetrievalOptions
-from ..session import fits
+from ..session import cut_lineage
 from .lexical import top_candidates
 
 SIMILARITY_DIGITS = 9
 # Query floats one task may hold (128 MB as double precision).
 QUERY_FLOAT_LIMIT = 16_000_000
-CHUNK_BLOCK_ROWS = 50_000
+# Floats of the vectors of one block that meets a block of queries, and bytes of scores made at once.
+CHUNK_FLOAT_LIMIT = 8_000_000
+TILE_BYTES = 32 << 20
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -33,17 +35,35 @@ def _best(frame: pd.DataFrame, n: int) -> pd.DataFrame:
     return ordered.groupby("q", sort=False).head(n)
 
 
-def _block_best(block: pd.DataFrame, queries: np.ndarray, n: int, floor: float | None) -> pd.DataFrame:
-    """Best ``n`` chunks of one block for every query; equal scores go to the lower id."""
-    sims = np.round(queries @ _unit_rows(block["embedding"]).T, SIMILARITY_DIGITS)
+def _tile_best(sims: np.ndarray, n: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the scores of one tile that may be among a query's best ``n``; ties with the n-th stay."""
     usable = np.isfinite(sims) if floor is None else sims >= floor
     if sims.shape[1] > n:
         nth = np.partition(np.where(usable, sims, -np.inf), sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
         usable &= sims >= nth[:, None]
-    q, row = np.nonzero(usable)
-    found = block.drop(columns="embedding").iloc[row].reset_index(drop=True)
-    found["q"], found["similarity"] = q, sims[q, row]
-    return _best(found, n)
+    return np.nonzero(usable)
+
+
+def _block_best(block: pd.DataFrame, queries: np.ndarray, n: int, floor: float | None, tile_bytes: int | None = None) -> pd.DataFrame:
+    """Best ``n`` chunks of one block for every query; equal scores go to the lower id.
+
+    Scores are made in tiles of queries × chunks of at most ``tile_bytes``; each tile leaves its best, and those are merged.
+    """
+    vectors, rest = _unit_rows(block["embedding"]), block.drop(columns="embedding")
+    cells = max(1, (tile_bytes or TILE_BYTES) // 8)
+    wide = min(len(queries), max(1, int(cells**0.5)))
+    deep = max(1, cells // wide)
+    parts = []
+    for low in range(0, len(queries), wide):
+        best = None
+        for at in range(0, len(vectors), deep):
+            sims = np.round(queries[low : low + wide] @ vectors[at : at + deep].T, SIMILARITY_DIGITS)
+            q, row = _tile_best(sims, n, floor)
+            found = rest.iloc[row + at].reset_index(drop=True)
+            found["q"], found["similarity"] = q + low, sims[q, row]
+            best = _best(found if best is None else pd.concat([best, found]), n)
+        parts.append(best)
+    return pd.concat(parts) if len(parts) != 1 else parts[0]
 
 
 def _numbers(n: int):
@@ -58,11 +78,15 @@ def dense_scores(
     keys: tuple[str, ...] = ("query_id",),
     keep: tuple[str, ...] = (),
     query_float_limit: int = QUERY_FLOAT_LIMIT,
+    chunk_float_limit: int = CHUNK_FLOAT_LIMIT,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """Per task, the best ``n`` chunks of each query: (keys, chunk_id, keep, similarity)."""
     spark = vectors.sparkSession
-    head = queries.select(F.size("embedding").alias("d")).first()
-    limit = max(1, query_float_limit // max(1, head["d"] if head else 1))
+    queries = cut_lineage(queries.select(*keys, "embedding"))  # read again below
+    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    width = max(1, shape["d"] or 1)
+    limit = max(1, query_float_limit // width)
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in queries.select(*keys).schema.fields]
         + [f"{f.name} {f.dataType.simpleString()}" for f in vectors.select("chunk_id", *keep).schema.fields]
@@ -71,7 +95,7 @@ def dense_scores(
     out_columns = [*keys, "chunk_id", *keep, "similarity"]
     wanted = vectors.select("chunk_id", *keep, "embedding")
 
-    if fits(queries, limit):
+    if shape["n"] <= limit:
         frame = queries.select(*keys, "embedding").toPandas()  # at most ``limit`` rows, just checked
         if frame.empty:
             return spark.createDataFrame([], schema)
@@ -82,7 +106,7 @@ def dense_scores(
             best = None
             for block in blocks:
                 if len(block):
-                    found = _block_best(block, matrix, n, min_similarity)
+                    found = _block_best(block, matrix, n, min_similarity, tile_bytes)
                     best = found if best is None else _best(pd.concat([best, found]), n)
             if best is not None:
                 for key in keys:
@@ -92,8 +116,8 @@ def dense_scores(
         return wanted.mapInPandas(scan, schema)
 
     # Too many queries for one task: cut both sides into blocks and meet them pairwise.
-    query_blocks = math.ceil(queries.count() / limit)
-    chunk_blocks = max(1, math.ceil(vectors.count() / CHUNK_BLOCK_ROWS))
+    query_blocks = math.ceil(shape["n"] / limit)
+    chunk_blocks = max(1, math.ceil(vectors.count() * width / chunk_float_limit))
     left = queries.select(
         *[F.col(k).alias(f"key_{k}") for k in keys], F.col("embedding").alias("query_vector"),
         F.pmod(F.xxhash64(*keys), F.lit(query_blocks)).alias("qb"),
@@ -108,7 +132,7 @@ def dense_scores(
             return pd.DataFrame({c: [] for c in out_columns})
         best = _block_best(
             block.drop(columns=["qb", "cb"]).reset_index(drop=True), _unit_rows(query_frame["query_vector"]),
-            n, min_similarity,
+            n, min_similarity, tile_bytes,
         )
         for key in keys:
             best[key] = query_frame[f"key_{key}"].to_numpy()[best["q"]]
