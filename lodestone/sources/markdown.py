@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -14,40 +15,13 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from ..config import UUID_V4
 from ..functions.text import LINE_BREAK, SPACE, strip_space
+from .files import MarkdownFiles, glob_regex
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 IDENTITY_KEY = "source_id"
 _FENCE_END = rf"^(---|\.\.\.)[{SPACE}]*$"
 
 
-def glob_regex(pattern: str) -> str:
-    """Path glob as a regular expression: ** crosses folders, * and ? do not, {a,b} alternates."""
-    out, i, depth = "", 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-            continue
-        if pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-            continue
-        if c == "[" and "]" in pattern[i + 1 :]:
-            end = pattern.index("]", i + 1)
-            body = pattern[i + 1 : end]
-            out += "[" + ("^" + body[1:] if body.startswith("!") else body) + "]"
-            i = end
-        elif c == "{":
-            out, depth = out + "(?:", depth + 1
-        elif c == "}" and depth:
-            out, depth = out + ")", depth - 1
-        elif c == "," and depth:
-            out += "|"
-        else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
-        i += 1
-    return f"^{out}$"
-
-
 def in_scope(relative: Column, include: Sequence[str] | None, exclude: Sequence[str] | None) -> Column:
     """Markdown file, matching any include and no exclude pattern.
 
@@ -77,26 +51,18 @@ def scan_markdown(
     max_file_bytes: int = MAX_FILE_BYTES,
     stream: bool = False,
 ) -> DataFrame:
-    """(collection_id, path, relative_path, content): one row per Markdown file below ``root``.
+    """(collection_id, path, relative_path, raw, source_version, modified): one row per Markdown file below ``root``.
 
-    Spark lists and reads the files in parallel. Its file sources never list names that begin
-    with "_" or ".". A file above the limit or with invalid UTF-8 fails the job.
+    Files come from the ``markdown_files`` data source: listed folder by folder, symbolic links skipped, read by
+    many tasks. A stream uses Spark's own file source, which never lists names that begin with "_" or ".".
+    A file above the limit or with invalid UTF-8 fails the job.
     """
-    reader = spark.readStream if stream else spark.read
     if stream:
-        reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
-    base = root.rstrip("/")
-    files = (
-        reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(base)
-    )
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//)?", ""), r"^/+", "/")
-    plain_base = re.sub(r"^[a-z0-9]+:(//)?", "", base)
-    relative = F.substring(path, F.lit(len(plain_base) + 2), F.length(path))
-    scoped = files.select(
-        path.alias("path"), relative.alias("relative_path"), F.col("modificationTime").alias("modified"), "length", "content"
-    ).filter(
-        in_scope(F.col("relative_path"), include, exclude)
-    )
+        scoped = _streamed(spark, root.rstrip("/"), include, exclude)
+    else:
+        spark.dataSource.register(MarkdownFiles)
+        options = {"root": root, "maxFileBytes": str(max_file_bytes), "scope": json.dumps({"include": include, "exclude": exclude})}
+        scoped = spark.read.format(MarkdownFiles.name()).options(**options).load()
     too_big = F.raise_error(F.concat(F.lit("Source exceeds max_file_bytes: "), F.col("path")))
     broken = F.raise_error(F.concat(F.lit("Source is not valid UTF-8: "), F.col("path")))
     text = F.col("content").cast("string")
@@ -111,6 +77,19 @@ def scan_markdown(
     )
 
 
+def _streamed(spark: SparkSession, base: str, include: Sequence[str] | None, exclude: Sequence[str] | None) -> DataFrame:
+    files = (
+        spark.readStream.schema("path string, modificationTime timestamp, length long, content binary")
+        .format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(base)
+    )
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//)?", ""), r"^/+", "/")
+    plain_base = re.sub(r"^[a-z0-9]+:(//)?", "", base)
+    relative = F.substring(path, F.lit(len(plain_base) + 2), F.length(path))
+    return files.select(
+        path.alias("path"), relative.alias("relative_path"), F.col("modificationTime").alias("modified"), "length", "content"
+    ).filter(in_scope(F.col("relative_path"), include, exclude))
+
+
 def _identity_of(yaml_text: str, key: str) -> str | None:
     import yaml
 
