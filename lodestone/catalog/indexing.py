@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..errors import RetrievalError
 from ..functions.text import LINE_BREAK, content_hash
 from ..operators import lexical as lx
 from ..plans.index import EvidenceIndex, IndexProfile
@@ -33,21 +34,16 @@ def _fresh_index(spark) -> EvidenceIndex:
     return EvidenceIndex(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", IndexProfile("whole"))
 
 
-@register(
-    "index_search_topk",
-    f"""with {SQL_DOC_TERMS}, {SQL_PASSAGE_TERMS},
+_INDEX_TOPK = f"""with {SQL_DOC_TERMS}, {SQL_PASSAGE_TERMS},
     scores as (
       select q.query_id, t.doc_id, round(sum({sql_bm25plus()}), 9) as score
       from query_terms q join doc_terms t on t.term = q.term join dfs f on f.term = q.term
       join doc_len l on l.doc_id = t.doc_id cross join corpus c group by all),
     ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scores)
-    select query_id, rank, round(score, 6) as score from ranked where rank <= 10""".replace("from documents)", f"from {_NOT_BLANK})"),
-)
-def index_search_topk(spark, sf_dir):
-    """Ten best scores of every passage, from the stored postings of an index over all documents."""
-    index = _fresh_index(spark)
-    index.sync(_sources(table(spark, sf_dir, "documents")))
-    state = index.require("bm25")
+    select query_id, rank, round(score, 6) as score from ranked where rank <= 10""".replace("from documents)", f"from {_NOT_BLANK})")
+
+
+def _top10(spark, sf_dir, index: EvidenceIndex, state: dict) -> DataFrame:
     lane = lx.lexical_lane(
         None, passages(spark, sf_dir), BODY_ONLY.override({"bm25_candidates": 10}), title=False,
         stats=lx.corpus_stats(index.lengths(state)), counted=index.postings(state),
@@ -55,6 +51,75 @@ def index_search_topk(spark, sf_dir):
     return lane.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@register("index_search_topk", _INDEX_TOPK)
+def index_search_topk(spark, sf_dir):
+    """Ten best scores of every passage, from the stored postings of an index over all documents."""
+    index = _fresh_index(spark)
+    index.sync(_sources(table(spark, sf_dir, "documents")))
+    return _top10(spark, sf_dir, index, index.require("bm25"))
+
+
+_TOPK = _INDEX_TOPK.replace("select query_id, rank, round(score, 6) as score from ranked", "select query_id, rank, round(score, 6) as score, 1::bigint as segments from ranked")
+
+
+@register("index_compaction", _TOPK)
+def index_compaction(spark, sf_dir):
+    """Ten best scores of every passage after three syncs, of more languages each, were merged into one segment."""
+    documents = table(spark, sf_dir, "documents")
+    index = _fresh_index(spark)
+    for known in (F.col("lang").isin("de", "es"), F.col("lang").isin("de", "es", "fr"), F.lit(True)):
+        index.sync(_sources(documents.filter(known)))
+    index.compact(everything=True)
+    state = index.require("bm25")
+    return _top10(spark, sf_dir, index, state).withColumn("segments", F.lit(len(state["segments"])).cast("long"))
+
+
+class SizeEmbeddings:
+    """Vectors made of a text's length: a provider that needs no model."""
+
+    fingerprint, dimensions = "size-1", 2
+
+    def embed(self, texts, purpose):
+        return [[1.0, float(len(t))] for t in texts], sum(map(len, texts))
+
+
+@register(
+    "layer_readiness",
+    """with filled as (select doc_id from documents where regexp_matches(text, '\\S')),
+    toxic as (select doc_id from labels where toxic = 1)
+    select 'chunks' as layer, count(*) as rows, 'ready' as state from filled
+    union all select 'terms', count(*), 'ready' from filled
+    union all select 'vectors', (select count(*) from filled anti join toxic using (doc_id)),
+      (select case when count(*) > 0 then 'INDEX_STALE' else 'ready' end from documents semi join toxic using (doc_id))""",
+)
+def layer_readiness(spark, sf_dir):
+    """Rows and readiness of each layer after toxic documents came in a sync without the embedding provider."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index, provider = _fresh_index(spark), SizeEmbeddings()
+    key = index.profile.vector_key(provider)
+    index.sync(_sources(documents.join(labels.filter("toxic = 1"), "doc_id", "left_anti")), provider)
+    index.sync(_sources(documents))
+    state = index.state()
+
+    def readiness(mode):
+        try:
+            index.require(mode, key)
+        except RetrievalError as error:
+            return error.code
+        return "ready"
+
+    have = [s["vectors"][key] for s in state["segments"] if key in s["vectors"]]
+    layers = [
+        ("chunks", index.chunks(state), readiness("bm25")), ("terms", index.lengths(state), readiness("bm25")),
+        ("vectors", spark.read.parquet(*have), readiness("dense")),
+    ]
+    out = None
+    for name, rows, ready in layers:
+        one = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("layer"), "rows", F.lit(ready).alias("state"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register(
     "index_resync_counts",
     """with toxic as (select distinct doc_id from labels where toxic = 1), poor as (select distinct doc_id from labels where quality = 0),

@@ -12,8 +12,13 @@ Layout under the index root, one folder per chunker identity::
 
 A sync writes only changed sources into a new segment, then publishes by creating the commit that
 follows the state it read. Readers see the old or the new state, a failed job publishes nothing, and
-of two writers only one can follow a state. Rows of replaced sources are left behind in old segments
-and screened out by the sources table.
+of two writers only one can follow a state (a rename without overwrite decides, which is atomic on HDFS and local
+disks; an object store needs a committer of its own). Rows of replaced sources are left behind in old segments
+and screened out by the sources table, until ``compact`` merges segments of like size into one sorted segment of live rows.
+``vacuum`` removes files that no state of the retention time names.
+
+Each state registers its layers: kind, identity, parent, and the corpus, scope and time of the sync that completed
+it. A layer of another corpus or scope than the chunks is stale, while others go on serving.
 """
 
 from __future__ import annotations
@@ -33,10 +38,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..errors import RetrievalError, compact_json
 from ..functions.text import chunk_id, content_hash, is_blank, retrieval_text, title_text
 from ..operators import chunking, lexical, maintenance
+from ..functions.segmentation import HanDictionary
 from ..operators.structure import structure_ranges
 from ..sources.embedding import EmbeddingProvider, embed_texts, usage_ledger
 
-TERM_BUCKETS = 64
+# Chunks of a segment for each term bucket, and the most buckets: a small segment is one folder, not dozens.
+BUCKET_CHUNKS, TERM_BUCKETS = 50_000, 1024
+# Segments of like size that are merged into one.
+MERGE_FACTOR = 4
+# Term filters reach the scan up to this many terms; beyond, buckets alone prune.
+TERM_FILTER = 5_000
 TOKENIZER_VERSION = "words-identifiers-han-bigrams-1"
 
 ChunkerFn = Callable[[DataFrame], DataFrame]
@@ -112,6 +123,7 @@ class IndexProfile:
     chunker: str = "structure"
     dictionary: tuple[str, ...] = ()
     scope: str = ""
+    han: HanDictionary | None = None
     chunk_key: str = field(init=False)
     term_key: str = field(init=False)
 
@@ -120,7 +132,8 @@ class IndexProfile:
             raise RetrievalError("INVALID_REQUEST", f"Unknown chunker: {self.chunker}")
         version, fn = CHUNKERS[self.chunker]
         object.__setattr__(self, "chunk_key", _key(self.chunker, version, code_of(fn)))
-        object.__setattr__(self, "term_key", _key(self.chunk_key, TOKENIZER_VERSION, *self.dictionary))
+        han = [f"han:{self.han.fingerprint}"] if self.han else []
+        object.__setattr__(self, "term_key", _key(self.chunk_key, TOKENIZER_VERSION, *self.dictionary, *han))
 
     def vector_key(self, provider: EmbeddingProvider) -> str:
         return _key(self.chunk_key, provider.fingerprint, provider.dimensions)
@@ -172,6 +185,9 @@ class Folder:
             raise
         return True
 
+    def names(self, path: str) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self._path(path))] if self.exists(path) else []
+
     def drop(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
@@ -204,44 +220,63 @@ class EvidenceIndex:
             if not vector_key:
                 raise RetrievalError("MODEL_CONFIG", f"Mode {mode} needs an embedding provider", "Pass a provider or use mode bm25")
             layers["vectors"] = vector_key
-        lacking = {kind: sum(key not in segment[kind] for segment in state["segments"]) for kind, key in layers.items()}
-        if any(lacking.values()):
-            counts = ", ".join(f"{kind} in {n} segments" for kind, n in lacking.items() if n)
-            raise RetrievalError("INDEX_REQUIRED", f"The index lacks {counts}", "Build the missing layer: run sync")
-        if state["scope"] != self.profile.scope:
+        registry = state.get("layers", {})
+        expected = registry.get("chunks", {}).get(self.profile.chunk_key)
+        rows = {"chunks": expected, **{kind: registry.get(kind, {}).get(key) for kind, key in layers.items()}}
+        lacking = sorted(kind for kind, row in rows.items() if row is None)
+        if lacking:
+            raise RetrievalError("INDEX_REQUIRED", f"The index lacks {' and '.join(lacking)} of this profile", "Build the missing layer: run sync")
+        if expected["scope"] != self.profile.scope:
             raise RetrievalError("INDEX_STALE", "The index was built for other folders or patterns", "Run sync with the present scope")
+        stale = sorted(kind for kind, row in rows.items() if (row["corpus"], row["scope"]) != (state["corpus"], expected["scope"]))
+        if stale:
+            raise RetrievalError("INDEX_STALE", f"{' and '.join(stale)} belong to an earlier corpus", "Run sync with this profile")
         return state
 
     # --- live tables -----------------------------------------------------------------------
     def sources(self, state: dict) -> DataFrame:
         return self.spark.read.parquet(state["sources"])
 
-    def _live(self, state: dict, paths: list[tuple[str, str]]) -> DataFrame:
-        """Rows of all segments; where sources were replaced, only those of their live segment."""
-        out = None
+    def _live(self, state: dict, paths: list[tuple[dict, str]]) -> DataFrame:
+        """Rows of the segments; of those with replaced sources only the rows whose live segment they are."""
+        clean = dead = None
         for segment, path in paths:
-            part = self.spark.read.parquet(path).withColumn("segment", F.lit(segment))
-            out = part if out is None else out.unionByName(part)
-        if state["replaced"]:
+            part = self.spark.read.parquet(path)
+            if segment["dead"]:
+                part = part.withColumn("segment", F.lit(segment["id"]))
+                dead = part if dead is None else dead.unionByName(part)
+            else:
+                clean = part if clean is None else clean.unionByName(part)
+        if dead is not None:
             live = self.sources(state).select("source_id", "segment")
-            out = out.join(live, ["source_id", "segment"], "left_semi")
-        return out.drop("segment")
+            dead = dead.join(live, ["source_id", "segment"], "left_semi").drop("segment")
+        return dead if clean is None else clean if dead is None else clean.unionByName(dead)
 
     def chunks(self, state: dict) -> DataFrame:
-        return self._live(state, [(s["id"], s["chunks"]) for s in state["segments"]])
+        return self._live(state, [(s, s["chunks"]) for s in state["segments"]])
 
-    def postings(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
-        """Stored postings, read only from the term buckets that a request needs."""
+    def postings(self, state: dict, terms: list[tuple[str, int]] | None = None) -> DataFrame:
+        """Stored postings; of the ``terms`` (term and its hash) of a request, only their buckets and, if few, their rows are read."""
         key = self.profile.term_key
-        rows = self._live(state, [(s["id"], s["terms"][key] + "/postings") for s in state["segments"]])
-        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+        if terms is None:
+            return self._live(state, [(s, s["terms"][key] + "/postings") for s in state["segments"]])
+        parts = []
+        for s in state["segments"]:
+            wanted = sorted({h % s["buckets"] for _, h in terms})
+            parts.append((s, s["terms"][key] + "/postings", F.col("bucket").isin(wanted)))
+        out = None
+        for s, path, pruned in parts:
+            rows = self._live(state, [(s, path)]).filter(pruned)
+            rows = rows.filter(F.col("term").isin([t for t, _ in terms])) if len(terms) <= TERM_FILTER else rows
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def lengths(self, state: dict) -> DataFrame:
         key = self.profile.term_key
-        return self._live(state, [(s["id"], s["terms"][key] + "/lengths") for s in state["segments"]])
+        return self._live(state, [(s, s["terms"][key] + "/lengths") for s in state["segments"]])
 
     def vectors(self, state: dict, vector_key: str) -> DataFrame:
-        return self._live(state, [(s["id"], s["vectors"][vector_key]) for s in state["segments"]])
+        return self._live(state, [(s, s["vectors"][vector_key]) for s in state["segments"]])
 
     # --- sync ------------------------------------------------------------------------------
     def _write_chunks(self, sources: DataFrame, path: str) -> None:
@@ -257,18 +292,21 @@ class EvidenceIndex:
         )
         rows.write.mode("errorifexists").parquet(path)
 
-    def _write_terms(self, chunks: DataFrame, path: str) -> None:
+    def _write_terms(self, chunks: DataFrame, path: str, buckets: int) -> None:
         title = title_text(F.col("path"), F.col("heading_path"))
         keep = ("source_id", "collection_id", "relative_path")
-        table = lexical.term_table(chunks, title=title, keep=keep, dictionary=self.profile.dictionary)
+        table = lexical.term_table(chunks, title=title, keep=keep, dictionary=self.profile.dictionary, han=self.profile.han)
         lengths = ["chunk_id", *keep, "title_len", "body_len", "total_len"]
         table.select(*lengths).write.mode("errorifexists").parquet(path + "/lengths")
         counted = (
             lexical.postings(table, keep).groupBy(*lengths, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-            .withColumn("bucket", term_bucket(F.col("term")))
         )
+        self._write_postings(counted, path, buckets)
+
+    def _write_postings(self, counted: DataFrame, path: str, buckets: int) -> None:
         # Range partitions split a hot term over several tasks; files stay sorted by term.
-        arranged = counted.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
+        numbered = counted.withColumn("bucket", F.pmod(term_hash(F.col("term")), F.lit(buckets)).cast("int"))
+        arranged = numbered.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
         arranged.write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
 
     def _write_vectors(self, chunks: DataFrame, provider: EmbeddingProvider, path: str, stored: list[str]) -> dict:
@@ -301,7 +339,7 @@ class EvidenceIndex:
         Unchanged sources keep their rows; only missing term and vector layers are filled.
         ``rescan`` re-reads the sources before publication: a difference aborts the sync.
         """
-        revision = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        revision = new_revision()
         scanned = f"{self.home}/scans/{revision}"
         try:
             # Files are read and parsed once; every later step sees the same sources.
@@ -316,7 +354,7 @@ class EvidenceIndex:
         if repeated:
             raise RetrievalError("INVALID_REQUEST", f"Duplicate identity: {repeated['source_id']}")
         started = self.state()
-        state = started or {"segments": [], "replaced": False}
+        state = started or {"segments": [], "layers": {}}
         if "sources" in state:
             previous = self.sources(state)
         else:
@@ -327,11 +365,14 @@ class EvidenceIndex:
         diff = self.spark.read.parquet(f"{self.home}/sources/{revision}-diff")
         counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}  # four rows at most
         touched = diff.filter(F.col("change").isin("added", "updated")).select("source_id")
-        segments = [dict(s, terms=dict(s["terms"]), vectors=dict(s["vectors"])) for s in state["segments"]]
+        lost = ["updated", "removed"] if remove_missing else ["updated"]
+        # At most one row for each segment.
+        dead = {r["old_segment"] for r in diff.filter(F.col("change").isin(lost)).select("old_segment").distinct().collect()}
+        segments = [dict(s, terms=dict(s["terms"]), vectors=dict(s["vectors"]), dead=s["dead"] or s["id"] in dead) for s in state["segments"]]
         if counts.get("added", 0) + counts.get("updated", 0):
             base = f"{self.home}/segments/{revision}"
             self._write_chunks(sources.join(touched, "source_id", "left_semi"), base + "/chunks")
-            segments.append({"id": revision, "chunks": base + "/chunks", "terms": {}, "vectors": {}})
+            segments.append(self._segment(revision))
         usage = None
         vector_key = self.profile.vector_key(provider) if provider else None
         for segment in segments:
@@ -339,7 +380,7 @@ class EvidenceIndex:
             chunks = self.spark.read.parquet(segment["chunks"])
             if self.profile.term_key not in segment["terms"]:
                 path = f"{base}/terms-{self.profile.term_key[:20]}-{revision}"
-                self._write_terms(chunks, path)
+                self._write_terms(chunks, path, segment["buckets"])
                 segment["terms"][self.profile.term_key] = path
             if vector_key and vector_key not in segment["vectors"]:
                 path = f"{base}/vectors-{vector_key[:20]}-{revision}"
@@ -364,20 +405,104 @@ class EvidenceIndex:
             ):
                 raise RetrievalError("BUSY", "The source files changed while syncing", "Sync again when nothing writes to the folder")
         removed = counts.get("removed", 0) if remove_missing else 0
-        published = {
-            "revision": revision, "corpus": corpus, "scope": self.profile.scope, "sources": f"{self.home}/sources/{revision}",
-            "segments": segments, "replaced": state["replaced"] or counts.get("updated", 0) + removed > 0,
-            "last_sync": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
-        }
-        text = json.dumps(published)
-        if not self.folder.create(self._commit_after(started), text):
-            raise RetrievalError("BUSY", "Another sync was published meanwhile", "Sync again")
-        self.folder.replace(f"{self.home}/CURRENT.json", text)
+        now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+        row = {"corpus": corpus, "scope": self.profile.scope, "last_sync": now, "parent": self.profile.chunk_key}
+        layers = {kind: dict(rows) for kind, rows in state["layers"].items()}
+        done = {"chunks": self.profile.chunk_key, "terms": self.profile.term_key} | ({"vectors": vector_key} if vector_key else {})
+        for kind, key in done.items():
+            layers.setdefault(kind, {})[key] = row | ({"parent": None} if kind == "chunks" else {})
+        self._publish(started, {
+            "revision": revision, "corpus": corpus, "sources": f"{self.home}/sources/{revision}", "segments": segments, "layers": layers, "last_sync": now,
+        })
         return {
             "status": "ok", "added": counts.get("added", 0), "updated": counts.get("updated", 0), "removed": removed,
             "unchanged": counts.get("unchanged", 0), "usage": usage, "revision": revision,
         }
 
+    def _segment(self, revision: str) -> dict:
+        path = f"{self.home}/segments/{revision}/chunks"
+        rows = self.spark.read.parquet(path).count()
+        return {
+            "id": revision, "chunks": path, "rows": rows, "dead": False, "terms": {}, "vectors": {},
+            "buckets": min(TERM_BUCKETS, 1 << (rows // BUCKET_CHUNKS).bit_length()),
+        }
+
+    def _publish(self, started: dict | None, state: dict) -> None:
+        text = json.dumps(state)
+        if not self.folder.create(self._commit_after(started), text):
+            raise RetrievalError("BUSY", "Another sync was published meanwhile", "Sync again")
+        self.folder.replace(f"{self.home}/CURRENT.json", text)
+
+    # --- merging ---------------------------------------------------------------------------
+    def compact(self, factor: int = MERGE_FACTOR, everything: bool = False) -> dict:
+        """Merge segments of like size into one of live rows, and publish the result as a sync would.
+
+        Segments are tiered by the power of ``factor`` that their chunks reach; a tier of at least ``factor`` segments is merged, so
+        each row is rewritten about once for each tier. ``everything`` merges all segments. A layer that a member lacks is
+        not merged; a sync with its profile fills it again.
+        """
+        started = self.state()
+        if started is None:
+            raise RetrievalError("INDEX_REQUIRED", f"No index is published under {self.home}", "Build the index: run sync")
+        members = list(started["segments"]) if everything else _full_tier(started["segments"], factor)
+        if len(members) < 2 and not any(s["dead"] for s in members):
+            return {"status": "ok", "merged": 0, "segments": len(started["segments"])}
+        revision = new_revision()
+        base = f"{self.home}/segments/{revision}"
+        self._live(started, [(s, s["chunks"]) for s in members]).write.mode("errorifexists").parquet(base + "/chunks")
+        merged = self._segment(revision)
+        for key in set.intersection(*[set(s["terms"]) for s in members]):
+            path = merged["terms"][key] = f"{base}/terms-{key[:20]}-{revision}"
+            self._live(started, [(s, s["terms"][key] + "/lengths") for s in members]).write.mode("errorifexists").parquet(path + "/lengths")
+            self._write_postings(self._live(started, [(s, s["terms"][key] + "/postings") for s in members]).drop("bucket"), path, merged["buckets"])
+        for key in set.intersection(*[set(s["vectors"]) for s in members]):
+            path = merged["vectors"][key] = f"{base}/vectors-{key[:20]}-{revision}"
+            self._live(started, [(s, s["vectors"][key]) for s in members]).write.mode("errorifexists").parquet(path)
+            texts = self.spark.read.parquet(*[s["vectors"][key] + "-texts" for s in members]).select("text_hash", "embedding")
+            texts.dropDuplicates(["text_hash"]).write.mode("errorifexists").parquet(path + "-texts")
+        ids = [s["id"] for s in members]
+        moved = F.when(F.col("segment").isin(ids), F.lit(revision)).otherwise(F.col("segment"))
+        self.sources(started).withColumn("segment", moved).write.mode("errorifexists").parquet(f"{self.home}/sources/{revision}")
+        left = [s for s in started["segments"] if s["id"] not in ids]
+        state = dict(started, revision=revision, sources=f"{self.home}/sources/{revision}", segments=[*left, merged])
+        try:
+            self._publish(started, state)
+        except RetrievalError:
+            self.folder.drop(base)
+            self.folder.drop(f"{self.home}/sources/{revision}")
+            raise
+        return {"status": "ok", "merged": len(members), "segments": len(state["segments"])}
+
+    def vacuum(self, retain_seconds: float = 86_400) -> int:
+        """Remove segments and source tables that neither the present state nor one replaced within ``retain_seconds`` names.
+
+        Readers that began within that time keep their files. Commits stay: they decide between writers. Younger files stay too, as a sync that is
+        still running may own them.
+        """
+        oldest = time.time() - retain_seconds
+        kept = self.state()
+        if kept is None:
+            return 0
+        states, following = [kept], None
+        for name in sorted(self.folder.names(f"{self.home}/commits")):
+            state = json.loads(self.folder.read(f"{self.home}/commits/{name}"))
+            states.append(state)
+        # A state was read until the next one came.
+        ordered = sorted({s["revision"]: s for s in states}.values(), key=lambda s: s["revision"], reverse=True)
+        named: set[str] = set()
+        for state in ordered:
+            if following is None or revision_time(following) >= oldest:
+                named |= {s["id"] for s in state["segments"]} | {state["revision"]}
+            following = state["revision"]
+        removed = 0
+        for kind in ("segments", "sources"):
+            for name in self.folder.names(f"{self.home}/{kind}"):
+                owner = name.removesuffix("-diff")
+                if revision_time(owner) < oldest and (owner not in named or name != owner):
+                    self.folder.drop(f"{self.home}/{kind}/{name}")
+                    removed += 1
+        return removed
+
     # --- status ----------------------------------------------------------------------------
     def status(self, current: DataFrame | None = None, mode: str = "bm25", vector_key: str | None = None) -> dict:
         """Counts, readiness and, given a scan of the sources, freshness. Writes nothing."""
@@ -409,5 +534,24 @@ def add_usage(a: dict, b: dict) -> dict:
     return {k: None if a[k] is None or b[k] is None else a[k] + b[k] for k in a}
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
+def new_revision() -> str:
+    return f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+
+
+def revision_time(revision: str) -> float:
+    return int(revision.split("-")[0]) / 1000
+
+
+def _full_tier(segments: list[dict], factor: int) -> list[dict]:
+    """The smallest tier that holds ``factor`` segments or more."""
+    tiers: dict[int, list[dict]] = {}
+    for s in segments:
+        tier, bound = 0, factor
+        while s["rows"] >= bound:
+            tier, bound = tier + 1, bound * factor
+        tiers.setdefault(tier, []).append(s)
+    return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= factor), [])

@@ -13,7 +13,7 @@ from ..operators import dense, fusion, lexical
 from ..operators.packing import pack_responses
 from ..operators.selection import scope
 from ..sources.embedding import EmbeddingProvider
-from .index import EvidenceIndex, term_bucket
+from .index import EvidenceIndex, term_hash
 
 KEYS = ("request_id", "query_id", "expr")
 PER_QUERY = ("request_id", "query_id")
@@ -95,15 +95,15 @@ class SearchEngine:
         keep = ("source_id", "collection_id", "relative_path")
         lanes, problems = None, {}
         if options.mode != "dense":
-            # Bounded by 4,096 terms per request: the driver may know the buckets to read.
-            dictionary = self.index.profile.dictionary
-            wanted = lexical.query_terms(expressions, keys=KEYS, dictionary=dictionary)
-            buckets = sorted(r["b"] for r in wanted.select(term_bucket(F.col("term")).alias("b")).distinct().collect())
+            # Bounded by 4,096 terms per request: the driver may know the terms to read.
+            dictionary, han = self.index.profile.dictionary, self.index.profile.han
+            wanted = lexical.query_terms(expressions, keys=KEYS, dictionary=dictionary, han=han)
+            terms = [(r["term"], r["h"]) for r in wanted.select("term", term_hash(F.col("term")).alias("h")).distinct().collect()]
             lengths = self.index.lengths(state)
             stats = lexical.corpus_stats(lengths)
             ranked = lexical.lexical_lane(
                 None, expressions, options, keys=KEYS, keep=keep, allowed=allowed, stats=stats,
-                counted=self.index.postings(state, buckets), chunks=lengths, dictionary=dictionary,
+                counted=self.index.postings(state, terms), chunks=lengths, dictionary=dictionary, han=han,
             )
             lanes = fusion.tag_lane(ranked, "bm25")
         if options.mode != "bm25":
