@@ -7,10 +7,14 @@ in parallel: resample = n div groups, drawn group = ⌊u·groups⌋.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
-from .metrics import order_statistics
+from .metrics import count_if, order_statistics
 
 # Step of the counter and the default seed and size of the resampling.
 COUNTER_STEP = 0x6D2B79F5
@@ -64,18 +68,18 @@ def cluster_totals(pairs: DataFrame) -> DataFrame:
     return totals.filter(F.col("answerable") > 0)
 
 
-def number_groups(totals: DataFrame) -> DataFrame:
-    """Slots 0..G−1 in order of first appearance.
+def number_groups(totals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Slots 0..G−1 in order of first appearance, for each value of ``keys``.
 
     Positions are counted per range of 2^16 ordinals and offset by a cumulative count of the
     ranges, so no single task sorts all groups.
     """
     ranged = totals.withColumn("part", F.expr("first div 65536"))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = ranged.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
     # One row per 65,536 ordinals; the window over it stays small.
-    offsets = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("offset"))
-    inside = F.row_number().over(W.partitionBy("part").orderBy("first")) - 1
-    return ranged.withColumn("inside", inside).join(offsets, "part").select(
+    offsets = sizes.select(*keys, "part", (F.sum("n").over(W.partitionBy(*keys).orderBy("part")) - F.col("n")).alias("offset"))
+    inside = F.row_number().over(W.partitionBy(*keys, "part").orderBy("first")) - 1
+    return ranged.withColumn("inside", inside).join(offsets, [*keys, "part"]).select(
         (F.col("offset") + F.col("inside")).cast("long").alias("slot"), *[c for c in totals.columns]
     )
 
@@ -125,3 +129,183 @@ def paired_bootstrap(pairs: DataFrame, iterations: int = DEFAULT_ITERATIONS, see
         row = observed.join(F.broadcast(bounds))  # two single-row frames
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# --- several scopes in one resampling -----------------------------------------------------
+ITERATION_BLOCK = 256
+DRAWS_AT_ONCE = 1 << 20
+
+
+def _uniform(numbers: np.ndarray, seed: int) -> np.ndarray:
+    """``uniform_draw`` of many numbers at once."""
+    mask = np.uint64(_MASK)
+    state = (np.uint64(seed) + (numbers.astype(np.uint64) & mask) * np.uint64(COUNTER_STEP)) & mask
+    t = (state ^ (state >> np.uint64(15))) * (state | np.uint64(1)) & mask
+    t ^= (t + ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61)) & mask)) & mask
+    return (t ^ (t >> np.uint64(14))) / 4294967296.0
+
+
+def _scoped_draws(sizes: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(scope, resample, slot, times): the stream of ``draws`` begun anew for each scope of ``sizes`` (scope, groups)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scope, groups, block in zip(*(batch.column(c).to_pylist() for c in ("scope", "groups", "block"))):
+                for first in range(block, min(block + ITERATION_BLOCK, iterations), max(1, DRAWS_AT_ONCE // groups)):
+                    last = min(block + ITERATION_BLOCK, iterations, first + max(1, DRAWS_AT_ONCE // groups))
+                    numbers = np.arange(first * groups, last * groups)
+                    slots = np.floor(_uniform(numbers + 1, seed) * groups).astype(np.int64)
+                    pairs, times = np.unique(numbers // groups * groups + slots, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([scope] * len(pairs), pa.string()), pa.array(pairs // groups), pa.array(pairs % groups), pa.array(times)],
+                        names=["scope", "resample", "slot", "times"],
+                    )
+
+    blocks = sizes.select("scope", "groups", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(ITERATION_BLOCK))).alias("block"))
+    # A row for each scope and block of resamples: they spread over the cluster, and each is drawn in its task.
+    return blocks.repartition("scope", "block").mapInArrow(emit, "scope string, resample long, slot long, times long")
+
+
+def scoped_bootstrap(pairs: DataFrame, iterations: int = DEFAULT_ITERATIONS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """``paired_bootstrap`` for every scope of ``pairs`` (scope, ord, grp, expected, b_covered, c_covered) in one job.
+
+    Groups are numbered within their scope, and each scope draws from the beginning of the stream, so a scope's row equals
+    that of its questions alone. A scope of fewer than two groups has no interval.
+    """
+    if not 100 <= iterations <= 100_000:
+        raise ValueError("iterations must lie in [100, 100000]")
+    if not 0 <= seed <= _MASK:
+        raise ValueError("seed must be an unsigned 32-bit integer")
+    answerable = F.col("expected") > 0
+
+    def full(side: str) -> Column:
+        return (answerable & (F.col(side) == F.col("expected"))).cast("long")
+
+    totals = pairs.groupBy("scope", "grp").agg(
+        F.min("ord").alias("first"), F.sum("expected").alias("expected"), F.sum(answerable.cast("long")).alias("answerable"),
+        *[F.sum(f"{x}_covered").alias(f"{x}_covered") for x in "bc"], *[F.sum(full(f"{x}_covered")).alias(f"{x}_complete") for x in "bc"],
+    ).filter(F.col("answerable") > 0)
+    slots = cut_lineage(number_groups(totals, ("scope",)))
+    sizes = slots.groupBy("scope").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    picked = _scoped_draws(sizes, iterations, seed)
+    joined = picked.join(small_side(slots, fits(slots, BROADCAST_ROW_LIMIT)), ["scope", "slot"])
+    total = lambda c: F.sum(F.col("times") * F.col(c))
+    over = {"fact_coverage": ("covered", "expected"), "complete_evidence": ("complete", "answerable")}
+    deltas = joined.groupBy("scope", "resample").agg(
+        *[(total(f"c_{top}") / total(below) - total(f"b_{top}") / total(below)).alias(name) for name, (top, below) in over.items()]
+    )
+    deltas = cut_lineage(deltas.select("scope", F.expr(f"stack(2, {', '.join(f"'{n}', {n}" for n in over)}) as (metric, delta)")))
+    bounds = order_statistics(deltas, "delta", [0.025, 0.975], ("scope", "metric"), "linear").groupBy("scope", "metric").agg(
+        F.max(F.when(F.col("p") == 0.025, F.col("quantile"))).alias("low"), F.max(F.when(F.col("p") == 0.975, F.col("quantile"))).alias("high"),
+        F.max("values").alias("valid_resamples"),
+    )
+    seen = pairs.groupBy("scope").agg(
+        F.count(F.lit(1)).alias("questions"), F.sum(answerable.cast("long")).alias("answerable"), F.countDistinct("grp").alias("groups"),
+        *[F.try_divide(F.sum(f"{x}_covered"), F.sum("expected")).alias(f"{x}_fact_coverage") for x in "bc"],
+        *[F.avg(F.when(answerable, full(f"{x}_covered").cast("double"))).alias(f"{x}_complete_evidence") for x in "bc"],
+    )
+    rows = seen.select(
+        "scope", "questions", "answerable", "groups",
+        F.expr(f"stack(2, {', '.join(f"'{n}', b_{n}, c_{n}" for n in over)}) as (metric, baseline, candidate)"),
+    )
+    return rows.withColumn("delta", F.col("candidate") - F.col("baseline")).join(bounds, ["scope", "metric"], "left").fillna(0, ["valid_resamples"])
+
+
+# --- resampling with the PCG64 stream -----------------------------------------------------
+PCG_SEED = 20260922
+RAW_BLOCK = 1 << 18
+
+
+def _raw_block(seed: int, block: int) -> np.ndarray:
+    """32-bit values number ``block`` · RAW_BLOCK and on of the generator, reached by jumping ahead."""
+    generator = np.random.PCG64(seed)
+    generator.advance(block * (RAW_BLOCK // 2))
+    raw = generator.random_raw(RAW_BLOCK // 2)
+    out = np.empty(RAW_BLOCK, dtype=np.uint64)
+    out[0::2], out[1::2] = raw & np.uint64(_MASK), raw >> np.uint64(32)
+    return out
+
+
+def _bounded(raw: np.ndarray, n: int) -> np.ndarray:
+    """Values below ``n`` of a raw stream: high halves of raw · n, without those whose low half would favour some values."""
+    product = raw * np.uint64(n)
+    return (product[(product & np.uint64(_MASK)) >= np.uint64(((1 << 32) - n) % n)] >> np.uint64(32)).astype(np.int64)
+
+
+def pcg_draws(spark: SparkSession, slots: int, iterations: int, seed: int = PCG_SEED) -> DataFrame:
+    """(resample, slot, times) of ``iterations`` resamples, ``slots`` draws each, as NumPy's default generator draws them one after another.
+
+    Whether a raw value counts does not depend on its place, so blocks are counted side by side; a cumulative count
+    says which draw each block begins with, and blocks are made again from there.
+    """
+    if not 1 <= slots < 1 << 32:
+        raise ValueError("slots must lie in [1, 2^32)")
+    if slots == 1:
+        return spark.range(iterations).select(F.col("id").alias("resample"), F.lit(0).cast("long").alias("slot"), F.lit(1).cast("long").alias("times"))
+    total = slots * iterations
+    share = ((1 << 32) - slots) % slots / (1 << 32)
+    blocks = int((total / (1 - share) + 1000 + 20 * (total * share) ** 0.5) // RAW_BLOCK) + 1
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(_bounded(_raw_block(seed, b), slots)) for b in own], pa.int64())], names=["block", "n"])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, before in zip(batch.column("block").to_pylist(), batch.column("before").to_pylist()):
+                values = _bounded(_raw_block(seed, block), slots)[: max(0, total - before)]
+                pairs = (before + np.arange(len(values))) // slots * slots + values
+                pairs, times = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs // slots), pa.array(pairs % slots), pa.array(times)], names=["resample", "slot", "times"])
+
+    parts = max(1, min(blocks, 8 * spark.sparkContext.defaultParallelism))
+    counts = cut_lineage(spark.range(0, blocks, 1, parts).mapInArrow(counted, "block long, n long"))
+    starts = counts.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))  # one small row for each 2^18 values
+    return starts.repartition(parts, "block").mapInArrow(drawn, "resample long, slot long, times long")
+
+
+def _interval(deltas: DataFrame) -> DataFrame:
+    """metric, low, high of ``deltas`` (metric, value)."""
+    found = order_statistics(deltas, "value", [0.025, 0.975], ("metric",), "linear")
+    return found.groupBy("metric").agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in ((0.025, "low"), (0.975, "high"))])
+
+
+def query_bootstrap(rows: DataFrame, metrics: Sequence[str], iterations: int = DEFAULT_ITERATIONS, seed: int = PCG_SEED) -> DataFrame:
+    """Mean difference, wins, losses, ties (within 1e-12) and 95 % interval of several metrics over the same resampled queries.
+
+    ``rows``: ord (order of the queries), and a_<metric> and b_<metric> for each metric.
+    """
+    values = cut_lineage(number_groups(rows.select(F.col("ord").alias("first"), *[(F.col(f"a_{m}") - F.col(f"b_{m}")).cast("double").alias(m) for m in metrics])))
+    n = values.count()
+    stack = F.expr(f"stack({len(metrics)}, {', '.join(f"'{m}', `{m}`" for m in metrics)}) as (metric, value)")
+    observed = values.select(stack).groupBy("metric").agg(
+        F.count(F.lit(1)).alias("questions"), F.avg("value").alias("delta"), count_if(F.col("value") > 1e-12).alias("wins"),
+        count_if(F.col("value") < -1e-12).alias("losses"), count_if(F.abs("value") <= 1e-12).alias("ties"),
+    )
+    if not n:
+        return observed.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    picked = pcg_draws(rows.sparkSession, n, iterations, seed).join(small_side(values, n <= BROADCAST_ROW_LIMIT), "slot")
+    means = picked.groupBy("resample").agg(*[(F.sum(F.col("times") * F.col(m)) / n).alias(m) for m in metrics])
+    return observed.join(_interval(cut_lineage(means.select(stack))), "metric", "left")
+
+
+def ratio_bootstrap(clusters: DataFrame, ratios: dict[str, tuple[str, str]], iterations: int = DEFAULT_ITERATIONS, seed: int = PCG_SEED) -> DataFrame:
+    """metric, clusters, value and 95 % interval of ratios of sums, whole clusters resampled; a resample without count has the ratio 0.
+
+    ``clusters``: ord and the columns that ``ratios`` names as (sum, count) for each metric.
+    """
+    columns = sorted({c for pair in ratios.values() for c in pair})
+    values = cut_lineage(number_groups(clusters.select(F.col("ord").alias("first"), *columns)))
+    n = values.count()
+    stack = F.expr(f"stack({len(ratios)}, {', '.join(f"'{m}', `{m}`" for m in ratios)}) as (metric, value)")
+
+    def ratio(top: str, below: str, times: Column) -> Column:
+        return F.coalesce(F.try_divide(F.sum(times * F.col(top)).cast("double"), F.sum(times * F.col(below)).cast("double")), F.lit(0.0))
+
+    observed = values.agg(F.count(F.lit(1)).alias("clusters"), *[ratio(*pair, F.lit(1)).alias(m) for m, pair in ratios.items()]).select("clusters", stack)
+    if not n:
+        return observed.limit(0).withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    picked = pcg_draws(clusters.sparkSession, n, iterations, seed).join(small_side(values, n <= BROADCAST_ROW_LIMIT), "slot")
+    sums = picked.groupBy("resample").agg(*[ratio(*pair, F.col("times")).alias(m) for m, pair in ratios.items()])
+    return observed.join(_interval(cut_lineage(sums.select(stack))), "metric", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import MIN_CONTEXT_CHARS, parse_request
 from ..errors import RetrievalError, compact_json, utf16_units
 from ..operators import coverage, maintenance, metrics
-from ..operators.bootstrap import DEFAULT_ITERATIONS, DEFAULT_SEED, paired_bootstrap
+from ..operators.bootstrap import DEFAULT_ITERATIONS, DEFAULT_SEED, scoped_bootstrap
 from ..functions.preview import escaped_cost
 from ..functions.text import escape_cost, is_blank
 from ..session import cut_lineage
@@ -21,7 +21,7 @@ DATASET_SCHEMA = """version int, name string, split string, scenario struct<id:s
   questions array<struct<id:string,intent_group:string,type:string,query:string,required_facts:array<string>,no_answer:boolean,
     subquestions:array<struct<id:string,text:string,required_facts:array<string>>>>>"""
 
-RESPONSE_SCHEMA = """status string, results array<struct<chunk_id:string,text:string,start_line:int,end_line:int,source_id:string,
+RESPONSE_SCHEMA = """status string, results array<struct<chunk_id:string,text:string,start_line:int,end_line:int,section_start_line:int,section_end_line:int,source_id:string,
   collection_id:string,path:string,source_version:string,matched_query_ids:array<string>,text_truncated:boolean,
   preview_range:struct<start_line:int,start_column:int,end_line:int,end_column:int>>>"""
 
@@ -90,19 +90,19 @@ def label_problems(dataset: EvaluationDataset, sources: DataFrame, lines: DataFr
     return found
 
 
-def budgeted_request(question: dict[str, Any], budget: int, response_limit: int) -> dict[str, Any]:
-    """Request whose own JSON plus the largest response stays within ``budget``.
+def budgeted_request(question: dict[str, Any], budget: int, response_limit: int, share: float = 1.0) -> dict[str, Any]:
+    """Request whose own JSON plus the largest response stays within ``budget``, the response within ``share`` of what the request leaves.
 
     The allowance is part of the request text, whose size depends only on how many digits it has: for each number
     of digits the largest allowance is known, and the largest of them counts.
     """
     def with_allowance(n: int) -> dict[str, Any]:
-        return {**question, "overrides": {"max_context_chars": n}}
+        return {**question, "overrides": {**question.get("overrides", {}), "max_context_chars": n}}
 
-    room = min(budget, response_limit)
+    room = min(int(share * budget), response_limit)
     frame = utf16_units(compact_json(with_allowance(0))) - 1
     digits = range(1, len(str(max(room, 0))) + 1)
-    allowance = max((min(room, budget - frame - d, 10**d - 1) for d in digits), default=0)
+    allowance = max((min(room, int(share * (budget - frame - d)), 10**d - 1) for d in digits), default=0)
     if allowance < MIN_CONTEXT_CHARS:
         raise RetrievalError("CONTEXT_BUDGET", f"The question leaves {allowance} of {budget} characters for its response", "Shorten the question")
     parse_request(request := with_allowance(allowance))
@@ -141,11 +141,13 @@ def altered_evidence(pieces: DataFrame, sources: DataFrame, lines: DataFrame) ->
     return joined.filter(~F.coalesce(sound, F.lit(False))).select("query_id", "rank", "chunk_id")
 
 
-def evaluate_run(dataset: EvaluationDataset, responses: DataFrame, requests: DataFrame, sources: DataFrame, lines: DataFrame) -> DataFrame:
-    """One scored row per question.
+def evaluate_run(
+    dataset: EvaluationDataset, responses: DataFrame, requests: DataFrame, sources: DataFrame, lines: DataFrame, reads: DataFrame | None = None
+) -> DataFrame:
+    """One scored row per question, with what each of its sub-questions asked for and got.
 
     ``responses``: query_id, status, response, response_chars. ``requests``: query_id,
-    request_chars.
+    request_chars. ``reads``: pieces read besides the results (rank, source_id, lines, text, cost); they follow the results.
     """
     pieces = cut_lineage(returned_pieces(responses))
     broken = altered_evidence(pieces, sources, lines).first()
@@ -154,7 +156,12 @@ def evaluate_run(dataset: EvaluationDataset, responses: DataFrame, requests: Dat
     anchors = dataset.anchors.join(
         sources.select("source_id", "collection_id", F.col("relative_path").alias("path")), ["collection_id", "path"]
     ).select("fact_id", "source_id", "start_line", "end_line")
-    ranks = coverage.line_coverage(pieces, anchors, lines, dataset.required)
+    known = pieces
+    if reads is not None:
+        reads = cut_lineage(reads)
+        columns = ("query_id", "rank", "source_id", "start_line", "end_line", "text")
+        known = pieces.select(*columns).unionByName(reads.select(*columns[:1], (F.col("rank") + F.lit(1_000_000)).alias("rank"), *columns[2:]))
+    ranks = cut_lineage(coverage.line_coverage(known, anchors, lines, dataset.required))
     facts = ranks.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("expected"), metrics.count_if(F.col("rank").isNotNull()).alias("covered"), F.min("rank").alias("first"),
         F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.col("fact_id")))).alias("covered_facts"),
@@ -164,11 +171,20 @@ def evaluate_run(dataset: EvaluationDataset, responses: DataFrame, requests: Dat
         F.sum("n").alias("returned"), F.count(F.lit(1)).alias("distinct_sources"), (F.max("n") / F.sum("n")).alias("max_source_occupancy")
     )
     rows = dataset.questions.select("ord", "query_id", "intent_group", "type", "no_answer")
-    for side in (facts, shape, responses.select("query_id", "status", "response_chars"), requests):
+    asked = dataset.questions.select("query_id", F.posexplode("subquestions").alias("place", "s")).select(
+        "query_id", "place", F.col("s.id").alias("id"), F.explode_outer("s.required_facts").alias("fact_id")
+    )
+    got = asked.join(ranks.select("query_id", "fact_id", "rank"), ["query_id", "fact_id"], "left").groupBy("query_id", "place", "id").agg(
+        F.count("fact_id").alias("expected"), F.count("rank").alias("covered")
+    )
+    parts = got.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "expected", "covered"))).alias("parts"))
+    parts = parts.select("query_id", F.transform("parts", lambda p: F.struct(p["id"].alias("id"), p["expected"].alias("expected"), p["covered"].alias("covered"))).alias("subquestions"))
+    read = dataset.questions.select("query_id", F.lit(0).alias("read_chars")) if reads is None else reads.groupBy("query_id").agg(F.sum("cost").alias("read_chars"))
+    for side in (facts, shape, responses.select("query_id", "status", "response_chars"), requests, parts, read):
         rows = rows.join(side, "query_id", "left")
-    rows = rows.fillna(0, ["expected", "covered", "returned", "distinct_sources", "max_source_occupancy", "response_chars", "request_chars"])
+    rows = rows.fillna(0, ["read_chars", "expected", "covered", "returned", "distinct_sources", "max_source_occupancy", "response_chars", "request_chars"])
     return rows.withColumns(
-        {"rr": F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), "chars": F.col("request_chars") + F.col("response_chars")}
+        {"rr": F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), "chars": F.col("request_chars") + F.col("response_chars") + F.col("read_chars")}
     ).drop("first")
 
 
@@ -209,13 +225,15 @@ def strategy_grid(lexical_only: bool, default_cap: int) -> list[dict[str, Any]]:
 
 
 def supplement_sections(pieces: DataFrame, lines: DataFrame, budget: DataFrame) -> DataFrame:
-    """Section text read in addition to the results, as whole lines within the budget left.
+    """Section text read in addition to the results, as whole lines within the budget left: query_id, rank, end_line, cost.
 
-    Sections are read in result order, each once; ``budget`` holds query_id and room. Each
-    section is offered the same room, then taken while the running total still fits.
+    Sections are read in result order, each once, and each gets what the ones before left of ``budget`` (query_id, room).
     """
-    from pyspark.sql import Window as W
+    return coverage.host_reads(_read_sections(pieces).join(budget, "query_id"), lines)
 
+
+def _read_sections(pieces: DataFrame) -> DataFrame:
+    """Distinct sections of a query's results in result order, with the cost of asking for one and of its empty piece."""
     # A chunk without section bounds is its own section.
     bounded = pieces.withColumns(
         {f"section_{end}_line": F.coalesce(f"section_{end}_line", f"{end}_line") for end in ("start", "end")}
@@ -225,13 +243,53 @@ def supplement_sections(pieces: DataFrame, lines: DataFrame, budget: DataFrame)
         F.concat(F.lit('{"path":"","start_line":,"end_line":}'), F.col("section_start_line").cast("string"), F.col("section_end_line").cast("string"))
     ) + escape_cost("path")
     frame = F.length(F.concat(F.lit('{"source":"","start_line":,"end_line":,"text":""}'), F.col("section_start_line").cast("string"))) + escape_cost("path")
-    wanted = sections.join(budget, "query_id").withColumns(
-        {"key": F.struct("query_id", "rank"), "fixed": request + frame, "budget": F.col("room")}
+    return sections.withColumn("fixed", request + frame)
+
+
+# Share of the budget that a strategy with host reads leaves to the search.
+SEARCH_SHARE = 0.65
+
+
+def run_strategies(
+    engine, dataset: EvaluationDataset, sources: DataFrame, lines: DataFrame, budget: int = 20_000, lexical_only: bool = False
+) -> DataFrame:
+    """Every strategy of the grid over every question: evaluation rows with ``strategy`` and the characters of host reads.
+
+    A strategy with host reads searches within ``SEARCH_SHARE`` of the budget and then reads the sections of its
+    results while the rest lasts; what it read counts as evidence. The grid has five strategies at most.
+    """
+    questions = [r.asDict(recursive=True) for r in dataset.questions.orderBy("ord").collect()]
+    out = None
+    for strategy in strategy_grid(lexical_only, engine.options.max_chunks_per_source):
+        asked = []
+        for q in questions:
+            payload = question_payload(q if strategy["subquestions"] else {**q, "subquestions": None})
+            payload = {**payload, "overrides": strategy["overrides"]}
+            asked.append(budgeted_request(payload, budget, engine.options.max_context_chars, strategy["budget_share"]))
+        numbers = engine.spark.createDataFrame(
+            [(i, q["query_id"], utf16_units(compact_json(r))) for i, (q, r) in enumerate(zip(questions, asked))],
+            "request_id long, query_id string, request_chars int",
+        )
+        packed = cut_lineage(engine.search(asked).join(numbers, "request_id"))
+        requests, extra = packed.select("query_id", "request_chars"), None
+        if strategy["budget_share"] < 1:
+            room = packed.select("query_id", (F.lit(budget) - F.col("request_chars") - F.col("response_chars")).cast("int").alias("room"))
+            extra = _read_pieces(returned_pieces(packed), lines, room.filter("room > 0"))
+        rows = evaluate_run(dataset, packed.select("query_id", "status", "response", "response_chars"), requests, sources, lines, extra)
+        rows = rows.withColumn("strategy", F.lit(strategy["name"]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _read_pieces(pieces: DataFrame, lines: DataFrame, room: DataFrame) -> DataFrame:
+    """Pieces of host reads: query_id, rank, source_id, start_line, end_line, text, cost."""
+    sections = cut_lineage(_read_sections(pieces).join(room, "query_id"))
+    read = coverage.host_reads(sections, lines).join(
+        sections.select("query_id", "rank", "source_id", F.col("section_start_line").alias("start_line")), ["query_id", "rank"]
     )
-    read = coverage.host_read(wanted.select("key", "source_id", "section_start_line", "section_end_line", "fixed", "budget"), lines)
-    w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    costed = read.select("key.*", "end_line", "cost").withColumn("spent", F.sum("cost").over(w))
-    return costed.join(budget, "query_id").filter(F.col("spent") <= F.col("room")).select("query_id", "rank", "end_line", "cost")
+    spans = read.withColumn("line_no", F.explode(F.sequence("start_line", "end_line"))).join(lines, ["source_id", "line_no"])
+    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]))
+    return spans.groupBy("query_id", "rank", "source_id", "start_line", "end_line", "cost").agg(text.alias("text"))
 
 
 def pair_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -246,16 +304,30 @@ def pair_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     ).join(other, "query_id")
 
 
+def subquestion_pairs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Rows of two runs for each sub-question: sub_id, ord, grp, type, expected and what either run covered.
+
+    Both: query_id, ord, intent_group, type, and ``subquestions``, an array of (id, expected, covered).
+    """
+    each = lambda run: run.select("query_id", "ord", F.col("intent_group").alias("grp"), "type", F.posexplode("subquestions").alias("place", "s"))
+    other = each(candidate).select("query_id", F.col("s.id").alias("sub_id"), F.col("s.covered").alias("c_covered"))
+    rows = each(baseline).select(
+        "query_id", F.col("s.id").alias("sub_id"), F.col("ord").cast("long").alias("ord"), "grp", "type", F.col("s.expected").alias("expected"), F.col("s.covered").alias("b_covered")
+    )
+    return rows.join(other, ["query_id", "sub_id"])
+
+
 def compare_runs(
     baseline: DataFrame, candidate: DataFrame, iterations: int = DEFAULT_ITERATIONS, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """Paired bootstrap overall and per question type (the types of a dataset are few)."""
-    pairs = cut_lineage(pair_runs(baseline, candidate))
-    out = paired_bootstrap(pairs, iterations, seed).withColumn("scope", F.lit("all"))
-    for row in pairs.select("type").distinct().orderBy("type").collect():
-        part = paired_bootstrap(pairs.filter(F.col("type") == row["type"]), iterations, seed)
-        out = out.unionByName(part.withColumn("scope", F.concat(F.lit("type:"), F.lit(row["type"]))))
-    return out
+    """Paired bootstrap overall, for each question type and, if the runs have them, for sub-questions: all in one resampling job."""
+    pairs = pair_runs(baseline, candidate)
+    columns = ("ord", "grp", "expected", "b_covered", "c_covered")
+    scopes = F.explode(F.array(F.lit("all"), F.concat(F.lit("type:"), F.col("type")))).alias("scope")
+    rows = pairs.select(scopes, *columns)
+    if "subquestions" in baseline.columns and "subquestions" in candidate.columns:
+        rows = rows.unionByName(subquestion_pairs(baseline, candidate).select(F.lit("subquestions").alias("scope"), *columns))
+    return scoped_bootstrap(cut_lineage(rows), iterations, seed)
 
 
 def piece_cost(piece: dict[str, Any]) -> int:
