@@ -1,5 +1,6 @@
 """Dense lane, fusion, selection and packing against plain-Python walks."""
 
+import hashlib
 import json
 import random
 
@@ -132,90 +133,116 @@ def test_selection_equals_the_greedy_walk(spark):
 
 
 # --- packing ------------------------------------------------------------------------------
-def packed(spark, texts, options, diagnostics=False, queries=None, source=lambda i: f"source-{i}"):
-    queries = queries or {"q": list(range(len(texts)))}
-    cands = [
-        ("r", o, q, rank, f"chunk-{i}", source(i), 1.0 / rank, rank, None, None)
-        for o, (q, order) in enumerate(queries.items()) for rank, i in enumerate(order, 1)
+SHELF = "request_id string, ordinal int, query_id string, rank int, chunk_id string, source_id string, score double, bm25_rank int, dense_rank int, similarity double"
+PAGES = (
+    "chunk_id string, text string, heading_path array<string>, start_line int, end_line int, section_start_line int, section_end_line int, "
+    "source_id string, collection_id string, path string, relative_path string, source_version string"
+)
+
+
+class Book:
+    """A page of evidence; every page has its own place, heading depth and version."""
+
+    def __init__(self, number, text, owner=None):
+        self.id, self.text, self.first = f"page{number:02d}", text, 3 + 7 * number
+        self.owner = owner or f"book{number:02d}"
+        bounds = (None, None) if number % 3 == 2 else (self.first - 1, self.first + 40 * number + text.count("\n"))
+        place = f"shelf{number % 4}/{self.owner}/p{number}.md"
+        version = hashlib.sha256(f"{number}".encode()).hexdigest()
+        self.row = (
+            self.id, text, [f"Part {k}" for k in range(number % 3)], self.first, self.first + text.count("\n"), *bounds,
+            self.owner, f"shelf{number % 4}", f"/library/{place}", place, version,
+        )
+
+
+def answer(spark, books, options, asked=None, diagnostics=False):
+    """Row and parsed response; ``asked``: query to its pages in rank order (one query for all pages if not given)."""
+    asked = asked or {"only": range(len(books))}
+    visits = [
+        ("r7", place, query, rank, books[i].id, books[i].owner, 0.9 / rank, rank, None, None)
+        for place, (query, order) in enumerate(asked.items()) for rank, i in enumerate(order, 1)
     ]
-    candidates = spark.createDataFrame(
-        cands, "request_id string, ordinal int, query_id string, rank int, chunk_id string, source_id string, score double, bm25_rank int, dense_rank int, similarity double"
-    )
-    evidence = spark.createDataFrame(
-        [(f"chunk-{i}", t, ["Test"], 10, 10 + t.count("\n"), 8, 80, source(i), "notes", f"/notes/{i}.md", f"{i}.md", "a" * 64) for i, t in enumerate(texts)],
-        "chunk_id string, text string, heading_path array<string>, start_line int, end_line int, section_start_line int, section_end_line int, source_id string, collection_id string, path string, relative_path string, source_version string",
-    )
-    asked = spark.createDataFrame(
-        [("r", o, q, "ok", None, len(order), 0) for o, (q, order) in enumerate(queries.items())],
-        "request_id string, ordinal int, query_id string, status string, error string, bm25 int, dense int",
-    )
-    row = packing.pack_responses(candidates, evidence, asked, options, diagnostics).first()
-    return row, (json.loads(row["response"]) if row["response"] else None)
+    reports = [("r7", place, query, "ok", None, len(order), 0) for place, (query, order) in enumerate(asked.items())]
+    row = packing.pack_responses(
+        spark.createDataFrame(visits, SHELF), spark.createDataFrame([b.row for b in books], PAGES),
+        spark.createDataFrame(reports, "request_id string, ordinal int, query_id string, status string, error string, bm25 int, dense int"), options, diagnostics,
+    ).first()
+    return row, json.loads(row["response"]) if row["response"] else None
 
 
 def units(text):
     return len(text.encode("utf-16-le")) // 2
 
 
-def test_preview_keeps_all_hits_and_shares_the_space(spark):
-    row, body = packed(spark, ["x" * 9000] * 20, RetrievalOptions(topk=20))
-    lengths = [len(e["text"]) for e in body["results"]]
-    assert len(lengths) == 20 and min(lengths) > 0 and max(lengths) - min(lengths) <= 1
-    assert "budget" in body["limits"] and units(row["response"]) <= 20000
-    assert body["queries"][0]["returned"] == 20 and all(e["text_truncated"] for e in body["results"])
+def sound(books, row, body, budget):
+    """What holds for every response: within its budget, texts are prefixes, and places and flags follow from them."""
+    known = {b.id: b for b in books}
+    assert units(row["response"]) <= budget
+    for e in body["results"]:
+        b = known[e["chunk_id"]]
+        assert b.text.startswith(e["text"]) and e["text_truncated"] == (e["text"] != b.text)
+        if e["text_truncated"]:
+            assert e["preview_range"] == pv.preview_range(b.first, e["text"])
+    return [e["text"] for e in body["results"]]
 
 
-def test_short_texts_return_their_surplus(spark):
-    options = RetrievalOptions(max_context_chars=3000)
-    _, equal = packed(spark, ["x" * 9000] * 3, options)
-    _, short = packed(spark, ["short", "x" * 9000, "x" * 9000], options)
-    first = short["results"]
-    assert first[0]["text"] == "short" and not first[0]["text_truncated"]
-    assert len(first[1]["text"]) > len(equal["results"][1]["text"])
-    assert abs(len(first[1]["text"]) - len(first[2]["text"])) <= 1
+def test_long_pages_get_equal_room(spark):
+    books = [Book(i, "long line " * 700) for i in range(13)]
+    row, body = answer(spark, books, RetrievalOptions(topk=13, max_context_chars=12_345))
+    sizes = [len(t) for t in sound(books, row, body, 12_345)]
+    assert len(sizes) == 13 and min(sizes) > 0 and max(sizes) - min(sizes) <= 1
+    assert body["limits"] == ["budget"] and body["queries"][0]["returned"] == 13
 
 
-@pytest.mark.parametrize("diagnostics", [False, True])
-def test_escapes_and_emoji_never_exceed_the_budget(spark, diagnostics):
-    text = '\\"\t\n\u0001😀中文' * 1000
-    for budget in (2200, 2333, 2500):
-        row, body = packed(spark, [text, text], RetrievalOptions(max_context_chars=budget), diagnostics)
-        assert len(body["results"]) == 2 and units(row["response"]) <= budget
-        for e in body["results"]:
-            assert text.startswith(e["text"]) and e["preview_range"] == pv.preview_range(10, e["text"])
-
-
-def test_whole_mode_skips_what_does_not_fit(spark):
-    options = RetrievalOptions(packing_mode="whole", max_context_chars=2000)
-    row, body = packed(spark, ["large " * 5000, "short second", "short third"], options)
-    assert [e["chunk_id"] for e in body["results"]] == ["chunk-1", "chunk-2"]
-    assert "budget" in body["limits"] and row["excluded"]["budget"] == 1
-    _, empty = packed(spark, ["x" * 9000], options.override({"max_context_chars": 256}))
-    assert empty["results"] == [] and empty["queries"][0]["empty_reason"] == "budget"
-    _, same = packed(spark, ["x" * 9000, "small"], options.override({"max_chunks_per_source": 1, "max_context_chars": 1000}), source=lambda i: "s")
-    assert [e["text"] for e in same["results"]] == ["small"]
+def test_what_short_pages_leave_goes_to_long_ones(spark):
+    options = RetrievalOptions(max_context_chars=4_100)
+    long = [Book(i, "z" * 6_000) for i in range(4)]
+    mixed = [long[0], Book(1, "brief"), long[2], Book(3, "also brief")]
+    equal, shared = sound(long, *answer(spark, long, options), 4_100), sound(mixed, *answer(spark, mixed, options), 4_100)
+    assert shared[1] == "brief" and shared[3] == "also brief"
+    assert min(len(shared[0]), len(shared[2])) > max(map(len, equal)) and abs(len(shared[0]) - len(shared[2])) <= 1
 
 
-def test_metadata_only_and_too_small_budgets(spark):
-    texts = ["x" * 9000, "y" * 9000]
-    _, body = packed(spark, texts, RetrievalOptions(max_context_chars=20000))
-    for e in body["results"]:
-        e.update(text="", text_truncated=True, preview_range=pv.preview_range(10, ""))
+@pytest.mark.parametrize("diagnostics", [False, True])
+def test_costly_characters_stay_within_any_budget(spark, diagnostics):
+    books = [Book(0, "\u0007\\\\ \U0001f40d\r\n\"é" * 900), Book(1, "\U0001f40d" * 3_000), Book(2, "\t" * 5_000)]
+    for budget in (2_717, 3_001, 3_350):
+        row, body = answer(spark, books, RetrievalOptions(max_context_chars=budget), diagnostics=diagnostics)
+        assert len(sound(books, row, body, budget)) == 3
+
+
+def test_whole_pages_or_none(spark):
+    options = RetrievalOptions(packing_mode="whole", max_context_chars=2_300)
+    books = [Book(0, "fits well"), Book(1, "much too long " * 400), Book(2, "fits as well")]
+    row, body = answer(spark, books, options)
+    assert sound(books, row, body, 2_300) == ["fits well", "fits as well"]
+    assert "budget" in body["limits"] and row["excluded"]["budget"] == 1
+    _, nothing = answer(spark, books[1:2], options.override({"max_context_chars": 300}))
+    assert nothing["results"] == [] and nothing["queries"][0]["empty_reason"] == "budget"
+    # A page that does not fit takes no place of its book.
+    same = [Book(0, "w" * 7_000, "one"), Book(1, "tiny", "one")]
+    _, body = answer(spark, same, options.override({"max_chunks_per_source": 1, "max_context_chars": 1_200}))
+    assert [e["text"] for e in body["results"]] == ["tiny"]
+
+
+def test_the_smallest_budget_is_that_of_the_places_alone(spark):
+    books = [Book(i, c * 5_000) for i, c in enumerate("mno")]
+    _, body = answer(spark, books, RetrievalOptions(max_context_chars=20_000))
+    for e, b in zip(body["results"], books):
+        e.update(text="", text_truncated=True, preview_range=pv.preview_range(b.first, ""))
     body["limits"] = ["budget"]
-    budget = units(json.dumps(body, ensure_ascii=False, separators=(",", ":")))
-    row, exact = packed(spark, texts, RetrievalOptions(max_context_chars=budget))
-    assert [e["text"] for e in exact["results"]] == ["", ""] and units(row["response"]) <= budget
-    assert packed(spark, texts, RetrievalOptions(max_context_chars=budget - 1))[0]["error"] == "CONTEXT_BUDGET"
-
-
-def test_round_robin_before_text_allocation(spark):
-    texts = ["A" * 4000, "B" * 4000, "C" * 4000]
-    _, body = packed(
-        spark, texts, RetrievalOptions(topk=3, max_chunks_per_source=1, max_context_chars=1500),
-        queries={"a": [0, 1], "b": [0, 2]}, source=lambda i: "source-0" if i in (0, 2) else "source-1",
-    )
-    assert [e["chunk_id"] for e in body["results"]] == ["chunk-0", "chunk-1"]
-    assert body["results"][0]["matched_query_ids"] == ["a", "b"] and "source_limit" in body["limits"]
+    least = units(json.dumps(body, ensure_ascii=False, separators=(",", ":")))
+    row, bare = answer(spark, books, RetrievalOptions(max_context_chars=least))
+    assert sound(books, row, bare, least) == ["", "", ""]
+    assert answer(spark, books, RetrievalOptions(max_context_chars=least - 1))[0]["error"] == "CONTEXT_BUDGET"
+
+
+def test_queries_take_turns_before_room_is_shared(spark):
+    books = [Book(0, "p" * 3_000, "left"), Book(1, "q" * 3_000, "right"), Book(2, "r" * 3_000, "left"), Book(3, "s" * 3_000, "third")]
+    options = RetrievalOptions(topk=4, max_chunks_per_source=1, max_context_chars=2_900)
+    row, body = answer(spark, books, options, {"first": [0, 1], "second": [0, 2, 3]})
+    assert [e["chunk_id"] for e in body["results"]] == ["page00", "page01", "page03"] and all(sound(books, row, body, 2_900))
+    assert body["results"][0]["matched_query_ids"] == ["first", "second"] and "source_limit" in body["limits"]
 
 
 def test_text_budget_helpers():
