@@ -103,7 +103,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 @query
@@ -113,7 +113,7 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), stored=True)
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.session import ensure_checkpoint_dir
 
@@ -26,6 +26,24 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_partitions(spark: SparkSession) -> None:
+    """From now on files are cut into the same partitions by every job, whatever executors come and go: row numbers hold."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
+def reads_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of files as it lies there, so that each job meets its rows in the same order."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def fixed_rows(df: DataFrame, label: str) -> DataFrame:
+    """``df``, or what it gives now as a stored table, so that row numbers hold over several jobs."""
+    pin_partitions(df.sparkSession)
+    return df if reads_files(df) else shared_table(df, label)
+
+
 def small_or_plain(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a stored table of at most ``rows`` rows, otherwise the table as it is
     (a shuffle join, whose hot keys adaptive execution splits)."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.session import ensure_checkpoint_dir
 
-from .shared import shared_table
+from .shared import fixed_rows, shared_table
 
 MIN_REVISIT = 100
 MAX_GAP = 64 << 10
@@ -142,26 +142,15 @@ def _writer(index_path: str):
     return emit
 
 
-def write_archives(pages: DataFrame, path: str, least: int = MIN_REVISIT, stored: bool = False) -> Archives:
+def write_archives(pages: DataFrame, path: str, least: int = MIN_REVISIT) -> Archives:
     """Write ``pages`` (page_id, url, html) below ``path`` as WARC files, index first.
 
-    ``stored``: the pages come straight from files, so that two reads give the same partitions; others are stored first.
+    ``pages`` are read twice; if they are not a table of files, they are stored first.
     """
     spark = pages.sparkSession
-    pages = pages.select("page_id", "url", "html")
-    if not stored:
-        pages = shared_table(pages, "pages")
-    least_partitions = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(least_partitions, None)
-    if before is None:  # else a lost executor between the two reads would change the partitions
-        spark.conf.set(least_partitions, str(spark.sparkContext.defaultParallelism))
-    try:
-        numbered = pages.withColumn("row", F.monotonically_increasing_id())
-        build_index(numbered, path, least).write.partitionBy("archive").parquet(f"{path}/layout")
-        numbered.select("row", "html").mapInArrow(_writer(f"{path}/layout"), "value string").write.option("lineSep", END).text(f"{path}/archives")
-    finally:
-        if before is None:
-            spark.conf.unset(least_partitions)
+    numbered = fixed_rows(pages, "pages").select("page_id", "url", "html").withColumn("row", F.monotonically_increasing_id())
+    build_index(numbered, path, least).write.partitionBy("archive").parquet(f"{path}/layout")
+    numbered.select("row", "html").mapInArrow(_writer(f"{path}/layout"), "value string").write.option("lineSep", END).text(f"{path}/archives")
     layout = spark.read.schema(LAYOUT).parquet(f"{path}/layout")
     files = spark.read.format("binaryFile").load(f"{path}/archives").select(F.col("path").alias("file"))
     files = files.withColumn("archive", F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long"))
@@ -236,7 +225,7 @@ def resolved(records: DataFrame) -> DataFrame:
     return plain.unionByName(again).withColumn("payload_digest", F.when(F.col("payload_digest") == F.col("digest"), F.col("payload_digest")).otherwise(wrong)).drop("digest")
 
 
-def archive_round_trip(pages: DataFrame, stored: bool = False) -> DataFrame:
+def archive_round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives of ``pages`` in the shared folder."""
     path = f"{ensure_checkpoint_dir(pages.sparkSession).rstrip('/')}/lodestone-{uuid.uuid4().hex}/warc"
-    return resolved(write_archives(pages, path, stored=stored).read())
+    return resolved(write_archives(pages, path).read())
