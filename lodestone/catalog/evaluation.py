@@ -148,6 +148,18 @@ def _rounded(df):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+@register(
+    "evaluation_percentiles",
+    _DOC_COVER
+    + """, ordered as (select type, chars, row_number() over (partition by type order by chars) as i, count(chars) over (partition by type) as n from rows where chars is not null),
+    ps(p) as (values (0.5e0), (0.95e0))
+    select type, p, chars::double as quantile, n as "values" from ordered cross join ps where i = greatest(1, ceil(n * p))""",
+)
+def evaluation_percentiles(spark, sf_dir):
+    """Median and 95th percentile of the characters that requests returned, by question type."""
+    return metrics.order_statistics(evaluation_rows(spark, sf_dir), "chars", [0.5, 0.95], ("type",))
+
+
 @register("complete_evidence", _DOC_COVER + f" select {_SUMMARY} from rows")
 def complete_evidence(spark, sf_dir):
     """Roll-up of the evaluation rows, no-answer questions kept apart."""
@@ -336,21 +348,38 @@ def label_nuggets(spark, sf_dir):
     return qrels.join(lang, "chunk_id")
 
 
-@register(
-    "nugget_coverage",
-    SQL_LABEL_RUN
-    + """, nuggets as (select q.query_id, q.doc_id, d.lang from qrels q join documents d on d.doc_id = q.doc_id)
+def _sql_coverage(k: int) -> str:
+    return SQL_LABEL_RUN + f""", nuggets as (select q.query_id, q.doc_id, d.lang from qrels q join documents d on d.doc_id = q.doc_id)
     select n.query_id, round(count(distinct case when r.doc_id is not null then n.lang end) / count(distinct n.lang), 6) as coverage
-    from nuggets n left join run r on r.query_id = n.query_id and r.doc_id = n.doc_id and r.rank <= 10 group by n.query_id""",
-)
+    from nuggets n left join run r on r.query_id = n.query_id and r.doc_id = n.doc_id and r.rank <= {k} group by n.query_id"""
+
+
+@register("nugget_coverage", _sql_coverage(10))
 def nugget_coverage(spark, sf_dir):
     run, _ = label_run(spark, sf_dir)
     return _rounded(metrics.nugget_coverage(run, label_nuggets(spark, sf_dir), 10))
 
 
-@register("alpha_ndcg")
+@register("nugget_coverage_at_20", _sql_coverage(20))
+def nugget_coverage_at_20(spark, sf_dir):
+    run, _ = label_run(spark, sf_dir)
+    return _rounded(metrics.nugget_coverage(run, label_nuggets(spark, sf_dir), 20))
+
+
+# A document has one language, so the greedy ideal order is that of the sorted gains.
+@register(
+    "alpha_ndcg",
+    SQL_LABEL_RUN
+    + """, nuggets as materialized (select q.query_id, q.doc_id, d.lang from qrels q join documents d on d.doc_id = q.doc_id),
+    worth as (select query_id, pow(0.5e0, row_number() over (partition by query_id, lang order by doc_id) - 1) as g from nuggets),
+    ideal as (select query_id, sum(g / log2(i + 1)) as ideal from (select *, row_number() over (partition by query_id order by g desc) as i from worth) where i <= 10 group by query_id),
+    gains as (select r.query_id, r.rank, pow(0.5e0, row_number() over (partition by r.query_id, n.lang order by r.rank) - 1) as g
+      from run r join nuggets n on n.query_id = r.query_id and n.doc_id = r.doc_id where r.rank <= 10),
+    gain as (select query_id, sum(g / log2(rank + 1)) as gain from gains group by query_id)
+    select i.query_id, round(coalesce(gain / ideal, 0), 6) as alpha_ndcg from ideal i left join gain using (query_id)""",
+)
 def alpha_ndcg(spark, sf_dir):
-    """Greedy ideal order; checked against a brute force in the tests."""
+    """Nuggets are languages; longer nugget sets are checked against a brute force in the tests."""
     run, _ = label_run(spark, sf_dir)
     return _rounded(metrics.alpha_ndcg(run, label_nuggets(spark, sf_dir)))
 
@@ -409,7 +438,7 @@ def median_by_type(spark, sf_dir):
     return m.select("event_type", F.round("quantile", 6).alias("median"))
 
 
-# --- paired comparison: BM25+ against field-weighted BM25, first result only ---------------
+# --- paired comparison: BM25+ against field-weighted BM25, first two results each ----------
 def engine_pairs(spark, sf_dir):
     found = located(spark, sf_dir).select(F.col("passage_id").alias("query_id"), F.col("source_id").alias("chunk_id"))
 
@@ -418,7 +447,7 @@ def engine_pairs(spark, sf_dir):
             F.count(F.lit(1)).alias("covered")
         )
 
-    base = covered(RetrievalOptions(lexical_engine="fts", bm25_candidates=1)).withColumnRenamed("covered", "b_covered")
+    base = covered(RetrievalOptions(lexical_engine="fts", bm25_candidates=2)).withColumnRenamed("covered", "b_covered")
     cand = covered(BODY_ONLY.override({"bm25_candidates": 2})).withColumnRenamed("covered", "c_covered")
     expected = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("expected"))
     rows = passages(spark, sf_dir).select("query_id")
@@ -430,7 +459,7 @@ def engine_pairs(spark, sf_dir):
 _PAIRS = f"""with {SQL_PASSAGE_SCORES}, {SQL_LOCATED},
     fts_scores as (select q.query_id, t.doc_id, round(sum({_CLAMPED} * (t.tf * 2.2e0) / (t.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.total_len / c.avg_total))), 9) as score
       from query_terms q join doc_terms t on t.term = q.term join dfs f on f.term = q.term join doc_len l on l.doc_id = t.doc_id cross join corpus c group by all),
-    fts as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fts_scores) where rank <= 1),
+    fts as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fts_scores) where rank <= 2),
     plus as (select * from ranked where rank <= 2),
     pairs as materialized (
       select b.item_id as query_id, b.item_id // 2 as grp, (select count(*) from located l where l.query_id = b.item_id) as expected,

@@ -256,6 +256,25 @@ def candidate_pool_depth(spark, sf_dir):
     return pool_depth(hybrid_pool(spark, sf_dir), relevant)
 
 
+@register(
+    "candidate_pool_recall",
+    f"""with {SQL_HYBRID},
+    wanted as materialized (select item_id as query_id, doc_id from benchmark join labels on labels.doc_id % 10 = item_id % 10 where quality = 1 group by all),
+    marked as (select w.query_id, f.position, f.dense_rank, f.bm25_rank from wanted w left join fused_ranked f on f.query_id = w.query_id and f.doc_id = w.doc_id)
+    select query_id, count(*) as relevant, round(count(*) filter (position <= 10) / count(*)::double, 6) as top10, round(count(*) filter (position <= 20) / count(*)::double, 6) as top20,
+      round(count(*) filter (position <= 50) / count(*)::double, 6) as top50, round(count(position) / count(*)::double, 6) as pool,
+      round(count(dense_rank) / count(*)::double, 6) as dense_pool, round(count(bm25_rank) / count(*)::double, 6) as bm25_pool from marked group by query_id""",
+)
+def candidate_pool_recall(spark, sf_dir):
+    """Share of each passage's relevant documents (good ones whose last digit is the passage's) in bands and lanes of its pool."""
+    from ..operators.metrics import pool_recall
+
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 10).alias("digit"))
+    asked = passages(spark, sf_dir).select("query_id", (F.col("query_id") % 10).alias("digit"))
+    recall = pool_recall(hybrid_pool(spark, sf_dir), good.join(asked, "digit").select("query_id", "chunk_id"))
+    return recall.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in recall.dtypes])
+
+
 
 
 @register(

@@ -25,6 +25,21 @@ def pool_depth(pool: DataFrame, relevant: DataFrame) -> DataFrame:
     )
 
 
+POOL_BANDS = ("top10", "top20", "top50", "pool", "dense_pool", "bm25_pool")
+
+
+def pool_recall(pool: DataFrame, relevant: DataFrame) -> DataFrame:
+    """Shares of a query's relevant chunks (query_id, chunk_id) that rank bands and lanes of its pool hold; 0 for a query without a pool."""
+    wanted = relevant.select("query_id", "chunk_id").distinct()
+    total = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
+    held = pool.join(wanted, ["query_id", "chunk_id"])
+    found = held.groupBy("query_id").agg(
+        *[count_if(F.col("rank") <= k).alias(f"top{k}") for k in (10, 20, 50)], F.count(F.lit(1)).alias("pool"),
+        *[count_if(F.col(f"{lane}_rank").isNotNull()).alias(f"{lane}_pool") for lane in ("dense", "bm25")],
+    )
+    return total.join(found, "query_id", "left").select("query_id", "relevant", *[(F.coalesce(b, F.lit(0)) / F.col("relevant")).alias(b) for b in POOL_BANDS])
+
+
 def order_statistics(
     df: DataFrame, value: str, probs: list[float], group: tuple[str, ...] = (), kind: str = "nearest", buckets: int = 64
 ) -> DataFrame:
