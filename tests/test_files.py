@@ -66,7 +66,9 @@ def make_tar(path, members, fmt=tarfile.PAX_FORMAT):
             info = tarfile.TarInfo(name)
             info.size = len(content)
             tar.addfile(info, io.BytesIO(content))
-        tar.addfile(tarfile.TarInfo("folder/"), None)
+        folder = tarfile.TarInfo("folder")
+        folder.type = tarfile.DIRTYPE
+        tar.addfile(folder)
 
 
 def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
