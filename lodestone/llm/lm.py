@@ -9,11 +9,14 @@ until one is missing; the last one found gives back the count. Probability of w
 kappa is set so that the mass for unseen pairs equals the share of pairs seen once. Word counts are exact.
 
 The filter is cut into slices by pair hash, the vocabulary into blocks by word hash; both grow with the corpus and are
-broadcast in parts of at most PART_BYTES. Parts that do not fit into one broadcast are taken in rounds: a
-round scores the tokens whose pair, word and history lie in its parts, and a document's score is the sum over rounds.
+broadcast in parts of at most PART_BYTES. Parts that do not fit into one broadcast are taken in rounds, one after another: a
+round scores the tokens whose pair, word and history lie in its parts, stores its sums and gives its broadcasts back, so the
+driver holds the parts of one round only. A document's score is the sum over rounds; there are filter parts x vocabulary
+blocks^2 of them, each a scan of the texts.
 
 Texts are lower-cased (A-Z); tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end. Null text: empty, one token.
-A null doc_id is training text. Without training text every token has probability 1 / (0 + 0 + 1).
+A null doc_id is training text. Without training text every token has probability 1 / (0 + 0 + 1). Repeated rows are
+trained on and scored each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ PROBES = 5
 PART_BYTES = 256 << 20
 SLICE_PAIRS = 1_500_000
 FLUSH = 3_000_000
+FETCH_BYTES = 16 << 20  # of a part, sent to the driver at once
 SLICE = 1 << 20
 END = np.uint64(0x9D39247E33776D41)
 _STEP = 0x9E3779B97F4A7C15
@@ -100,15 +104,8 @@ class Filters:
     A slice without an entry has no pairs.
     """
 
-    def __init__(self, slices: int, low: int, high: int, numbers: list[int], sizes: list[int], data: list[bytes]) -> None:
-        self.slices, self.low, self.high = slices, low, high
-        self.offset = np.full(slices, -1, dtype=np.int64)
-        self.bits = np.ones(slices, dtype=np.uint64)
-        at = 0
-        for number, m, raw in zip(numbers, sizes, data):
-            self.offset[number], self.bits[number] = at, m
-            at += len(raw)
-        self.data = np.frombuffer(b"".join(data), dtype=np.uint8)
+    def __init__(self, slices: int, low: int, high: int, offset: np.ndarray, bits: np.ndarray, data: np.ndarray) -> None:
+        self.slices, self.low, self.high, self.offset, self.bits, self.data = slices, low, high, offset, bits, data
 
     def holds(self, pairs: np.ndarray) -> np.ndarray:
         own = (pairs % np.uint64(self.slices)).astype(np.int64)
@@ -134,11 +131,10 @@ class Filters:
 
 
 class Vocabulary:
-    """Exact counts of the words of one block."""
+    """Exact counts of the words of one block, sorted by word."""
 
     def __init__(self, blocks: int, block: int, words: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(words)
-        self.blocks, self.block, self.words, self.counts = blocks, block, words[order], counts[order]
+        self.blocks, self.block, self.words, self.counts = blocks, block, words, counts
 
     def holds(self, words: np.ndarray) -> np.ndarray:
         return words % np.uint64(self.blocks) == np.uint64(self.block)
@@ -249,47 +245,87 @@ class BigramModel:
         sums = self.words.agg(*[F.sum(F.col("c") * k / (F.col("c") + k)).alias(f"k{i}") for i, k in enumerate(grid)]).first()
         return min(zip(grid, sums), key=lambda x: abs(x[1] - once))[0]
 
-    def _filter_parts(self) -> list[tuple[int, int]]:
-        """Slice ranges of each broadcast; together they cover all slices."""
-        parts, low, size = [], 0, 0
+    def _filter_parts(self) -> list[list[tuple[int, int]]]:
+        """(slice, bytes) of the slices of each broadcast; together they cover all that have entries."""
+        parts, size = [[]], 0
         for r in self.filters.select("slice", F.octet_length("bits").alias("b")).orderBy("slice").collect():
-            if size and size + r["b"] > self.part_bytes:
-                parts.append((low, r["slice"]))
-                low, size = r["slice"], 0
+            if parts[-1] and size + r["b"] > self.part_bytes:
+                parts.append([])
+                size = 0
+            parts[-1].append((r["slice"], r["b"]))
             size += r["b"]
-        return [*parts, (low, self.slices)]
+        return parts
+
+    def _filters(self, part: list[tuple[int, int]], low: int, high: int) -> Filters:
+        """Slices of one part, fetched a few at a time into one array."""
+        offset, bits = np.full(self.slices, -1, dtype=np.int64), np.ones(self.slices, dtype=np.uint64)
+        data = np.empty(sum(b for _, b in part), dtype=np.uint8)
+        at = i = 0
+        while i < len(part):
+            j, size = i + 1, part[i][1]
+            while j < len(part) and size + part[j][1] <= FETCH_BYTES:
+                size += part[j][1]
+                j += 1
+            table = self.filters.where(F.col("slice").between(part[i][0], part[j - 1][0])).select("slice", "m", "bits").toArrow()
+            for chunk in table.to_batches():
+                raw, ends = text_buffer(chunk.column("bits"))
+                for k, (number, m) in enumerate(zip(chunk.column("slice").to_pylist(), chunk.column("m").to_pylist())):
+                    own = raw[ends[k] : ends[k + 1]]
+                    offset[number], bits[number] = at, m
+                    data[at : at + len(own)] = own
+                    at += len(own)
+            i = j
+        return Filters(self.slices, low, high, offset, bits, data)
 
     def _vocabulary(self, blocks: int, block: int) -> Vocabulary:
+        """Words of one block in ranges of the hash, so that each fetch is small and the whole is sorted."""
+        ranges = max(1, -(-16 * self.types // (blocks * FETCH_BYTES)))
         part = self.words.where(F.pmod(F.conv(F.hex("word"), 16, 10).cast("decimal(20,0)"), F.lit(blocks)) == block) if blocks > 1 else self.words
-        table = part.toArrow()
-        return Vocabulary(blocks, block, table.column("word").to_numpy().view(np.uint64), table.column("c").to_numpy())
+        low = -(1 << 63)
+        place = F.col("word").bitwiseXOR(F.lit(low))  # signed order of this is the unsigned order of the word
+        words, counts = [], []
+        for k in range(ranges):
+            a, b = low + ((1 << 64) * k) // ranges, low + ((1 << 64) * (k + 1)) // ranges - 1
+            table = part.where(place.between(F.lit(a), F.lit(b))).toArrow()
+            own = table.column("word").to_numpy().view(np.uint64)
+            order = np.argsort(own)
+            words.append(own[order])
+            counts.append(table.column("c").to_numpy()[order])
+        return Vocabulary(blocks, block, np.concatenate(words), np.concatenate(counts))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score (log10) of every row of ``docs`` (doc_id, text)."""
-        spark = docs.sparkSession
-        rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+        context = docs.sparkSession.sparkContext
+        rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("again"))
         blocks = max(1, -(-16 * self.types // self.part_bytes))
-        rounds = []
-        for low, high in self._filter_parts():
-            table = self.filters.where(F.col("slice").between(low, high - 1)).select("slice", "m", "bits").toArrow()
-            filters = spark.sparkContext.broadcast(
-                Filters(self.slices, low, high, *(table.column(c).to_pylist() for c in ("slice", "m", "bits")))
-            )
-            del table
-            own = [spark.sparkContext.broadcast(self._vocabulary(blocks, i)) for i in range(blocks)]
-            rounds += [(filters, own[i], own[j], not i and not j and not low, not j and not low) for i in range(blocks) for j in range(blocks)]
+        parts = self._filter_parts()
         kind = dict(docs.dtypes)["doc_id"]
-        schema = f"doc_id {kind}, row long, rows long, n_tokens long, n_known long, base_score double, score double"
-        parts = [rows.mapInArrow(_scorer(*r, self.tokens, self.types, self.kappa), schema) for r in rounds]
-        if len(parts) == 1:
-            return parts[0].select("doc_id", "n_tokens", "n_known", "base_score", "score")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        summed = out.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])
+        schema = f"doc_id {kind}, row long, again long, rows long, n_tokens long, n_known long, base_score double, score double"
+        totals = (self.tokens, self.types, self.kappa)
+        columns = ("n_tokens", "n_known", "base_score", "score")
+        if len(parts) == 1 and blocks == 1:
+            filters, words = context.broadcast(self._filters(parts[0], 0, self.slices)), context.broadcast(self._vocabulary(1, 0))
+            return rows.mapInArrow(_scorer(filters, words, words, True, True, *totals), schema).select("doc_id", *columns)
+        out = None
+        edges = [0, *(p[0][0] for p in parts[1:]), self.slices]
+        for number, part in enumerate(parts):
+            filters = context.broadcast(self._filters(part, edges[number], edges[number + 1]))
+            for i in range(blocks):
+                own = context.broadcast(self._vocabulary(blocks, i))
+                for j in range(blocks):
+                    other = own if i == j else context.broadcast(self._vocabulary(blocks, j))
+                    once = number == 0 and j == 0
+                    done = shared_table(rows.mapInArrow(_scorer(filters, own, other, once and i == 0, once, *totals), schema), f"round-{number}-{i}-{j}")
+                    out = done if out is None else out.unionByName(done)
+                    if other is not own:
+                        other.destroy()
+                own.destroy()
+            filters.destroy()
+        # Repeated rows are summed together and taken apart again; a row is known by its id and two hashes.
+        summed = out.groupBy("doc_id", "row", "again").agg(*[F.sum(c).alias(c) for c in ("rows", *columns)])
         each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        whole = [(F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")]
-        return each.select("doc_id", *whole, *[(F.col(c) / F.col("rows")).alias(c) for c in ("base_score", "score")])
+        whole = [(F.col(c) / F.col("rows")).cast("long").alias(c) for c in columns[:2]]
+        return each.select("doc_id", *whole, *[(F.col(c) / F.col("rows")).alias(c) for c in columns[2:]])
 
 
 def _scorer(filters, own, other, first: bool, base: bool, n: int, v: int, kappa: float):
@@ -314,10 +350,10 @@ def _scorer(filters, own, other, first: bool, base: bool, n: int, v: int, kappa:
                 sums = lambda x: np.add.reduceat(x, starts)
                 sizes = np.diff(np.append(starts, len(tokens)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], batch.column("row")[i:j], pa.array(np.full(j - i, int(first))),
+                    [batch.column("doc_id")[i:j], batch.column("row")[i:j], batch.column("again")[i:j], pa.array(np.full(j - i, int(first))),
                      pa.array(sizes * int(first)), pa.array(sums(((c > 0) & base).astype(np.int64))),
                      pa.array(sums(np.where(mine & base, np.log10(p), 0.0))), pa.array(sums(smooth))],
-                    names=["doc_id", "row", "rows", "n_tokens", "n_known", "base_score", "score"],
+                    names=["doc_id", "row", "again", "rows", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     return emit

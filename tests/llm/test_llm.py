@@ -174,15 +174,29 @@ def test_language_model(spark, docs, part_bytes):
         assert score[i][0] == pytest.approx(want, rel=0.05, abs=0.5)  # the filter may answer for a pair never seen
 
 
+def test_language_model_of_repeated_rows_in_rounds_and_of_nothing(spark, docs, none, monkeypatch):
+    twice = docs.unionByName(docs.where("doc_id in (1, 3, 8)")).withColumn("rows", F.lit("other"))
+    monkeypatch.setattr(lm, "FETCH_BYTES", 2_000)
+    monkeypatch.setattr(lm, "SLICE", 300)
+    rows = [sorted(map(tuple, lm.score_corpus(twice, size).collect())) for size in (1 << 28, 4000)]
+    assert len(rows[0]) == len(rows[1]) == len(TEXTS) + 3
+    for a, b in zip(*rows):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    assert lm.score_corpus(none).count() == 0
+    alone = lm.score_corpus(docs.where(lm.held_out(F.col("doc_id")))).collect()
+    assert all(r["train_tokens"] == r["n_known"] == 0 and r["base_score"] == 0 for r in alone) and alone
+
+
 def test_bloom_filter_levels():
     rng = np.random.default_rng(0)
     pairs = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
     counts = np.maximum(rng.geometric(0.3, 4000) ** 2, 1)
     m, raw = lm.build_filter(pairs, counts)
-    found = lm.Filters(1, 0, 1, [0], [m], [raw]).levels(pairs)
+    one = lm.Filters(1, 0, 1, np.zeros(1, np.int64), np.array([m], np.uint64), np.frombuffer(raw, np.uint8))
+    found = one.levels(pairs)
     want = lm.count_level(counts)
     assert (found >= want).all() and (found == want).mean() > 0.97
-    absent = lm.Filters(1, 0, 1, [0], [m], [raw]).levels(rng.integers(0, 1 << 63, 20000).astype(np.uint64))
+    absent = one.levels(rng.integers(0, 1 << 63, 20000).astype(np.uint64))
     assert (absent > 0).mean() < 0.03
 
 
