@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .arrays import as_long, mix, row_slices, span_hashes, text_buffer, word_arrays
 from .bloom import bloom_filter, holds
 from .components import connected_components
-from .shared import fixed_rows, free_name, shared_table, small_or_plain
+from .shared import drop_table, fixed_rows, free_name, shared_table, small_or_plain
 
 NGRAM = 4
 PERCENT = 85
@@ -333,7 +333,10 @@ def similar_components(docs: DataFrame, classes: DataFrame, n: int = NGRAM, perc
     tested = first.select(*ordered("a", "b"))
     second = second.select(*ordered("row1", "row2")).distinct().join(tested, ["a", "b"], "left_anti")
     more = _verify(shared_table(second, "second-pairs"), sets, percent)
-    return connected_components(shared_table(links.unionByName(more), "links"), "final")
+    labels = connected_components(shared_table(links.unionByName(more), "links"), "final")
+    for table in (sets, prefix):  # the large ones; the labels no longer read them
+        drop_table(table)
+    return labels
 
 
 def _signed(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:

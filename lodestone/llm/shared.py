@@ -26,6 +26,16 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Delete the folder of a ``shared_table`` that nothing reads any more."""
+    files = table.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if "/lodestone-" in folder:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pin_partitions(spark: SparkSession) -> None:
     """From now on files are cut into the same partitions by every job, whatever executors come and go: row numbers hold."""
     key = "spark.sql.files.minPartitionNum"
