@@ -1,8 +1,12 @@
 """Registered queries against their SQL on small tables with the rows that went wrong in round 3."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from lodestone.catalog import ORACLE, QUERIES
+from lodestone.config import RetrievalOptions
+from lodestone.operators import lexical as lx, matching
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,3 +38,22 @@ def test_a_passage_at_the_start_of_its_document_maps_below_its_headings(spark, t
     spark.createDataFrame([(i, passage) for i in (1, 3, 4, 6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = equals_sql(spark, "span_mapping", str(tmp_path), ("documents", "benchmark"))
     assert (1, 1, "mapped", 10, 3) in want
+
+
+@pytest.mark.parametrize("engine", ["bm25plus", "fts"])
+def test_lane_in_blocks_equals_all_pairs(spark, monkeypatch, engine):
+    """Blocks of chunks and of queries, copies that tie at the cut, titles, null keys: the lane is the first rows of all scores."""
+    monkeypatch.setattr(matching, "BLOCK_CHUNKS", 3)
+    monkeypatch.setattr(matching, "QUERY_TERMS", 9)
+    words = "red green blue cyan lime".split()
+    rows = [(f"c{(i * 7) % 40:02d}", " ".join(words[: 1 + i % 4]) if i % 3 else "red green", words[i % 5] if i % 2 else "") for i in range(40)] + [("none", None, None)]
+    terms = lx.term_table(spark.createDataFrame(rows, "chunk_id string, text string, title string"), title=F.coalesce("title", F.lit("")))
+    asked = spark.createDataFrame([(i, 1 if i % 2 else None, " ".join(words[i % 5 :])) for i in range(7)] + [(9, 1, "absent"), (10, 1, "")], "query_id int, part int, text string")
+    options, keys = RetrievalOptions(lexical_engine=engine, bm25_candidates=4), ("query_id", "part")
+    lane = lx.lexical_lane(terms, asked, options, keys=keys)
+    plan = lane._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in plan and "HashAggregate" not in plan  # (query, chunk) pairs were rows of an aggregate
+    scores = lx.lexical_scores(terms, asked.fillna(-1, ["part"]), options, keys=keys)
+    want = lx.top_candidates(scores, 4, keys)
+    row = lambda r: (r["query_id"], -1 if r["part"] is None else r["part"], r["rank"], r["chunk_id"], round(r["score"], 8))
+    assert sorted(map(row, lane.collect())) == sorted(map(row, want.collect()))
