@@ -210,16 +210,31 @@ def attach_text(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def invalid_ranges(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks that break the chunker contract, with the broken rule.
+def cut_text(ranges: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`attach_text`, with first and last line and the ``keep`` columns of the source: a source's ranges meet its text once.
 
-    ``chunks`` come from :func:`attach_text`; ``sources`` gives first and last line numbers.
+    Lines outside the source are not counted in ``lines``. One source is bounded by the file-size limit.
     """
+    listed = ranges.groupBy("source_id").agg(F.collect_list(F.struct(*RANGE_COLUMNS)).alias("ranges"))
+    met = sources.select("source_id", *keep, "first_line", "last_line", F.col("text").alias("_text")).join(listed, "source_id")
+
+    def piece(rows: Column, r: Column) -> Column:
+        low = F.greatest(r["start_line"] - F.col("first_line") + 1, F.lit(1))
+        high = F.least(r["end_line"] - F.col("first_line") + 1, F.size(rows))
+        own = F.slice(rows, low, F.greatest(high - low + 1, F.lit(0)))
+        return F.struct(*[r[c].alias(c) for c in RANGE_COLUMNS], F.array_join(own, "\n").alias("text"), F.size(own).cast("long").alias("lines"))
+
+    rows = F.transform(F.array(F.split("_text", LINE_BREAK, -1)), lambda lines: F.transform("ranges", lambda r: piece(lines, r)))
+    return met.select("source_id", *keep, "first_line", "last_line", F.inline(F.get(rows, F.lit(0))))
+
+
+def broken_rule() -> Column:
+    """The rule of the chunker contract that a chunk with its source's first and last line breaks, or null."""
     c = F.col
     inside = (c("section_start_line") <= c("start_line")) & (c("section_end_line") >= c("end_line"))
     both = c("section_start_line").isNull() == c("section_end_line").isNull()
     available = (c("section_start_line") >= c("first_line")) & (c("section_end_line") <= c("last_line"))
-    rule = (
+    return (
         F.when((c("end_line") < c("start_line")) | (c("start_line") < 1), "Invalid chunk range")
         .when(c("lines") != c("end_line") - c("start_line") + 1, "Chunk crosses unavailable or frontmatter lines")
         .when(is_blank(c("text")), "Empty chunk")
@@ -231,6 +246,13 @@ def invalid_ranges(chunks: DataFrame, sources: DataFrame) -> DataFrame:
             "Identity in chunk headings",
         )
     )
+
+
+def invalid_ranges(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks that break the chunker contract, with the broken rule.
+
+    ``chunks`` come from :func:`attach_text`; ``sources`` gives first and last line numbers.
+    """
     return chunks.join(sources.select("source_id", "first_line", "last_line"), "source_id").withColumn(
-        "rule", rule
+        "rule", broken_rule()
     ).filter(F.col("rule").isNotNull())

@@ -3,8 +3,8 @@
 Layout under the index root, one folder per chunker identity::
 
     <chunk key>/segments/<segment>/chunks                 chunk rows of the sources of one sync
-    <chunk key>/segments/<segment>/terms-<key>/postings   (field, term, tf) rows by term bucket
-    <chunk key>/segments/<segment>/terms-<key>/lengths    lengths per chunk
+    <chunk key>/segments/<segment>/terms-<key>/postings   (field, term, chunk number, tf) rows by term bucket
+    <chunk key>/segments/<segment>/terms-<key>/lengths    number, id, source and lengths per chunk
     <chunk key>/segments/<segment>/vectors-<key>          unit vectors
     <chunk key>/sources/<revision>                        live sources and the segment of each
     <chunk key>/commits/<revision before>.json            the state that follows a revision ("first": none before)
@@ -37,9 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import RetrievalError, compact_json
 from ..functions.text import chunk_id, content_hash, is_blank, retrieval_text, title_text
-from ..operators import chunking, lexical, maintenance
+from ..operators import chunking, lexical, maintenance, postings as postings_form
 from ..functions.segmentation import HanDictionary
 from ..operators.structure import structure_ranges
+from ..session import spread
 from ..sources.embedding import EmbeddingProvider, embed_texts, usage_ledger
 
 # Chunks of a segment for each term bucket, and the most buckets: a small segment is one folder, not dozens.
@@ -48,7 +49,7 @@ BUCKET_CHUNKS, TERM_BUCKETS = 50_000, 1024
 MERGE_FACTOR = 4
 # Term filters reach the scan up to this many terms; beyond, buckets alone prune.
 TERM_FILTER = 5_000
-TOKENIZER_VERSION = "words-identifiers-han-bigrams-1"
+TOKENIZER_VERSION = "words-identifiers-han-bigrams-2"  # 2: postings name chunks by number
 
 ChunkerFn = Callable[[DataFrame], DataFrame]
 CHUNKERS: dict[str, tuple[str, ChunkerFn]] = {}
@@ -253,27 +254,35 @@ class EvidenceIndex:
         return dead if clean is None else clean if dead is None else clean.unionByName(dead)
 
     def chunks(self, state: dict) -> DataFrame:
-        return self._live(state, [(s, s["chunks"]) for s in state["segments"]])
+        return self._live(state, [(s, s["chunks"]) for s in state["segments"]]).drop("number", "rule")
+
+    def _live_postings(self, state: dict, segment: dict, key: str) -> DataFrame:
+        rows = self.spark.read.parquet(segment["terms"][key] + "/postings")
+        if segment["dead"]:
+            rows = rows.join(self._numbered_lengths(state, [segment], key).select("number"), "number", "left_semi")
+        return rows
 
     def postings(self, state: dict, terms: list[tuple[str, int]] | None = None) -> DataFrame:
-        """Stored postings; of the ``terms`` (term and its hash) of a request, only their buckets and, if few, their rows are read."""
-        key = self.profile.term_key
-        if terms is None:
-            return self._live(state, [(s, s["terms"][key] + "/postings") for s in state["segments"]])
-        parts = []
-        for s in state["segments"]:
-            wanted = sorted({h % s["buckets"] for _, h in terms})
-            parts.append((s, s["terms"][key] + "/postings", F.col("bucket").isin(wanted)))
+        """Stored postings (chunk number, field, term, tf); of the ``terms`` (term and its hash) of a request, only their buckets and, if few,
+        their rows are read."""
         out = None
-        for s, path, pruned in parts:
-            rows = self._live(state, [(s, path)]).filter(pruned)
-            rows = rows.filter(F.col("term").isin([t for t, _ in terms])) if len(terms) <= TERM_FILTER else rows
+        for s in state["segments"]:
+            rows = self._live_postings(state, s, self.profile.term_key).select("bucket", "number", "field", "term", "tf")
+            if terms is not None:
+                rows = rows.filter(F.col("bucket").isin(sorted({h % s["buckets"] for _, h in terms})))
+                rows = rows.filter(F.col("term").isin([t for t, _ in terms])) if len(terms) <= TERM_FILTER else rows
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def described_postings(self, state: dict, terms: list[tuple[str, int]] | None = None) -> DataFrame:
+        """:meth:`postings` with the id, source and lengths of their chunks: what the lexical lane scores."""
+        return self.postings(state, terms).join(self._numbered_lengths(state, state["segments"]), "number").drop("number")
+
+    def _numbered_lengths(self, state: dict, segments: list[dict], key: str | None = None) -> DataFrame:
+        return self._live(state, [(s, s["terms"][key or self.profile.term_key] + "/lengths") for s in segments])
+
     def lengths(self, state: dict) -> DataFrame:
-        key = self.profile.term_key
-        return self._live(state, [(s, s["terms"][key] + "/lengths") for s in state["segments"]])
+        return self._numbered_lengths(state, state["segments"]).drop("number")
 
     def vectors(self, state: dict, vector_key: str) -> DataFrame:
         return self._live(state, [(s, s["vectors"][vector_key]) for s in state["segments"]])
@@ -281,33 +290,28 @@ class EvidenceIndex:
     # --- sync ------------------------------------------------------------------------------
     def _write_chunks(self, sources: DataFrame, path: str) -> None:
         ranges = CHUNKERS[self.profile.chunker][1](sources)
-        lines = chunking.source_lines(sources, first_line=F.col("first_line"))
-        cut = chunking.attach_text(ranges, lines)
-        broken = chunking.invalid_ranges(cut, sources).select("source_id", "rule").first()
+        cut = chunking.cut_text(ranges, sources, keep=("collection_id", "path", "relative_path", "source_version"))
+        checked = cut.withColumn("rule", chunking.broken_rule()).drop("lines", "first_line", "last_line")
+        rows = checked.withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("start_line"), F.col("end_line"), F.col("text")))
+        # Cut once: the rule that a row breaks is written beside it and looked up afterwards.
+        rows.withColumn("number", postings_form.chunk_number()).write.mode("errorifexists").parquet(path)
+        broken = self.spark.read.parquet(path).filter(F.col("rule").isNotNull()).select("source_id", "rule").first()
         if broken:
+            self.folder.drop(path)
             raise RetrievalError("INVALID_REQUEST", f"{broken['rule']}: {broken['source_id']}")
-        meta = sources.select("source_id", "collection_id", "path", "relative_path", "source_version")
-        rows = cut.drop("lines").join(meta, "source_id").withColumn(
-            "chunk_id", chunk_id(F.col("source_id"), F.col("start_line"), F.col("end_line"), F.col("text"))
-        )
-        rows.write.mode("errorifexists").parquet(path)
 
     def _write_terms(self, chunks: DataFrame, path: str, buckets: int) -> None:
         title = title_text(F.col("path"), F.col("heading_path"))
-        keep = ("source_id", "collection_id", "relative_path")
-        table = lexical.term_table(chunks, title=title, keep=keep, dictionary=self.profile.dictionary, han=self.profile.han)
-        lengths = ["chunk_id", *keep, "title_len", "body_len", "total_len"]
-        table.select(*lengths).write.mode("errorifexists").parquet(path + "/lengths")
-        counted = (
-            lexical.postings(table, keep).groupBy(*lengths, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-        )
-        self._write_postings(counted, path, buckets)
+        keep = ("number", "source_id", "collection_id", "relative_path")
+        table = lexical.term_table(spread(chunks, "number"), title=title, keep=keep, dictionary=self.profile.dictionary, han=self.profile.han)
+        table.select("chunk_id", *keep, "title_len", "body_len", "total_len").write.mode("errorifexists").parquet(path + "/lengths")
+        self._write_postings(postings_form.counted(table), path, buckets)
 
-    def _write_postings(self, counted: DataFrame, path: str, buckets: int) -> None:
+    def _write_postings(self, packed: DataFrame, path: str, buckets: int) -> None:
         # Range partitions split a hot term over several tasks; files stay sorted by term.
-        numbered = counted.withColumn("bucket", F.pmod(term_hash(F.col("term")), F.lit(buckets)).cast("int"))
-        arranged = numbered.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
-        arranged.write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
+        keyed = packed.withColumns({"bucket": F.pmod(term_hash(F.col("term")), F.lit(buckets)).cast("int"), "first": F.col("numbers")[0]})
+        arranged = keyed.repartitionByRange("bucket", "term", "first").sortWithinPartitions("bucket", "term", "first")
+        postings_form.unpacked(arranged, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
 
     def _write_vectors(self, chunks: DataFrame, provider: EmbeddingProvider, path: str, stored: list[str]) -> dict:
         """Vectors of ``chunks``; texts whose vectors lie in one of the ``stored`` tables are not embedded again."""
@@ -453,8 +457,13 @@ class EvidenceIndex:
         merged = self._segment(revision)
         for key in set.intersection(*[set(s["terms"]) for s in members]):
             path = merged["terms"][key] = f"{base}/terms-{key[:20]}-{revision}"
-            self._live(started, [(s, s["terms"][key] + "/lengths") for s in members]).write.mode("errorifexists").parquet(path + "/lengths")
-            self._write_postings(self._live(started, [(s, s["terms"][key] + "/postings") for s in members]).drop("bucket"), path, merged["buckets"])
+            lengths = self._numbered_lengths(started, members, key)
+            lengths.write.mode("errorifexists").parquet(path + "/lengths")
+            kept = None
+            for s in members:
+                rows = self._live_postings(started, s, key).select("number", "field", "term", "tf")
+                kept = rows if kept is None else kept.unionByName(rows)
+            self._write_postings(postings_form.packed(kept), path, merged["buckets"])
         for key in set.intersection(*[set(s["vectors"]) for s in members]):
             path = merged["vectors"][key] = f"{base}/vectors-{key[:20]}-{revision}"
             self._live(started, [(s, s["vectors"][key]) for s in members]).write.mode("errorifexists").parquet(path)

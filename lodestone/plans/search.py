@@ -103,7 +103,7 @@ class SearchEngine:
             stats = lexical.corpus_stats(lengths)
             ranked = lexical.lexical_lane(
                 None, expressions, options, keys=KEYS, keep=keep, allowed=allowed, stats=stats,
-                counted=self.index.postings(state, terms), chunks=lengths, dictionary=dictionary, han=han,
+                counted=self.index.described_postings(state, terms), chunks=lengths, dictionary=dictionary, han=han,
             )
             lanes = fusion.tag_lane(ranked, "bm25")
         if options.mode != "bm25":

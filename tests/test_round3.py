@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import ORACLE, QUERIES
 from lodestone.config import RetrievalOptions
 from lodestone.operators import lexical as lx, matching
+from lodestone.plans.index import EvidenceIndex, IndexProfile
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +58,22 @@ def test_lane_in_blocks_equals_all_pairs(spark, monkeypatch, engine):
     want = lx.top_candidates(scores, 4, keys)
     row = lambda r: (r["query_id"], -1 if r["part"] is None else r["part"], r["rank"], r["chunk_id"], round(r["score"], 8))
     assert sorted(map(row, lane.collect())) == sorted(map(row, want.collect()))
+
+
+def test_a_posting_on_disk_holds_no_chunk_id(spark, tmp_path):
+    """Postings name chunks by number and are counted without a shuffle; numbers survive a merge and a replaced source."""
+    rows = lambda *texts: spark.createDataFrame(
+        [(str(i), False, "c", f"/{i}.md", f"{i}.md", t, 1, 1, t) for i, t in texts],
+        "source_id string, has_identity boolean, collection_id string, path string, relative_path string, source_version string, first_line int, last_line int, text string",
+    )
+    index = EvidenceIndex(spark, str(tmp_path), IndexProfile("whole"))
+    index.sync(rows((1, "red red blue"), (2, "green"), (3, "blue")))
+    index.sync(rows((1, "red blue blue"), (2, "green"), (4, "red")))
+    held = lambda: sorted((r["source_id"], r["term"], r["tf"]) for r in index.described_postings(index.state()).filter("field = 'body'").collect())
+    want = [("1", "blue", 6), ("1", "red", 3), ("2", "green", 3), ("4", "red", 3)]
+    state = index.state()
+    stored = spark.read.parquet(state["segments"][0]["terms"][index.profile.term_key] + "/postings")
+    assert set(stored.columns) == {"bucket", "field", "term", "number", "tf"}
+    assert held() == want
+    index.compact(everything=True)
+    assert held() == want and len(index.state()["segments"]) == 1
