@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,29 @@ def test_segments_equal_all_cuts(seed):
     assert HanDictionary(words.items()).segment(runs) == [cheapest(r, words) if r else [] for r in runs]
 
 
+@pytest.mark.parametrize("slice_", [1, 7, 40, 1 << 19])
+def test_slices_and_lists_equal_runs(monkeypatch, slice_):
+    """Runs cut a slice at a time, and out of their own bytes: the same words, null and empty rows, slices of arrays, astral characters."""
+    rng = random.Random(slice_)
+    letters = LETTERS + "\U00020000"
+    words = HanDictionary(("".join(rng.choices(letters, k=rng.choice((1, 2, 3)))), rng.randint(0, 300)) for _ in range(20))
+    rows = [["".join(rng.choices(letters, k=rng.randint(1, 20))) for _ in range(rng.randint(0, 4))] for _ in range(60)] + [None, [], ["的", "天"]]
+    want = [[w for run in r or () for w in words.segment([run])[0] if w != "的"] for r in rows]
+    monkeypatch.setattr("lodestone.functions.segmentation.SLICE", slice_)
+    assert words.segment_lists(pa.array(rows, pa.list_(pa.string()))).to_pylist() == want
+    assert words.segment_lists(pa.array(rows, pa.list_(pa.string())).slice(9)).to_pylist() == want[9:]
+    assert words.segment_lists(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
+def test_a_step_of_a_long_path_costs_nothing_for_other_runs():
+    """Each word of the longest path looked through the borders of all runs together."""
+    words = HanDictionary([("山水", 1), ("水山", 1)])
+    begin = time.process_time()
+    out = words.segment(["山水" * 8_000, "人" * 2_000_000])
+    assert out[0] == ["山水"] * 8_000 and len(out[1]) == 2_000_000
+    assert time.process_time() - begin < 8
+
+
 def test_long_runs_and_no_dictionary():
     assert HanDictionary([]).segment(["山水", "", "人"]) == [["山", "水"], [], ["人"]]
     chain = HanDictionary([("山水", 1), ("水山", 1)])
