@@ -1,11 +1,15 @@
 """Registered queries against their SQL on small tables with the rows that went wrong in round 3."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.catalog import ORACLE, QUERIES
 from lodestone.config import RetrievalOptions
+from lodestone.functions import plain
 from lodestone.operators import lexical as lx, matching
 from lodestone.plans.index import EvidenceIndex, IndexProfile
 
@@ -77,3 +81,31 @@ def test_a_posting_on_disk_holds_no_chunk_id(spark, tmp_path):
     assert held() == want
     index.compact(everything=True)
     assert held() == want and len(index.state()["segments"]) == 1
+
+
+def test_plain_texts_have_the_terms_of_the_expression(spark, monkeypatch):
+    """Terms and lengths by array operations are those of ``tokenize``, texts of every kind of neighbour, in slices of any size."""
+    rng = random.Random(5)
+    signs = list("aBcDEf09_.,;'$- \n\té×÷ÀÞßÿ") + ["AB", "fooBar", "x1Y", "ABCd", "9a", "__", "a.b", "1,2", "don't", "naïve", "Ñu"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(600)] + ["", "_", "a", "É", "·a·b", "İx", "数据库", "ﬁne", None]
+    rows = [(i, t, rng.choice(texts[:40])) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "chunk_id int, text string, title string").repartition(3)
+    terms = lx.term_table(frame, title=F.col("title"))
+    lists = terms.collect()
+    made = lx.split_plain(terms)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert made.index("split(") < made.index("Filter")  # terms are split only of what the filter leaves
+    vocabulary = sorted({t for r in lists for t in r["body_terms"][::2]} | {"absent"})
+    wanted = spark.createDataFrame([(1, t) for t in vocabulary], "query_id int, term string")
+    for size in (1, 1 << 18):
+        monkeypatch.setattr(plain, "SLICE_BYTES", size)
+        for title in (True, False):
+            found = matching.match_terms(*lx.split_plain(terms), wanted, ("query_id",), (), title)
+            order = wanted.select("term").toArrow()["term"].to_pylist()
+            got = {r["chunk_id"]: (r["title_len"], r["body_len"], r["total_len"], sorted(zip(r["ids"], r["tfs"]))) for r in found.rows.collect()}
+            number = {t: i for i, t in enumerate(dict.fromkeys(order))}
+            want = {}
+            for r in lists:
+                hits = Counter(number[t] for t in r["body_terms"] if t in number)
+                hits.update(number[t] + found.size for t in (r["title_terms"] if title else ()) if t in number)
+                want[r["chunk_id"]] = (r["title_len"], r["body_len"], r["total_len"], sorted(hits.items()))
+            assert got == want
