@@ -44,9 +44,10 @@ _INDEX_TOPK = f"""with {SQL_DOC_TERMS}, {SQL_PASSAGE_TERMS},
 
 
 def _top10(spark, sf_dir, index: EvidenceIndex, state: dict) -> DataFrame:
+    lengths = index.numbered_lengths(state)
     lane = lx.lexical_lane(
         None, passages(spark, sf_dir), BODY_ONLY.override({"bm25_candidates": 10}), title=False,
-        stats=lx.corpus_stats(index.lengths(state)), counted=index.described_postings(state),
+        stats=lx.corpus_stats(lengths), counted=index.postings(state), numbered=lengths,
     )
     return lane.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 

@@ -68,8 +68,11 @@ class Hasher:
     def __init__(self) -> None:
         self.size = 0
 
-    def terms(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of every term of consecutive texts, duplicates kept; ``first``: where they begin, empty texts left out."""
+    def terms(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of every term of consecutive texts, duplicates kept, and their bytes in lower case.
+
+        ``first``: where the texts begin, empty ones left out.
+        """
         n = len(data)
         if n >= self.size:
             self.size = max(n + 1, SLICE_BYTES + 1)
@@ -136,7 +139,7 @@ class Hasher:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[low] * self.up[:n], out=total[1:])
         value = (total[ends] - total[starts]) * self.down[starts]
-        return starts, _mix(value + (ends - starts).astype(np.uint64) * _MIX[0])
+        return starts, ends, _mix(value + (ends - starts).astype(np.uint64) * _MIX[0]), low
 
 
 def term_hashes(terms: pa.Array) -> np.ndarray:
@@ -150,8 +153,8 @@ def term_hashes(terms: pa.Array) -> np.ndarray:
     return _mix(out + sizes * _MIX[0]) & HASH_MASK
 
 
-def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row ranges [i, j) of a column of plain texts with the row (from i), hash and count of their distinct terms, and all terms of each row."""
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges [i, j) of a column of texts with their bytes and where each row begins in them (and the last ends)."""
     raw = column.cast(pa.binary())
     size = len(raw)
     bounds = np.frombuffer(raw.buffers()[1] or bytes(4), dtype=np.int32)[raw.offset : raw.offset + size + 1].astype(np.int64)
@@ -159,9 +162,49 @@ def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int,
     i = 0
     while i < size:
         j = min(max(int(np.searchsorted(bounds, bounds[i] + SLICE_BYTES, side="right")) - 1, i + 1), size, i + SLICE_ROWS)
-        text, first = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        yield i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        i = j
+
+
+def term_postings(column: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of a column of plain texts, where the postings of each begin, and row and count of every posting."""
+    rows, counts, hashes, begins, sizes, texts, done = [], [], [], [], [], [], 0
+    for i, _, text, first in _slices(column):
+        if not len(text):
+            continue
+        starts, ends, value, low = hasher.terms(text, np.unique(first[first < len(text)]))
+        row = np.searchsorted(first, starts, side="right") - 1
+        key = (row.astype(np.uint64) << _ROW) | (value & HASH_MASK)
+        order = np.argsort(key)
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+        one = order[heads]  # any of its occurrences stands for a term
+        rows.append(row[one] + i)
+        counts.append(np.diff(np.append(heads, len(key))))
+        hashes.append(value[one])
+        begins.append(starts[one] + done)
+        sizes.append(ends[one] - starts[one])
+        texts.append(low)
+        done += len(low)
+    if not rows:
+        none = np.zeros(0, dtype=np.int64)
+        return pa.array([], pa.string()), none, none, none
+    rows, counts, hashes, begins, sizes, texts = map(np.concatenate, (rows, counts, hashes, begins, sizes, texts))
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, dtype=np.int64)
+    begins, sizes = begins[order[heads]], sizes[order[heads]]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    letters = texts[np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    terms = pa.StringArray.from_buffers(len(heads), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters))
+    return terms, heads, rows[order], counts[order]
+
+
+def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ranges [i, j) of a column of plain texts with the row (from i), hash and count of their distinct terms, and all terms of each row."""
+    for i, j, text, first in _slices(column):
         if len(text):
-            starts, value = hasher.terms(text, np.unique(first[first < len(text)]))
+            starts, _, value, _ = hasher.terms(text, np.unique(first[first < len(text)]))
             row = np.searchsorted(first, starts, side="right") - 1
             key = np.sort((row.astype(np.uint64) << _ROW) | (value & HASH_MASK))
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
@@ -170,4 +213,3 @@ def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int,
         else:
             none = np.zeros(0, dtype=np.int64)
             yield i, j, none, none.astype(np.uint64), none, np.zeros(j - i, dtype=np.int64)
-        i = j

@@ -216,7 +216,12 @@ def cut_text(ranges: DataFrame, sources: DataFrame, keep: tuple[str, ...] = ())
     Lines outside the source are not counted in ``lines``. One source is bounded by the file-size limit.
     """
     listed = ranges.groupBy("source_id").agg(F.collect_list(F.struct(*RANGE_COLUMNS)).alias("ranges"))
-    met = sources.select("source_id", *keep, "first_line", "last_line", F.col("text").alias("_text")).join(listed, "source_id")
+    return cut_listed(sources.join(listed, "source_id"), keep)
+
+
+def cut_listed(sources: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`cut_text`, of sources that hold their ``ranges`` as a list."""
+    met = sources.select("source_id", *keep, "first_line", "last_line", F.col("text").alias("_text"), "ranges")
 
     def piece(rows: Column, r: Column) -> Column:
         low = F.greatest(r["start_line"] - F.col("first_line") + 1, F.lit(1))

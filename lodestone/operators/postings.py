@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.plain import Hasher, term_postings
+
 _PACKED = "field string, term string, numbers array<long>, tfs array<int>"
 
 
@@ -41,6 +43,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(pa.array([name] * len(heads), pa.string()), terms, heads, number[keys % size], counts)
 
 
+def _count_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher()
+    for batch in batches:
+        number = batch.column("number").to_numpy()
+        for name in ("title", "body"):
+            terms, heads, rows, counts = term_postings(batch.column(f"{name}_source"), hasher)
+            if len(terms):
+                yield _rows(pa.array([name] * len(heads), pa.string()), terms, heads, number[rows], counts)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -58,6 +70,11 @@ def counted(table: DataFrame) -> DataFrame:
     return table.select("number", "title_terms", "body_terms").mapInArrow(_count, _PACKED)
 
 
+def counted_plain(texts: DataFrame) -> DataFrame:
+    """As :func:`counted`, of plain texts (number, title_source, body_source)."""
+    return texts.select("number", "title_source", "body_source").mapInArrow(_count_plain, _PACKED)
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """Packed form of postings (number, field, term, tf)."""
     return rows.select("number", "field", "term", F.col("tf").cast("int").alias("tf")).mapInArrow(_pack, _PACKED)

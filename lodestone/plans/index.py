@@ -40,23 +40,27 @@ from ..functions.text import chunk_id, content_hash, is_blank, retrieval_text, t
 from ..operators import chunking, lexical, maintenance, postings as postings_form
 from ..functions.segmentation import HanDictionary
 from ..operators.structure import structure_ranges
-from ..session import spread
+from ..session import BROADCAST_ROW_LIMIT, small_side, spread
 from ..sources.embedding import EmbeddingProvider, embed_texts, usage_ledger
 
-# Chunks of a segment for each term bucket, and the most buckets: a small segment is one folder, not dozens.
-BUCKET_CHUNKS, TERM_BUCKETS = 50_000, 1024
+# Chunks of a segment for each term bucket, and the most buckets: a task writes one file a bucket, and these shall not be tiny.
+BUCKET_CHUNKS, TERM_BUCKETS = 200_000, 64
 # Segments of like size that are merged into one.
 MERGE_FACTOR = 4
 # Term filters reach the scan up to this many terms; beyond, buckets alone prune.
 TERM_FILTER = 5_000
+POSTING_COLUMNS = "field string, term string, number long, tf int"
 TOKENIZER_VERSION = "words-identifiers-han-bigrams-2"  # 2: postings name chunks by number
 
 ChunkerFn = Callable[[DataFrame], DataFrame]
 CHUNKERS: dict[str, tuple[str, ChunkerFn]] = {}
+# Chunkers whose ranges are an expression of the source's row: its text then meets them without a join.
+ROW_CHUNKERS: dict[str, Callable[[], Column]] = {}
 
 
 def register_chunker(name: str, version: str, fn: ChunkerFn) -> None:
     """Add a chunker: sources (source_id, first_line, text) to line ranges."""
+    ROW_CHUNKERS.pop(name, None)
     if not name or not version or not callable(fn):
         raise ValueError("A chunker needs a name, a version and a function")
     CHUNKERS[name] = (version, fn)
@@ -98,6 +102,13 @@ def _whole(sources: DataFrame) -> DataFrame:
     )
 
 
+def _whole_ranges() -> Column:
+    """The range of :func:`_whole` as a list."""
+    none = F.lit(None).cast("int")
+    values = (F.col("first_line"), F.col("last_line"), F.array().cast("array<string>"), none, none)
+    return F.when(~is_blank("text"), F.array(F.struct(*[v.alias(c) for c, v in zip(chunking.RANGE_COLUMNS, values, strict=True)])))
+
+
 register_chunker("structure", "1", functools.partial(_with_first_line, structure_ranges))
 for _size in (1000, 500):
     register_chunker(
@@ -105,6 +116,7 @@ for _size in (1000, 500):
     )
 register_chunker("paragraph", "1", _paragraphs)
 register_chunker("whole", "1", _whole)
+ROW_CHUNKERS["whole"] = _whole_ranges
 
 
 def _heading_without_bare(sources: DataFrame) -> DataFrame:
@@ -275,26 +287,33 @@ class EvidenceIndex:
         return out
 
     def described_postings(self, state: dict, terms: list[tuple[str, int]] | None = None) -> DataFrame:
-        """:meth:`postings` with the id, source and lengths of their chunks: what the lexical lane scores."""
+        """:meth:`postings` with the id, source and lengths of their chunks."""
         return self.postings(state, terms).join(self._numbered_lengths(state, state["segments"]), "number").drop("number")
 
     def _numbered_lengths(self, state: dict, segments: list[dict], key: str | None = None) -> DataFrame:
         return self._live(state, [(s, s["terms"][key or self.profile.term_key] + "/lengths") for s in segments])
 
+    def numbered_lengths(self, state: dict) -> DataFrame:
+        """Number, id, source and lengths of the live chunks."""
+        return self._numbered_lengths(state, state["segments"])
+
     def lengths(self, state: dict) -> DataFrame:
-        return self._numbered_lengths(state, state["segments"]).drop("number")
+        return self.numbered_lengths(state).drop("number")
 
     def vectors(self, state: dict, vector_key: str) -> DataFrame:
         return self._live(state, [(s, s["vectors"][vector_key]) for s in state["segments"]])
 
     # --- sync ------------------------------------------------------------------------------
     def _write_chunks(self, sources: DataFrame, path: str) -> None:
-        ranges = CHUNKERS[self.profile.chunker][1](sources)
-        cut = chunking.cut_text(ranges, sources, keep=("collection_id", "path", "relative_path", "source_version"))
+        keep = ("collection_id", "path", "relative_path", "source_version")
+        if self.profile.chunker in ROW_CHUNKERS:
+            cut = chunking.cut_listed(sources.withColumn("ranges", ROW_CHUNKERS[self.profile.chunker]()), keep)
+        else:
+            cut = chunking.cut_text(CHUNKERS[self.profile.chunker][1](sources), sources, keep)
         checked = cut.withColumn("rule", chunking.broken_rule()).drop("lines", "first_line", "last_line")
         rows = checked.withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("start_line"), F.col("end_line"), F.col("text")))
         # Cut once: the rule that a row breaks is written beside it and looked up afterwards.
-        rows.withColumn("number", postings_form.chunk_number()).write.mode("errorifexists").parquet(path)
+        rows.withColumn("number", postings_form.chunk_number()).write.mode("errorifexists").option("compression", "zstd").parquet(path)
         broken = self.spark.read.parquet(path).filter(F.col("rule").isNotNull()).select("source_id", "rule").first()
         if broken:
             self.folder.drop(path)
@@ -302,15 +321,23 @@ class EvidenceIndex:
 
     def _write_terms(self, chunks: DataFrame, path: str, buckets: int) -> None:
         title = title_text(F.col("path"), F.col("heading_path"))
-        keep = ("number", "source_id", "collection_id", "relative_path")
-        table = lexical.term_table(spread(chunks, "number"), title=title, keep=keep, dictionary=self.profile.dictionary, han=self.profile.han)
-        table.select("chunk_id", *keep, "title_len", "body_len", "total_len").write.mode("errorifexists").parquet(path + "/lengths")
-        self._write_postings(postings_form.counted(table), path, buckets)
-
-    def _write_postings(self, packed: DataFrame, path: str, buckets: int) -> None:
-        # Range partitions split a hot term over several tasks; files stay sorted by term.
+        table = lexical.term_table(spread(chunks, "number"), title=title, keep=("number",), dictionary=self.profile.dictionary, han=self.profile.han)
+        plain, listed = lexical.split_plain(table, ("number",))
+        found = postings_form.counted(listed)
+        # Texts are read once and nothing is shuffled: each task writes its own files, and lengths are sums of its postings.
+        self._write_postings(found if plain is None else found.unionByName(postings_form.counted_plain(plain)), path, buckets, merged=False)
+        rows = self.spark.read.schema(POSTING_COLUMNS).parquet(path + "/postings")
+        one = lambda name: F.count(F.when(F.col("field") == name, True)).cast("int").alias(f"{name}_len")
+        sums = rows.groupBy("number").agg(one("title"), one("body"), F.sum("tf").cast("int").alias("total_len"))
+        known = chunks.select("chunk_id", "number", "source_id", "collection_id", "relative_path")
+        lengths = known.join(sums, "number", "left").fillna(0, ["title_len", "body_len", "total_len"])
+        lengths.select(*known.columns, *sums.columns[1:]).write.mode("errorifexists").parquet(path + "/lengths")
+
+    def _write_postings(self, packed: DataFrame, path: str, buckets: int, merged: bool) -> None:
         keyed = packed.withColumns({"bucket": F.pmod(term_hash(F.col("term")), F.lit(buckets)).cast("int"), "first": F.col("numbers")[0]})
-        arranged = keyed.repartitionByRange("bucket", "term", "first").sortWithinPartitions("bucket", "term", "first")
+        # Files are sorted by term. Where segments are merged, range partitions split a hot term over several tasks.
+        keyed = keyed.repartitionByRange("bucket", "term", "first") if merged else keyed
+        arranged = keyed.sortWithinPartitions("bucket", "term", "first")
         postings_form.unpacked(arranged, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
 
     def _write_vectors(self, chunks: DataFrame, provider: EmbeddingProvider, path: str, stored: list[str]) -> dict:
@@ -345,14 +372,15 @@ class EvidenceIndex:
         """
         revision = new_revision()
         scanned = f"{self.home}/scans/{revision}"
+        forget = lambda: self.folder.drop(scanned)
         try:
             # Files are read and parsed once; every later step sees the same sources.
-            sources.write.mode("errorifexists").parquet(scanned)
-            return self._sync(self.spark.read.schema(sources.schema).parquet(scanned), revision, provider, rescan, remove_missing)
+            sources.write.mode("errorifexists").option("compression", "zstd").parquet(scanned)
+            return self._sync(self.spark.read.schema(sources.schema).parquet(scanned), revision, provider, rescan, remove_missing, forget)
         finally:
-            self.folder.drop(scanned)
+            forget()
 
-    def _sync(self, sources: DataFrame, revision: str, provider, rescan, remove_missing: bool) -> dict:
+    def _sync(self, sources: DataFrame, revision: str, provider, rescan, remove_missing: bool, forget: Callable[[], None]) -> dict:
         columns = ("collection_id", "path", "relative_path", "source_version")
         repeated = maintenance.duplicates(sources, "source_id").first()
         if repeated:
@@ -368,15 +396,24 @@ class EvidenceIndex:
         diff.write.mode("errorifexists").parquet(f"{self.home}/sources/{revision}-diff")
         diff = self.spark.read.parquet(f"{self.home}/sources/{revision}-diff")
         counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}  # four rows at most
-        touched = diff.filter(F.col("change").isin("added", "updated")).select("source_id")
         lost = ["updated", "removed"] if remove_missing else ["updated"]
         # At most one row for each segment.
         dead = {r["old_segment"] for r in diff.filter(F.col("change").isin(lost)).select("old_segment").distinct().collect()}
         segments = [dict(s, terms=dict(s["terms"]), vectors=dict(s["vectors"]), dead=s["dead"] or s["id"] in dead) for s in state["segments"]]
         if counts.get("added", 0) + counts.get("updated", 0):
             base = f"{self.home}/segments/{revision}"
-            self._write_chunks(sources.join(touched, "source_id", "left_semi"), base + "/chunks")
+            self._write_chunks(_touched(sources, diff, counts), base + "/chunks")
             segments.append(self._segment(revision))
+        current = sources.select("source_id", *columns).join(
+            diff.select("source_id", F.when(F.col("change") == "unchanged", F.col("old_segment")).otherwise(F.lit(revision)).alias("segment")),
+            "source_id",
+        )
+        if not remove_missing:
+            gone = diff.filter("change = 'removed'").select("source_id")
+            current = current.unionByName(previous.select(*current.columns).join(gone, "source_id", "left_semi"))
+        current.write.mode("errorifexists").parquet(f"{self.home}/sources/{revision}")
+        seen = maintenance.fingerprint(sources, "source_id", *columns).first()["fingerprint"] if rescan is not None else None
+        forget()  # the chunks hold the texts from here on
         usage = None
         vector_key = self.profile.vector_key(provider) if provider else None
         for segment in segments:
@@ -392,21 +429,11 @@ class EvidenceIndex:
                 spent = self._write_vectors(chunks, provider, path, stored)
                 usage = spent if usage is None else add_usage(usage, spent)
                 segment["vectors"][vector_key] = path
-        current = sources.select("source_id", *columns).join(
-            diff.select("source_id", F.when(F.col("change") == "unchanged", F.col("old_segment")).otherwise(F.lit(revision)).alias("segment")),
-            "source_id",
-        )
-        if not remove_missing:
-            gone = diff.filter("change = 'removed'").select("source_id")
-            current = current.unionByName(previous.select(*current.columns).join(gone, "source_id", "left_semi"))
-        current.write.mode("errorifexists").parquet(f"{self.home}/sources/{revision}")
         live = self.spark.read.parquet(f"{self.home}/sources/{revision}")
         corpus = maintenance.fingerprint(live, "source_id", *columns).first()["fingerprint"]
         if rescan is not None:
             again = maintenance.fingerprint(rescan(), "source_id", *columns).first()["fingerprint"]
-            if again != maintenance.fingerprint(sources, "source_id", *columns).first()["fingerprint"] or (
-                remove_missing and again != corpus
-            ):
+            if again != seen or (remove_missing and again != corpus):
                 raise RetrievalError("BUSY", "The source files changed while syncing", "Sync again when nothing writes to the folder")
         removed = counts.get("removed", 0) if remove_missing else 0
         now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
@@ -463,7 +490,7 @@ class EvidenceIndex:
             for s in members:
                 rows = self._live_postings(started, s, key).select("number", "field", "term", "tf")
                 kept = rows if kept is None else kept.unionByName(rows)
-            self._write_postings(postings_form.packed(kept), path, merged["buckets"])
+            self._write_postings(postings_form.packed(kept), path, merged["buckets"], merged=True)
         for key in set.intersection(*[set(s["vectors"]) for s in members]):
             path = merged["vectors"][key] = f"{base}/vectors-{key[:20]}-{revision}"
             self._live(started, [(s, s["vectors"][key]) for s in members]).write.mode("errorifexists").parquet(path)
@@ -538,6 +565,17 @@ class EvidenceIndex:
         return out
 
 
+def _touched(sources: DataFrame, diff: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """Added and updated sources; the texts stay where they are if their ids, or those of the others, are few."""
+    changed, same = counts.get("added", 0) + counts.get("updated", 0), counts.get("unchanged", 0)
+    if not same:
+        return sources
+    few = min(changed, same) <= BROADCAST_ROW_LIMIT
+    kinds, how = (("added", "updated"), "left_semi") if changed <= same else (("unchanged",), "left_anti")
+    ids = diff.filter(F.col("change").isin(*kinds)).select("source_id")
+    return sources.join(small_side(ids, few), "source_id", how)
+
+
 def add_usage(a: dict, b: dict) -> dict:
     """Sum of two ledgers; a total that one of them does not know stays unknown."""
     return {k: None if a[k] is None or b[k] is None else a[k] + b[k] for k in a}

@@ -99,11 +99,11 @@ class SearchEngine:
             dictionary, han = self.index.profile.dictionary, self.index.profile.han
             wanted = lexical.query_terms(expressions, keys=KEYS, dictionary=dictionary, han=han)
             terms = [(r["term"], r["h"]) for r in wanted.select("term", term_hash(F.col("term")).alias("h")).distinct().collect()]
-            lengths = self.index.lengths(state)
+            lengths = self.index.numbered_lengths(state)
             stats = lexical.corpus_stats(lengths)
             ranked = lexical.lexical_lane(
                 None, expressions, options, keys=KEYS, keep=keep, allowed=allowed, stats=stats,
-                counted=self.index.described_postings(state, terms), chunks=lengths, dictionary=dictionary, han=han,
+                counted=self.index.postings(state, terms), numbered=lengths, chunks=lengths, dictionary=dictionary, han=han,
             )
             lanes = fusion.tag_lane(ranked, "bm25")
         if options.mode != "bm25":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import ORACLE, QUERIES
 from lodestone.config import RetrievalOptions
 from lodestone.functions import plain
-from lodestone.operators import lexical as lx, matching
+from lodestone.operators import lexical as lx, matching, postings
 from lodestone.plans.index import EvidenceIndex, IndexProfile
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,3 +109,40 @@ def test_plain_texts_have_the_terms_of_the_expression(spark, monkeypatch):
                 hits.update(number[t] + found.size for t in (r["title_terms"] if title else ()) if t in number)
                 want[r["chunk_id"]] = (r["title_len"], r["body_len"], r["total_len"], sorted(hits.items()))
             assert got == want
+
+
+def test_postings_of_plain_texts_are_those_of_their_lists(spark, monkeypatch):
+    """Index terms cut out of the bytes are the terms and counts of ``tokenize``, in slices of any size."""
+    rng = random.Random(7)
+    signs = list("aBcDEf09_.,;'$- \n\té×÷ÀÞßÿ") + ["AB", "fooBar", "x1Y", "a.b", "don't", "naïve", "Ñu"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(300)] + ["", "_", "a"]
+    rows = [(i, t, rng.choice(texts[:40]), i) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "chunk_id int, text string, title string, number long").repartition(3)
+    table = lx.term_table(frame, title=F.col("title"), keep=("number",))
+    held = lambda df: sorted(map(tuple, postings.unpacked(df).collect()))
+    want = held(postings.counted(table))
+    for size in (1, 1 << 18):
+        monkeypatch.setattr(plain, "SLICE_BYTES", size)
+        assert held(postings.counted_plain(lx.split_plain(table, ("number",))[0])) == want
+
+
+def test_sync_stores_texts_once_and_search_moves_numbers(spark, tmp_path, monkeypatch):
+    """The copy of the sources is gone before terms are written, lengths are sums of postings, only numbers of matches are shuffled."""
+    rows = [(str(i), False, "c", f"/{i}.md", f"{i}.md", t, 1, 1, t) for i, t in enumerate(["red red blue", "green 数据", "...", " "])]
+    kinds = "source_id string, has_identity boolean, collection_id string, path string, relative_path string, source_version string, first_line int, last_line int, text string"
+    index, seen = EvidenceIndex(spark, str(tmp_path), IndexProfile("whole")), []
+    write = EvidenceIndex._write_terms
+    monkeypatch.setattr(EvidenceIndex, "_write_terms", lambda self, *a: (seen.extend(self.folder.names(f"{self.home}/scans")), write(self, *a)))
+    index.sync(spark.createDataFrame(rows, kinds))
+    assert seen == []  # the texts lay there a second time
+    state = index.state()
+    lengths = {r["source_id"]: (r["title_len"] > 0, r["body_len"], r["total_len"] - r["title_len"]) for r in index.lengths(state).collect()}
+    assert {k: v[:2] for k, v in lengths.items()} == {"0": (True, 2), "1": (True, 2), "2": (True, 0)}
+    kept = []
+    monkeypatch.setattr(matching, "stored", lambda df, label: kept.append(df) or df)
+    asked = spark.createDataFrame([(1, "red green")], "query_id int, text string")
+    numbered = index.numbered_lengths(state)
+    lane = lx.lexical_lane(None, asked, counted=index.postings(state), numbered=numbered, stats=lx.corpus_stats(numbered))
+    assert lane.count() == 2
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [number") < plan.index("Relation [field")  # postings carried ids and lengths into the exchange
