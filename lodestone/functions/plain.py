@@ -64,28 +64,52 @@ def _shifted(flags: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
     return before, behind
 
 
+def _lower(data: np.ndarray, *flags: np.ndarray) -> np.ndarray:
+    """Bytes in lower case; the two signs among the letters lose their ``flags``."""
+    low, odd = _DOWN[data], np.flatnonzero(data[:-1] == 0xC3)
+    if len(odd):
+        behind = data[odd + 1]
+        signs = odd[(behind == 0x97) | (behind == 0xB7)]
+        low[odd + 1] += np.where((behind <= 0x9E) & (behind != 0x97), 0x20, 0).astype(np.uint8)
+        for at in (signs, signs + 1):
+            for flag in flags:
+                flag[at] = False
+    return low
+
+
 class Hasher:
     def __init__(self) -> None:
         self.size = 0
 
+    def _hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(low)
+        if n >= self.size:
+            self.size = max(n + 1, SLICE_BYTES + 1)
+            self.up, self.down = _powers(_BASE, self.size), _powers(pow(_BASE, -1, 1 << 64), self.size)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[low] * self.up[:n], out=total[1:])
+        value = (total[ends] - total[starts]) * self.down[starts]
+        return _mix(value + (ends - starts).astype(np.uint64) * _MIX[0])
+
+    def words(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every run of two or more letters, digits and underscores, in lower case; ``first`` as in :meth:`terms`."""
+        word = _WORD[data]
+        low = _lower(data, word)
+        before, behind = _shifted(word, first, np.append(first[1:], len(data)) - 1)
+        starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~behind) + 1
+        long = ends - starts > np.where(data[starts] == 0xC3, 2, 1)
+        starts, ends = starts[long], ends[long]
+        return starts, self._hashes(low, starts, ends)
+
     def terms(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of every term of consecutive texts, duplicates kept, and their bytes in lower case.
 
         ``first``: where the texts begin, empty ones left out.
         """
         n = len(data)
-        if n >= self.size:
-            self.size = max(n + 1, SLICE_BYTES + 1)
-            self.up, self.down = _powers(_BASE, self.size), _powers(pow(_BASE, -1, 1 << 64), self.size)
         last = np.append(first[1:], n) - 1
-        low = _DOWN[data]
-        letter, word, odd = _LETTER[data], _WORD[data], np.flatnonzero(data[:-1] == 0xC3)
-        if len(odd):
-            behind = data[odd + 1]
-            signs = odd[(behind == 0x97) | (behind == 0xB7)]
-            low[odd + 1] += np.where((behind <= 0x9E) & (behind != 0x97), 0x20, 0).astype(np.uint8)
-            for at in (signs, signs + 1):
-                letter[at], word[at] = False, False
+        letter, word = _LETTER[data], _WORD[data]
+        low = _lower(data, letter, word)
         joiner = np.flatnonzero(_JOINER[data])
         if len(joiner):
             inside = joiner[(joiner > 0) & (joiner < n - 1)]
@@ -136,13 +160,10 @@ class Hasher:
             kept[outside] = within
             part, close = part[kept], close[kept]
         starts, ends = np.concatenate((starts, begin, part)), np.concatenate((ends, stop, close))
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[low] * self.up[:n], out=total[1:])
-        value = (total[ends] - total[starts]) * self.down[starts]
-        return starts, ends, _mix(value + (ends - starts).astype(np.uint64) * _MIX[0]), low
+        return starts, ends, self._hashes(low, starts, ends), low
 
 
-def term_hashes(terms: pa.Array) -> np.ndarray:
+def term_hashes(terms: pa.Array, mask: np.uint64 = HASH_MASK) -> np.ndarray:
     """Hashes of whole terms, each as one."""
     out, sizes = np.zeros(len(terms), dtype=np.uint64), np.zeros(len(terms), dtype=np.uint64)
     for i, term in enumerate(terms.to_pylist()):
@@ -150,7 +171,7 @@ def term_hashes(terms: pa.Array) -> np.ndarray:
         if len(raw):
             out[i] = (_BYTE[raw] * _powers(_BASE, len(raw))).sum(dtype=np.uint64)
             sizes[i] = len(raw)
-    return _mix(out + sizes * _MIX[0]) & HASH_MASK
+    return _mix(out + sizes * _MIX[0]) & mask
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -200,6 +221,24 @@ def term_postings(column: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarra
     return terms, heads, rows[order], counts[order]
 
 
+def word_counts(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of the distinct words of each row of plain texts, by row and then by hash."""
+    rows, hashes, counts = ([np.zeros(0, dtype=t)] for t in (np.int64, np.uint64, np.int64))
+    for i, _, text, first in _slices(column):
+        if not len(text):
+            continue
+        starts, value = hasher.words(text, np.unique(first[first < len(text)]))
+        row = np.searchsorted(first, starts, side="right") - 1
+        key = (row.astype(np.uint64) << _ROW) | (value & HASH_MASK)
+        order = np.argsort(key)
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+        rows.append(row[order[heads]] + i)
+        hashes.append(value[order[heads]])
+        counts.append(np.diff(np.append(heads, len(key))))
+    return tuple(map(np.concatenate, (rows, hashes, counts)))
+
+
 def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row ranges [i, j) of a column of plain texts with the row (from i), hash and count of their distinct terms, and all terms of each row."""
     for i, j, text, first in _slices(column):

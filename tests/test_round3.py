@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import ORACLE, QUERIES
 from lodestone.config import RetrievalOptions
 from lodestone.functions import plain
-from lodestone.operators import lexical as lx, matching, postings
+from lodestone.operators import baselines, lexical as lx, matching, postings
 from lodestone.plans.index import EvidenceIndex, IndexProfile
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -146,3 +146,20 @@ def test_sync_stores_texts_once_and_search_moves_numbers(spark, tmp_path, monkey
     assert lane.count() == 2
     plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [number") < plan.index("Relation [field")  # postings carried ids and lengths into the exchange
+
+
+@pytest.mark.parametrize("limits", [{}, {"FREQUENT": 3, "ASKED": 9}])
+def test_closest_paragraph_counts_terms_within_tasks(spark, tmp_path, monkeypatch, limits):
+    """Plain and other texts, copies that tie, rare terms behind a join, questions in blocks: as the SQL; no task holds a language."""
+    for name, value in limits.items():
+        monkeypatch.setattr(baselines, name, value)
+    rng = random.Random(3)
+    words = "Red green_1 BLUE x 12 cyan Été ÷ lime 数据 café a-b don't ÿÿ é".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(40)] + ["red lime"] * 4 + [None, "", "é x"]
+    rows = [(i * 3, t, rng.choice(["de", "en", "es", None]), "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCUMENTS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(i, " ".join(rng.choices(words, k=3))) for i in range(30)] + [(30, "x"), (31, "unknown words"), (32, "red red lime")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    equals_sql(spark, "tfidf_paragraph", str(tmp_path), ("documents", "benchmark"))
+    plan = QUERIES["tfidf_paragraph"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Window" not in plan
