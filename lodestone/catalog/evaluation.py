@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..config import RetrievalOptions
 from ..operators import chunking, coverage, dense, lexical as lx, metrics
 from ..operators.bootstrap import paired_bootstrap
-from ..functions.text import chunk_id
-from ..session import cut_lineage
+from ..functions.text import LINE_BREAK, chunk_id
+from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
 from .common import (
     SQL_CENTROIDS, SQL_HYBRID, SQL_PASSAGE_SCORES, SQL_PASSAGE_TERMS, passages, register, sql_bm25plus,
     sql_tokens, spread, table, vectors,
@@ -71,11 +71,10 @@ _DOC_COVER = f"""with {SQL_PASSAGE_SCORES}, {SQL_LOCATED},
 def evaluation_rows(spark, sf_dir):
     """One row per passage: what a top-10 BM25+ request over documents returned and covered."""
     docs = table(spark, sf_dir, "documents")
+    lane = passage_lane(spark, sf_dir, BODY_ONLY.override({"bm25_candidates": 10})).withColumnRenamed("source_id", "source")
+    few = fits(passages(spark, sf_dir), BROADCAST_ROW_LIMIT // 10)  # ten rows a passage meet the texts where they lie
     pieces = cut_lineage(
-        passage_lane(spark, sf_dir, BODY_ONLY.override({"bm25_candidates": 10}))
-        .withColumnRenamed("source_id", "source")
-        .join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
-        .withColumn("source_id", F.col("chunk_id"))
+        docs.select(F.col("doc_id").alias("chunk_id"), "text").join(small_side(lane, few), "chunk_id").withColumn("source_id", F.col("chunk_id"))
     )
     found = located(spark, sf_dir)
     facts = found.groupBy("passage_id").agg(F.min("source_id").alias("source_id"), F.min("passage").alias("text")).withColumnRenamed(
@@ -214,7 +213,8 @@ def line_chunks(spark, sf_dir):
     """Documents cut into runs of whole lines of at most 1000 characters, with chunk ids."""
     sources = document_sources(spark, sf_dir)
     ranges = chunking.heading_line_ranges(sources, 1000)
-    chunks = chunking.attach_text(ranges, chunking.source_lines(sources))
+    known = sources.withColumns({"first_line": F.lit(1), "last_line": F.size(F.split("text", LINE_BREAK, -1))})
+    chunks = chunking.cut_text(ranges, known)  # a text meets its ranges once, no line is a row of a join
     return chunks.withColumn(
         "chunk_id", chunk_id(F.col("source_id").cast("string"), F.col("start_line"), F.col("end_line"), F.col("text"))
     )
@@ -248,8 +248,9 @@ def chunk_run(spark, sf_dir):
     chunks = cut_lineage(line_chunks(spark, sf_dir))
     terms = lx.term_table(chunks)
     lane = lx.lexical_lane(terms, passages(spark, sf_dir), BODY_ONLY.override({"bm25_candidates": 10}), title=False)
+    few = fits(passages(spark, sf_dir), BROADCAST_ROW_LIMIT // 10)
     pieces = cut_lineage(
-        lane.join(chunks.select("chunk_id", "source_id", "start_line", "end_line", "text"), "chunk_id")
+        chunks.select("chunk_id", "source_id", "start_line", "end_line", "text").join(small_side(lane, few), "chunk_id")
     )
     anchors = cut_lineage(fact_anchors(spark, sf_dir))
     lines = chunking.source_lines(document_sources(spark, sf_dir))

@@ -81,13 +81,22 @@ class Hasher:
     def __init__(self) -> None:
         self.size = 0
 
-    def _hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(low)
+    def _sums(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
         if n >= self.size:
             self.size = max(n + 1, SLICE_BYTES + 1)
             self.up, self.down = _powers(_BASE, self.size), _powers(pow(_BASE, -1, 1 << 64), self.size)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[low] * self.up[:n], out=total[1:])
+        np.cumsum(_BYTE[data] * self.up[:n], out=total[1:])
+        return total
+
+    def windows(self, data: np.ndarray, width: int) -> np.ndarray:
+        """Hash of the ``width`` bytes from each place on."""
+        total = self._sums(data)
+        return (total[width:] - total[:-width]) * self.down[: max(0, len(data) - width + 1)]
+
+    def _hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = self._sums(low)
         value = (total[ends] - total[starts]) * self.down[starts]
         return _mix(value + (ends - starts).astype(np.uint64) * _MIX[0])
 
@@ -174,7 +183,7 @@ def term_hashes(terms: pa.Array, mask: np.uint64 = HASH_MASK) -> np.ndarray:
     return _mix(out + sizes * _MIX[0]) & mask
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges [i, j) of a column of texts with their bytes and where each row begins in them (and the last ends)."""
     raw = column.cast(pa.binary())
     size = len(raw)
@@ -190,7 +199,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 def term_postings(column: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct terms of a column of plain texts, where the postings of each begin, and row and count of every posting."""
     rows, counts, hashes, begins, sizes, texts, done = [], [], [], [], [], [], 0
-    for i, _, text, first in _slices(column):
+    for i, _, text, first in slices(column):
         if not len(text):
             continue
         starts, ends, value, low = hasher.terms(text, np.unique(first[first < len(text)]))
@@ -224,7 +233,7 @@ def term_postings(column: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarra
 def word_counts(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and count of the distinct words of each row of plain texts, by row and then by hash."""
     rows, hashes, counts = ([np.zeros(0, dtype=t)] for t in (np.int64, np.uint64, np.int64))
-    for i, _, text, first in _slices(column):
+    for i, _, text, first in slices(column):
         if not len(text):
             continue
         starts, value = hasher.words(text, np.unique(first[first < len(text)]))
@@ -241,7 +250,7 @@ def word_counts(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarra
 
 def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row ranges [i, j) of a column of plain texts with the row (from i), hash and count of their distinct terms, and all terms of each row."""
-    for i, j, text, first in _slices(column):
+    for i, j, text, first in slices(column):
         if len(text):
             starts, _, value, _ = hasher.terms(text, np.unique(first[first < len(text)]))
             row = np.searchsorted(first, starts, side="right") - 1

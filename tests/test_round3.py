@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import ORACLE, QUERIES
 from lodestone.config import RetrievalOptions
 from lodestone.functions import plain
-from lodestone.operators import baselines, lexical as lx, matching, postings
+from lodestone.operators import baselines, coverage, lexical as lx, matching, postings
 from lodestone.plans.index import EvidenceIndex, IndexProfile
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -163,3 +163,21 @@ def test_closest_paragraph_counts_terms_within_tasks(spark, tmp_path, monkeypatc
     equals_sql(spark, "tfidf_paragraph", str(tmp_path), ("documents", "benchmark"))
     plan = QUERIES["tfidf_paragraph"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_passages_are_found_by_windows_of_bytes(spark, monkeypatch):
+    """Passages of every length, shared windows, rows that meet only over an edge, passages in blocks; no shingle is a row and no text is shuffled."""
+    monkeypatch.setattr(coverage, "LONG_BYTES", 150)
+    rng = random.Random(8)
+    words = "red green blue数 cyan é lime\n and the".split(" ")
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "x" * 23, "x" * 60]
+    whole = [t for t in texts if t]
+    cut = lambda t, n: t[(i := rng.randint(0, max(0, len(t) - n))) : i + n]
+    passages = [cut(rng.choice(whole), rng.choice([3, 23, 24, 25, 60])) for _ in range(60)] + ["x" * 24, "x" * 61, whole[0][-12:] + whole[1][:12], " " * 30]
+    passages = [p for p in passages if p]
+    documents = spark.createDataFrame(list(enumerate(texts)), "source_id int, text string").repartition(2)
+    found = coverage.locate_passages(documents, spark.createDataFrame(list(enumerate(passages)), "passage_id long, text string"))
+    got = sorted((r["passage_id"], r["source_id"], r["offset"]) for r in found.collect())
+    assert got == sorted((i, j, t.index(p) + 1) for i, p in enumerate(passages) for j, t in enumerate(texts) if t and p in t)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
