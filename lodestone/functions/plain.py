@@ -26,6 +26,20 @@ def is_plain(text: Column) -> Column:
     return F.coalesce((F.octet_length(text) <= MAX_BYTES) & (ascii_ | ~text.rlike("[^\\x00-\\x7F\\u00C0-\\u00FF]")), F.lit(False))
 
 
+def not_plain(column: pa.Array) -> np.ndarray:
+    """Flags of the rows of a column of texts that are null, too long or hold another character, as :func:`is_plain` tells them from plain ones."""
+    out = column.is_null().to_numpy(zero_copy_only=False).copy()
+    for i, j, text, first in slices(column):
+        lead, high = text == 0xC3, text >= 0x80
+        if high.any():
+            pair = lead[:-1] & high[1:] & (text[1:] < 0xC0)
+            high[:-1] &= ~pair
+            high[1:] &= ~pair
+            out[np.searchsorted(first, np.flatnonzero(high), side="right") - 1 + i] = True
+        out[i:j] |= np.diff(first) > MAX_BYTES
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
@@ -47,13 +61,23 @@ def _set(*parts: bytes) -> np.ndarray:
 
 _UPPER, _LOWER, _DIGIT = _set(bytes(range(65, 91))), _set(bytes(range(97, 123))), _set(b"0123456789")
 _LETTER = _UPPER | _LOWER | _set(bytes(range(128, 256)))
-_WORD = _LETTER | _DIGIT | _set(b"_")
 _BOTH, _JOINER = _set(b"'."), _set(b"'.,;")
 _ALPHA, _ALNUM = _UPPER | _LOWER, _UPPER | _LOWER | _DIGIT
 _IDENTIFIER = _ALNUM | _set(b"_.$-")
 _BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MIX[0])
 _DOWN = np.arange(256, dtype=np.uint8)
 _DOWN[65:91] += 32
+# Kinds of a byte as bits, looked up by ``bytes.translate``, which is several times faster than indexing with bytes.
+_KINDS = {"letter": _LETTER, "digit": _DIGIT, "line": _set(b"_"), "joiner": _JOINER, "identifier": _IDENTIFIER, "alpha": _ALPHA, "upper": _UPPER}
+_BIT = {kind: 1 << i for i, kind in enumerate(_KINDS)}
+_KIND = sum(flags.astype(np.uint8) << np.uint8(i) for i, flags in enumerate(_KINDS.values())).astype(np.uint8).tobytes()
+_DOWN_BYTES = _DOWN.tobytes()
+
+
+def _kinds(data: np.ndarray):
+    """Flags of the bytes of any of the named kinds."""
+    kind = np.frombuffer(data.tobytes().translate(_KIND), dtype=np.uint8)
+    return lambda *names: (kind & np.uint8(sum(_BIT[n] for n in names))) != 0
 
 
 def _shifted(flags: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +90,8 @@ def _shifted(flags: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
 
 def _lower(data: np.ndarray, *flags: np.ndarray) -> np.ndarray:
     """Bytes in lower case; the two signs among the letters lose their ``flags``."""
-    low, odd = _DOWN[data], np.flatnonzero(data[:-1] == 0xC3)
+    low = np.frombuffer(bytearray(data.tobytes().translate(_DOWN_BYTES)), dtype=np.uint8)
+    odd = np.flatnonzero(data[:-1] == 0xC3)
     if len(odd):
         behind = data[odd + 1]
         signs = odd[(behind == 0x97) | (behind == 0xB7)]
@@ -87,7 +112,9 @@ class Hasher:
             self.size = max(n + 1, SLICE_BYTES + 1)
             self.up, self.down = _powers(_BASE, self.size), _powers(pow(_BASE, -1, 1 << 64), self.size)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * self.up[:n], out=total[1:])
+        value = _BYTE[data]
+        value *= self.up[:n]
+        np.cumsum(value, out=total[1:])
         return total
 
     def windows(self, data: np.ndarray, width: int) -> np.ndarray:
@@ -102,7 +129,7 @@ class Hasher:
 
     def words(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of every run of two or more letters, digits and underscores, in lower case; ``first`` as in :meth:`terms`."""
-        word = _WORD[data]
+        word = _kinds(data)("letter", "digit", "line")
         low = _lower(data, word)
         before, behind = _shifted(word, first, np.append(first[1:], len(data)) - 1)
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~behind) + 1
@@ -117,42 +144,44 @@ class Hasher:
         """
         n = len(data)
         last = np.append(first[1:], n) - 1
-        letter, word = _LETTER[data], _WORD[data]
+        kinds = _kinds(data)
+        letter, word = kinds("letter"), kinds("letter", "digit", "line")
         low = _lower(data, letter, word)
-        joiner = np.flatnonzero(_JOINER[data])
+        joiner = np.flatnonzero(kinds("joiner"))
         if len(joiner):
             inside = joiner[(joiner > 0) & (joiner < n - 1)]
             edge = np.zeros(n + 1, dtype=bool)
             edge[first] = True
             inside = inside[~edge[inside] & ~edge[inside + 1]]
-            a, b, digit = inside - 1, inside + 1, _DIGIT[data]
+            a, b, digit = inside - 1, inside + 1, kinds("digit")
             word[inside] = (letter[a] & letter[b] & _BOTH[data[inside]]) | (digit[a] & digit[b])
         before, behind = _shifted(word, first, last)
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~behind) + 1
-        line = data == 95
+        line = kinds("line")
         if line.any():
             lines = np.concatenate(([0], np.cumsum(line)))
             real = lines[ends] - lines[starts] < ends - starts
             starts, ends = starts[real], ends[real]
         # Identifiers: of each run of their characters, what follows from the first letter on.
-        run = _IDENTIFIER[data]
+        run = kinds("identifier")
         before, behind = _shifted(run, first, last)
         begin, stop = np.flatnonzero(run & ~before), np.flatnonzero(run & ~behind) + 1
-        alpha = _ALPHA[data]
-        letters = np.append(np.flatnonzero(alpha), n)
-        begin = letters[np.searchsorted(letters, begin)] if len(begin) else begin
-        begin, stop = begin[begin < stop], stop[begin < stop]
+        alpha = kinds("alpha")
+        late = np.flatnonzero(~alpha[begin])
+        if len(late):
+            letters = np.append(np.flatnonzero(alpha), n)
+            begin[late] = letters[np.searchsorted(letters, begin[late])]
+            begin, stop = begin[begin < stop], stop[begin < stop]
         # Their parts, cut at signs and humps.
-        alnum = _ALNUM[data]
+        alnum = kinds("alpha", "digit")
         before, _ = _shifted(alnum, first, last)
         head = alnum & ~before
-        upper = np.flatnonzero(_UPPER[data])
+        upper = np.flatnonzero(kinds("upper"))
         if len(upper):
-            small = _LOWER[data]
             was = upper[before[upper]]  # a letter or digit of the same text stands before
             follows = np.zeros(len(was), dtype=bool)
             room = was < n - 1
-            follows[room] = small[was[room] + 1]
+            follows[room] = _LOWER[data[was[room] + 1]]
             over = np.zeros(n + 1, dtype=bool)
             over[first] = True
             follows &= ~over[was + 1]
@@ -183,6 +212,13 @@ def term_hashes(terms: pa.Array, mask: np.uint64 = HASH_MASK) -> np.ndarray:
     return _mix(out + sizes * _MIX[0]) & mask
 
 
+def _rows(first: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Row of each of the ``starts``, which are a few ascending pieces; ``first``: where each row begins, and where the last ends."""
+    cuts = np.concatenate(([0], np.flatnonzero(starts[1:] < starts[:-1]) + 1, [len(starts)]))
+    rows = np.arange(len(first) - 1)
+    return np.concatenate([np.repeat(rows, np.diff(np.searchsorted(starts[a:b], first))) for a, b in zip(cuts[:-1], cuts[1:])])
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges [i, j) of a column of texts with their bytes and where each row begins in them (and the last ends)."""
     raw = column.cast(pa.binary())
@@ -203,7 +239,7 @@ def term_postings(column: pa.Array, hasher: Hasher) -> tuple[pa.Array, np.ndarra
         if not len(text):
             continue
         starts, ends, value, low = hasher.terms(text, np.unique(first[first < len(text)]))
-        row = np.searchsorted(first, starts, side="right") - 1
+        row = _rows(first, starts)
         key = (row.astype(np.uint64) << _ROW) | (value & HASH_MASK)
         order = np.argsort(key)
         key = key[order]
@@ -237,7 +273,7 @@ def word_counts(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarra
         if not len(text):
             continue
         starts, value = hasher.words(text, np.unique(first[first < len(text)]))
-        row = np.searchsorted(first, starts, side="right") - 1
+        row = _rows(first, starts)
         key = (row.astype(np.uint64) << _ROW) | (value & HASH_MASK)
         order = np.argsort(key)
         key = key[order]
@@ -253,7 +289,7 @@ def counted_terms(column: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int,
     for i, j, text, first in slices(column):
         if len(text):
             starts, _, value, _ = hasher.terms(text, np.unique(first[first < len(text)]))
-            row = np.searchsorted(first, starts, side="right") - 1
+            row = _rows(first, starts)
             key = np.sort((row.astype(np.uint64) << _ROW) | (value & HASH_MASK))
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
             counts = np.diff(np.append(heads, len(key)))
