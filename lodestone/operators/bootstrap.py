@@ -92,6 +92,8 @@ def resample_deltas(pairs: DataFrame, iterations: int = DEFAULT_ITERATIONS, seed
         raise ValueError("seed must be an unsigned 32-bit integer")
     slots = number_groups(cluster_totals(pairs))
     groups = slots.count()
+    if 1 < groups <= BROADCAST_ROW_LIMIT:
+        return _deltas_in_tasks(slots, groups, iterations, seed)
     small = fits(slots, BROADCAST_ROW_LIMIT)
     picked = draws(pairs.sparkSession, groups if groups > 1 else 0, iterations, seed) if groups > 1 else (
         pairs.sparkSession.range(0).select(F.col("id").alias("resample"), F.col("id").alias("slot"))
@@ -131,6 +133,34 @@ def paired_bootstrap(pairs: DataFrame, iterations: int = DEFAULT_ITERATIONS, see
     return out
 
 
+_SUMS = ("expected", "b_covered", "c_covered", "answerable", "b_complete", "c_complete")
+
+
+def _deltas_in_tasks(slots: DataFrame, groups: int, iterations: int, seed: int) -> DataFrame:
+    """As :func:`resample_deltas` for groups few enough to broadcast: a task draws and adds up its resamples, no draw is a row."""
+    spark = slots.sparkSession
+    shared = spark.sparkContext.broadcast(np.column_stack([c.to_numpy() for c in slots.orderBy("slot").select(*_SUMS).toArrow().columns]).astype(np.int64))
+    step = max(1, DRAWS_AT_ONCE // groups)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = shared.value
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                first, last = block * step, min((block + 1) * step, iterations)
+                numbers = np.arange(first * groups, last * groups)
+                picked = np.floor(_uniform(numbers + 1, seed) * groups).astype(np.int64)
+                sums = [totals[:, k][picked].reshape(-1, groups).sum(axis=1) for k in range(len(_SUMS))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), *map(pa.array, sums)], names=["resample", *_SUMS])
+
+    blocks = -(-iterations // step)
+    sums = spark.range(0, blocks, 1, min(blocks, 8 * spark.sparkContext.defaultParallelism)).mapInArrow(emit, ", ".join(f"{c} long" for c in ("resample", *_SUMS)))
+    c = F.col
+    return sums.select(
+        "resample", (c("c_covered") / c("expected") - c("b_covered") / c("expected")).alias("fact_delta"),
+        (c("c_complete") / c("answerable") - c("b_complete") / c("answerable")).alias("complete_delta"),
+    )
+
+
 # --- several scopes in one resampling -----------------------------------------------------
 ITERATION_BLOCK = 256
 DRAWS_AT_ONCE = 1 << 20
