@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..config import RetrievalOptions
 from ..operators import chunking, coverage, dense, lexical as lx, metrics
 from ..operators.bootstrap import paired_bootstrap
-from ..functions.text import LINE_BREAK, chunk_id
-from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side
+from ..session import BROADCAST_ROW_LIMIT, cut_lineage, fits, small_side, stored
 from .common import (
     SQL_CENTROIDS, SQL_HYBRID, SQL_PASSAGE_SCORES, SQL_PASSAGE_TERMS, passages, register, sql_bm25plus,
     sql_tokens, spread, table, vectors,
 )
-from .lexical import _CLAMPED, BODY_ONLY, passage_lane
+from .lexical import _CLAMPED, BODY_ONLY, document_terms, passage_lane
 from .retrieval import centroid_queries, hybrid_pool
 
 # --- facts: passages located in documents ------------------------------------------------
@@ -211,13 +210,7 @@ def document_sources(spark, sf_dir):
 
 def line_chunks(spark, sf_dir):
     """Documents cut into runs of whole lines of at most 1000 characters, with chunk ids."""
-    sources = document_sources(spark, sf_dir)
-    ranges = chunking.heading_line_ranges(sources, 1000)
-    known = sources.withColumns({"first_line": F.lit(1), "last_line": F.size(F.split("text", LINE_BREAK, -1))})
-    chunks = chunking.cut_text(ranges, known)  # a text meets its ranges once, no line is a row of a join
-    return chunks.withColumn(
-        "chunk_id", chunk_id(F.col("source_id").cast("string"), F.col("start_line"), F.col("end_line"), F.col("text"))
-    )
+    return chunking.heading_line_chunks(document_sources(spark, sf_dir), 1000)
 
 
 _CHUNK_RUN = f"""with recursive {SQL_CHUNKS.replace('with recursive w as', 'with recursive w as')}, {SQL_LOCATED}, {SQL_PASSAGE_TERMS},
@@ -245,7 +238,7 @@ _CHUNK_RUN = f"""with recursive {SQL_CHUNKS.replace('with recursive w as', 'with
 
 def chunk_run(spark, sf_dir):
     """Top-10 line chunks per passage with text, plus the anchors and lines to judge them."""
-    chunks = cut_lineage(line_chunks(spark, sf_dir))
+    chunks = stored(line_chunks(spark, sf_dir), "line-chunks")
     terms = lx.term_table(chunks)
     lane = lx.lexical_lane(terms, passages(spark, sf_dir), BODY_ONLY.override({"bm25_candidates": 10}), title=False)
     few = fits(passages(spark, sf_dir), BROADCAST_ROW_LIMIT // 10)
@@ -253,7 +246,9 @@ def chunk_run(spark, sf_dir):
         chunks.select("chunk_id", "source_id", "start_line", "end_line", "text").join(small_side(lane, few), "chunk_id")
     )
     anchors = cut_lineage(fact_anchors(spark, sf_dir))
-    lines = chunking.source_lines(document_sources(spark, sf_dir))
+    held = anchors.select("source_id").distinct()  # lines are looked up in the sources that hold a fact only
+    holding = document_sources(spark, sf_dir).join(small_side(held, fits(held, BROADCAST_ROW_LIMIT)), "source_id", "left_semi")
+    lines = chunking.source_lines(holding)
     required = anchors.select(F.col("fact_id").alias("query_id"), "fact_id").distinct()
     return pieces, anchors, lines, required
 
@@ -442,9 +437,10 @@ def median_by_type(spark, sf_dir):
 # --- paired comparison: BM25+ against field-weighted BM25, first two results each ----------
 def engine_pairs(spark, sf_dir):
     found = located(spark, sf_dir).select(F.col("passage_id").alias("query_id"), F.col("source_id").alias("chunk_id"))
+    matched = lx.match(document_terms(spark, sf_dir, ()), passages(spark, sf_dir), title=False)  # both engines score the same matches
 
     def covered(options):
-        return passage_lane(spark, sf_dir, options, keep=()).join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(
+        return passage_lane(spark, sf_dir, options, keep=(), matched=matched).join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(
             F.count(F.lit(1)).alias("covered")
         )
 

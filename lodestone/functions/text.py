@@ -213,10 +213,15 @@ def json_quote(text: Column | str) -> Column:
     c = F.replace(_as_col(text), F.lit("\\"), F.lit("\\\\"))
     for raw, escaped in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         c = F.replace(c, F.lit(raw), F.lit(escaped))
-    for code in [*range(0x00, 0x08), 0x0B, *range(0x0E, 0x20)]:
-        if code:
-            c = F.replace(c, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+
+    def controls(text: Column) -> Column:
+        for code in [*range(0x01, 0x08), 0x0B, *range(0x0E, 0x20)]:
+            text = F.replace(text, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+        return text
+
+    # Few texts hold other controls; the rest need one look instead of a replacement for each.
+    quoted = _bound(c, lambda text: F.when(text.rlike("[\\x01-\\x07\\x0B\\x0E-\\x1F]"), controls(text)).otherwise(text))
+    return F.concat(F.lit('"'), quoted, F.lit('"'))
 
 
 def chunk_id(source_id: Column, start: Column, end: Column, text: Column) -> Column:

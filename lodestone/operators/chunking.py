@@ -7,7 +7,13 @@ bounded by the file-size limit, hence so is every window and group keyed by sour
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -68,22 +74,6 @@ def _inside_fence(markers: pd.Series) -> pd.Series:
     return markers.map(walk)
 
 
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def _greedy_groups(widths: pd.Series, limits: pd.Series) -> pd.Series:
-    """Number the groups of a greedy fill: a line that would pass the limit opens a new one."""
-
-    def fill(row, limit):
-        groups, used, group = [], 0, 0
-        for i, width in enumerate(row):
-            if i and used + width > limit:
-                group, used = group + 1, 0
-            used += width
-            groups.append(group)
-        return groups
-
-    return pd.Series([fill(row, limit) for row, limit in zip(widths, limits)])
-
-
 def fenced_lines(sources: DataFrame, first_line: Column | None = None, strict_opener: bool = False) -> DataFrame:
     """Lines with ``in_fence`` (an enclosing fence was opened on an earlier line).
 
@@ -133,46 +123,102 @@ def heading_stack(lines: DataFrame, level: Column, title: Column) -> DataFrame:
     return marked.withColumn("heading_path", F.array_compact(F.array(*path))).drop(*latest)
 
 
-def heading_line_ranges(sources: DataFrame, max_chars: int = 1000, first_line: Column | None = None) -> DataFrame:
-    """Sections under ATX headings, cut into runs of whole lines of at most ``max_chars``.
+# The same patterns for Python, where ``.`` and ``$`` know fewer line ends than in Java.
+_END = "(?=[\u0085\u2028\u2029]?\\Z)"
+_FENCE, _HEADING, _CLOSING, _EDGES = (
+    re.compile(p.replace(".", "[^\n\r\u0085\u2028\u2029]").replace("$", _END))
+    for p in (FENCE, HEADING, rf"[ \t]+#+[{SPACE}]*$", f"^[{SPACE}]+|[{SPACE}]+$")
+)
+_BREAK, _INK = re.compile(LINE_BREAK), re.compile(f"[^{SPACE}]")
+# Texts of which chunks leave a task at once.
+CUT_BYTES = 1 << 22
+
+
+def _sections_of(lines: list[str], first: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Begin and end (exclusive) of each section of a source's lines and the headings open in it; fences hide headings."""
+    latest: list[tuple[int, str]] = [(0, "")] * 7
+    begin, path, char, width = 0, [], "", 0
+    for i, line in enumerate(lines):
+        fence = _FENCE.search(line) if "```" in line or "~~~" in line else None
+        heading = None if char or "#" not in line else _HEADING.search(line)
+        if fence and not char:
+            char, width = fence[1][0], len(fence[1])
+        elif fence and fence[1][0] == char:
+            marker = fence[1] + fence[2]
+            run = len(marker) - len(marker.lstrip(char))
+            char = "" if run >= width and not marker[run:].strip() else char
+        if heading:
+            if i > begin:
+                yield begin, i, path
+            latest[len(heading[1])] = (first + i, _EDGES.sub("", _CLOSING.sub("", heading[2])))
+            begin, path, above = i, [], 0
+            for at, title in latest[1:]:
+                if at > above and title:
+                    path.append(title)
+                above = max(above, at)
+    yield begin, len(lines), path
+
+
+def _heading_chunks(text: str, first: int, limit: int) -> Iterator[tuple]:
+    """Range columns and text of the chunks of one source."""
+    lines = _BREAK.split(text) if "\r" in text else text.split("\n")
+    for begin, end, path in _sections_of(lines, first):
+        low, high, used = None, begin, 0
+        for i in range(begin, end + 1):
+            line = lines[i] if i < end else ""
+            size = 1 + (len(line) if line.isascii() else len(line.encode("utf-16-le", "surrogatepass")) // 2)
+            if i == end or (i > begin and used + size > limit and used):
+                if low is not None:
+                    yield first + low, first + high, path, first + begin, first + end - 1, "\n".join(lines[low : high + 1])
+                low, used = None, 0
+            used += size
+            if _INK.search(line):
+                low, high = i if low is None else low, i
+
+
+def _quoted(text: str) -> str:
+    """As :func:`~lodestone.functions.text.json_quote`, which leaves U+0000 alone."""
+    return '"' + "\0".join(json.dumps(part, ensure_ascii=False)[1:-1] for part in text.split("\0")) + '"'
+
+
+def heading_line_chunks(sources: DataFrame, max_chars: int = 1000, first_line: Column | None = None) -> DataFrame:
+    """Sections under ATX headings, cut into runs of whole lines of at most ``max_chars``: source_id, range columns, text, chunk_id.
 
     Each line costs its UTF-16 length plus one; a longer single line stays whole; blank
-    edges are trimmed.
+    edges are trimmed. A source is cut in the task that holds it. The id is that of :func:`~lodestone.functions.text.chunk_id`.
     """
     if not 64 <= max_chars <= 100_000:
         raise ValueError("max_chars must lie in [64, 100000]")
-    lines = fenced_lines(sources, first_line)
-    is_heading = ~F.col("in_fence") & F.col("text").rlike(HEADING)
-    level = F.when(is_heading, F.length(F.regexp_extract("text", HEADING, 1)))
-    title = F.when(
-        is_heading, strip_space(F.regexp_replace(F.regexp_extract("text", HEADING, 2), rf"[ \t]+#+[{SPACE}]*$", ""))
-    )
-    w = W.partitionBy("source_id").orderBy("line_no")
-    sections = heading_stack(lines, level, title).withColumn(
-        "section", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(w)
-    )
-    row = F.struct("line_no", (utf16_length("text") + 1).alias("width"), is_blank(F.col("text")).alias("blank"))
-    gathered = sections.groupBy("source_id", "section").agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), F.first("heading_path").alias("heading_path"),
-        F.min("line_no").alias("section_start_line"), F.max("line_no").alias("section_end_line"),
-    )
-    numbered = gathered.withColumn(
-        "groups", _greedy_groups(F.transform("rows", lambda r: r["width"]), F.lit(max_chars))
-    )
-    cells = numbered.select(
-        "source_id", "section", "heading_path", "section_start_line", "section_end_line",
-        F.explode(F.arrays_zip("rows", "groups")).alias("cell"),
-    ).filter(~F.col("cell.rows.blank"))
-    return (
-        cells.groupBy("source_id", "section", F.col("cell.groups").alias("part"))
-        .agg(
-            F.min("cell.rows.line_no").alias("start_line"), F.max("cell.rows.line_no").alias("end_line"),
-            F.first("heading_path").alias("heading_path"),
-            F.first("section_start_line").alias("section_start_line"),
-            F.first("section_end_line").alias("section_end_line"),
-        )
-        .select("source_id", *RANGE_COLUMNS)
+    whole = sources.select("source_id", F.col("source_id").cast("string").alias("name"), (F.lit(1) if first_line is None else first_line).cast("int").alias("first_line"), "text").filter(
+        F.col("text").isNotNull() & F.col("source_id").isNotNull()
     )
+    kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.string())
+    names = [*RANGE_COLUMNS, "text", "chunk_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, found, held = [], [], 0
+            texts, firsts, sources = batch.column("text"), batch.column("first_line").to_pylist(), batch.column("name").to_pylist()
+            for row in range(batch.num_rows):
+                text = texts[row].as_py()
+                source = _quoted(sources[row])
+                for chunk in _heading_chunks(text, firsts[row], max_chars):
+                    payload = f"[{source},{chunk[0]},{chunk[1]},{_quoted(chunk[5])}]"
+                    found.append((*chunk, hashlib.sha256(payload.encode()).hexdigest()))
+                    owners.append(row)
+                held += len(text)
+                if found and (held >= CUT_BYTES or row + 1 == batch.num_rows):
+                    columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column("source_id").take(pa.array(owners)), *columns], names=["source_id", *names])
+                    owners, found, held = [], [], 0
+
+    schema = f"source_id {dict(sources.dtypes)['source_id']}, start_line int, end_line int, heading_path array<string>, section_start_line int, section_end_line int, text string, chunk_id string"
+    return whole.mapInArrow(cut, schema)
+
+
+def heading_line_ranges(sources: DataFrame, max_chars: int = 1000, first_line: Column | None = None) -> DataFrame:
+    """The ranges of :func:`heading_line_chunks`."""
+    return heading_line_chunks(sources, max_chars, first_line).drop("text", "chunk_id")
 
 
 def drop_bare_headings(ranges: DataFrame, lines: DataFrame) -> DataFrame:
