@@ -1,6 +1,7 @@
 """Task functions of single operators against plain Python, over batches cut anywhere."""
 
 import collections
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,28 @@ def test_order_minhash_equals_plain_python(words, kinds):
     values = rng.integers(1, 1 << 62, kinds).astype(np.uint64)[rng.integers(0, kinds, words)]
     assert omh.signature(values).tolist() == plain_signature(values, omh.M, omh.TUPLE, omh.KMER)
     assert as_long(values).dtype == np.int64
+
+
+def test_large_buckets_are_dealt_by_longer_spans_before_digests(spark, monkeypatch):
+    """Strings around a shared passage, more than a bucket takes: the windows that repeat are found, without a digest of each."""
+    from collections import Counter
+
+    from lodestone.llm import repeats, suffix_dedup
+
+    monkeypatch.setattr(repeats, "BUCKET_RUNS", 8)
+    rng = random.Random(21)
+    draw = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = draw(420)
+    texts = [draw(rng.randint(50, 300)) + shared[rng.randint(0, 60) : 420 - rng.randint(0, 60)] + draw(rng.randint(50, 300)) for _ in range(40)]
+    texts += [texts[0], shared, shared[:400], None, "é" + shared[5:], shared[60:300] + draw(200)]
+    seen = Counter(b[i : i + 400] for t in texts if t for b in [t.encode()] for i in range(len(b) - 399))
+    want = {}
+    for n, t in enumerate(texts):
+        raw = (t or "").encode()
+        gone = {j for i in range(len(raw) - 399) if seen[raw[i : i + 400]] > 1 for j in range(i, i + 400)}
+        want[n] = (len(raw), len(gone))
+    calls, verdicts = [], repeats._compare_buckets
+    monkeypatch.setattr(repeats, "_compare_buckets", lambda s, *a: calls.append(verdicts(s, *a).where("digest is not null").count()) or verdicts(s, *a))
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in rows} == want
+    assert len(calls) == 2 and calls[-1] == 0, calls  # the outer buckets, in whole groups; each window was a row of a digest before
